@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import jaccard_join
+from . import chat_format, jaccard_join, license_scan, line_dedup, secret_scan
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -18,6 +18,23 @@ def query(function):
     return function
 
 
+@query
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.drop_boilerplate(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).select("doc_id", "n_lines", "n_removed", "text")
+
+
+ORACLES["op2_line_dedup"] = r"""
+WITH pieces AS (
+  SELECT doc_id, source, unnest(string_split(coalesce(text, ''), chr(10))) AS piece, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents
+), keyed AS (SELECT *, trim(piece, ' ') AS line FROM pieces),
+wide AS (SELECT line FROM keyed WHERE line <> '' GROUP BY line HAVING count(DISTINCT coalesce(source, chr(0))) >= 10),
+first AS (SELECT line, min((doc_id, pos)) AS f FROM keyed WHERE line IN (SELECT line FROM wide) GROUP BY line),
+marked AS (SELECT k.*, f.f IS NOT NULL AND (k.doc_id, k.pos) <> f.f AS gone FROM keyed k LEFT JOIN first f ON f.line = k.line)
+SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (gone)::BIGINT AS n_removed,
+  coalesce(string_agg(piece, chr(10) ORDER BY pos) FILTER (NOT gone), '') AS text FROM marked GROUP BY doc_id
+"""
+
+
 @query
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
@@ -41,3 +58,56 @@ reach(x, y) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.x, b.y FROM
 classes AS (SELECT x AS doc_id, min(y) AS class_id FROM reach GROUP BY x)
 SELECT c.doc_id, c.class_id, (SELECT count(*) FROM both_ways b WHERE b.x = c.doc_id)::BIGINT AS n_links, c.doc_id = c.class_id AS kept FROM classes c
 """
+
+
+@query
+def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    return chat_format.chat_digests(chat_format.format_chats(turns.union(spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], turns.schema))))
+
+
+ORACLES["op8_chat_format"] = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+), steps AS (
+  SELECT *, role IS DISTINCT FROM lag(role) OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS opens,
+    length(replace(replace(text, '&', '&amp;'), '<', '&lt;')) AS shown, length(replace(replace(role, '&', '&amp;'), '<', '&lt;')) AS shown_role FROM turns
+)
+SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(shown + CASE WHEN opens THEN 25 + shown_role ELSE 8 END)::BIGINT AS formatted_chars
+FROM steps GROUP BY conv_id
+"""
+
+
+@query
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.secret_digests(table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan_licenses(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "sentence_ids", F.array_join("licenses", ",").alias("licenses"), "n_rules")
+
+
+def _license_sql() -> str:
+    known = " ".join(f"WHEN regexp_full_match(s, '{pattern}') THEN '{name}'" for name, pattern in license_scan.SENTENCES.items())
+    names = " ".join(f"WHEN '{sequence}' THEN '{name}'" for name, sequence in license_scan.RULES)
+    longest_first = "|".join(sorted(dict.fromkeys(x for _, x in license_scan.RULES), key=len, reverse=True))
+    return rf"""
+WITH cut AS (
+  SELECT doc_id, string_split(regexp_replace(coalesce(text, ''), '([.!?;])\s+', '\1' || chr(10), 'g'), chr(10)) AS parts FROM documents
+), parts AS (SELECT doc_id, unnest(parts) AS part, generate_subscripts(parts, 1) AS pos FROM cut),
+said AS (SELECT doc_id, pos, trim(regexp_replace(lower(part), '[^\p{{L}}\p{{N}}]+', ' ', 'g')) AS s FROM parts),
+known AS (SELECT doc_id, pos, CASE {known} END AS id FROM said),
+sequences AS (SELECT doc_id, coalesce(string_agg(id, '' ORDER BY pos), '') AS sentence_ids FROM known GROUP BY doc_id),
+hits AS (SELECT *, regexp_extract_all(sentence_ids, '{longest_first}') AS hit FROM sequences)
+SELECT doc_id, sentence_ids, array_to_string(list_sort(list_distinct(list_transform(hit, lambda x: CASE x {names} END))), ',') AS licenses, len(hit)::BIGINT AS n_rules FROM hits
+"""
+
+
+ORACLES["op10_license_scan"] = _license_sql()
