@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat_format, jaccard_join, license_scan, line_dedup, secret_scan
+from . import chat_format, jaccard_join, language_id, license_scan, line_dedup, quality_cnn, secret_scan
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -18,6 +18,27 @@ def query(function):
     return function
 
 
+def held_out(id_col: str = "doc_id"):
+    """The fold that nothing is learnt from."""
+    return F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0
+
+
+@query
+def op1_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality_cnn.fit(docs.where(~held_out()), table(spark, sf_dir, "labels").where(~held_out()))
+    scored = quality_cnn.score(docs, model)
+    return scored.select(F.col("id").alias("doc_id"), held_out("id").alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    models = language_id.fit(docs.where(~held_out()))
+    found = language_id.identify(docs, models)
+    return found.select(F.col("id").alias("doc_id"), held_out("id").alias("held_out"), "lang_pred", "score", "rejected")
+
+
 @query
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.drop_boilerplate(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).select("doc_id", "n_lines", "n_removed", "text")
