@@ -191,23 +191,25 @@ def in_cells(df: DataFrame, keys: list[str], member: str, block: int) -> DataFra
 
 
 def forest(n: int, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
-    """Edges of a spanning forest of n nodes that joins what the given pairs join: n - 1 at most."""
-    parent = list(range(n))
-
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    kept = []
-    for a, b in zip(left.tolist(), right.tolist(), strict=True):
-        ra, rb = root(a), root(b)
-        if ra != rb:
-            parent[max(ra, rb)] = min(ra, rb)
-            kept.append((a, b))
-            if len(kept) == n - 1:
-                break
+    """Edges of a spanning forest of n nodes that joins what the given pairs join: n - 1 at most.
+
+    In rounds: each tree that meets one with a smaller root is hooked to the smallest such; depths are flattened.
+    """
+    parent = np.arange(n)
+    kept: list[tuple[int, int]] = []
+    while len(left):
+        a, b = parent[left], parent[right]
+        apart = a != b
+        left, right, a, b = left[apart], right[apart], a[apart], b[apart]
+        if not len(left):
+            break
+        low, high = np.minimum(a, b), np.maximum(a, b)
+        order = np.lexsort((low, high))
+        first = order[np.concatenate([[True], high[order][1:] != high[order][:-1]])]
+        parent[high[first]] = low[first]
+        kept += zip(left[first].tolist(), right[first].tolist(), strict=True)
+        while (parent[parent] != parent).any():
+            parent = parent[parent]
     return kept
 
 
