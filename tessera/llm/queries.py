@@ -6,8 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+import corpus_pipeline
+
 from . import chat_format, decontaminate, embedding_dedup, jaccard_join, language_id, license_scan, line_dedup, packing, quality_cnn, secret_scan
 from .common import table
+from .queries_common import held_out, tokenizer_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -18,11 +21,6 @@ def query(function):
     return function
 
 
-def held_out(id_col: str = "doc_id"):
-    """The fold that nothing is learnt from."""
-    return F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0
-
-
 @query
 def op1_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -105,12 +103,6 @@ SELECT c.doc_id, c.class_id, (SELECT count(*) FROM both_ways b WHERE b.x = c.doc
 """
 
 
-def tokenizer_path() -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path("byte_bpe_50k.json")
-
-
 @query
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.piece_digests(packing.pack(table(spark, sf_dir, "documents"), tokenizer_path()))
@@ -167,3 +159,8 @@ SELECT doc_id, sentence_ids, array_to_string(list_sort(list_distinct(list_transf
 
 
 ORACLES["op10_license_scan"] = _license_sql()
+
+
+@query
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
