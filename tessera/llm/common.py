@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -31,9 +32,14 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """The same rows read back from the shared folder, without lineage."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """The same rows, written to the shared folder as Parquet and read back: no lineage, and sizes as they are.
+
+    (``DataFrame.checkpoint`` keeps a plan's size estimates, which loops of joins multiply without end.) The tables
+    belong to the application and can be removed with its folder when it has ended.
+    """
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -222,23 +228,27 @@ def forest(n: int, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of ``edges`` (u long, v long): the smallest node that it reaches.
 
-    Contraction: each node points to its smallest neighbour, edges become edges between those, and labels are
-    composed, until no edge is left. A round at least halves the nodes that still have edges. Each round is cut
-    off by a checkpoint in the shared folder. Nothing is collected but the count of edges left.
+    In rounds: each node points to its smallest neighbour; pointers are doubled until all lead to a local
+    minimum; each tree becomes one node, and labels are composed. A round at least halves the nodes that still
+    have edges, and a chain of n pointers takes log2 n doublings. Each step is cut off by a checkpoint in the shared
+    folder. Nothing is collected but whether something is left to do.
     """
     live = checkpointed(edges.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
     labels = None
     while True:
         both = live.union(live.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        points = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("p"))
-        points = checkpointed(points)
+        points = checkpointed(both.groupBy("u").agg(F.min("v").alias("p")).select("u", F.least("u", "p").alias("p")))
+        while True:
+            ahead = points.select(F.col("u").alias("p"), F.col("p").alias("q"))
+            doubled = checkpointed(points.join(ahead, "p").select("u", F.col("q").alias("p"), (F.col("q") != F.col("p")).alias("moved")))
+            points = doubled.select("u", "p")
+            if doubled.where("moved").isEmpty():
+                break
         if labels is None:
             labels = points.select(F.col("u").alias("node"), F.col("p").alias("component"))
         else:
-            labels = labels.join(points, labels["component"] == points["u"], "left").select("node", F.coalesce("p", "component").alias("component"))
+            labels = checkpointed(labels.join(points, labels["component"] == points["u"], "left").select("node", F.coalesce("p", "component").alias("component")))
         ends = points.select(F.col("u").alias("v"), F.col("p").alias("q"))
-        live = live.join(points, "u").join(ends, "v").where("p <> q").select(F.least("p", "q").alias("u"), F.greatest("p", "q").alias("v")).distinct()
-        live = checkpointed(live)
-        labels = checkpointed(labels)
+        live = checkpointed(live.join(points, "u").join(ends, "v").where("p <> q").select(F.least("p", "q").alias("u"), F.greatest("p", "q").alias("v")).distinct())
         if live.isEmpty():
             return labels
