@@ -65,15 +65,18 @@ def boilerplate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def drop_boilerplate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = 10, margin: float = 0.15) -> DataFrame:
     """The rows of ``docs`` with boilerplate lines taken out of their texts, and n_lines and n_removed added.
 
-    A text without such lines is unchanged, null included.
+    A text without such lines is unchanged, null included. Columns named n_lines or n_removed are replaced.
     """
-    gone = boilerplate(docs, id_col, text_col, site_col, min_sites, margin).withColumnsRenamed({"key": "_key", "drop": "_drop"})
-    pieces = F.split(F.coalesce(text_col, F.lit("")), "\n", -1)
-    rows = docs.withColumn("_key", _key(id_col, text_col, site_col)).join(gone, "_key", "left")
-    left = F.array_join(F.filter(pieces, lambda x, i: ~F.array_contains("_drop", i)), "\n")
-    return (
-        rows.withColumn("n_lines", F.size(pieces).cast("long"))
-        .withColumn("n_removed", F.coalesce(F.size("_drop"), F.lit(0)).cast("long"))
-        .withColumn(text_col, F.when(F.col("_drop").isNull(), F.col(text_col)).otherwise(left))
-        .drop("_key", "_drop")
-    )
+    gone = boilerplate(docs, id_col, text_col, site_col, min_sites, margin)
+    # the row travels as one struct, so that no name of its columns can clash
+    rows = docs.select(F.struct("*").alias("row"), _key(id_col, text_col, site_col).alias("key")).join(gone, "key", "left")
+    text = F.col("row").getField(text_col)
+    pieces = F.split(F.coalesce(text, F.lit("")), "\n", -1)
+    left = F.array_join(F.filter(pieces, lambda x, i: ~F.array_contains("drop", i)), "\n")
+    new = {
+        text_col: F.when(F.col("drop").isNull(), text).otherwise(left),
+        "n_lines": F.size(pieces).cast("long"),
+        "n_removed": F.coalesce(F.size("drop"), F.lit(0)).cast("long"),
+    }
+    names = list(dict.fromkeys([*docs.columns, *new]))
+    return rows.select(*[(new[c] if c in new else F.col("row").getField(c)).alias(c) for c in names])
