@@ -71,7 +71,8 @@ def chunk_id(path: Column, start: Column, end: Column, language: Column, qualifi
     by_range = F.concat_ws(":", path, start.cast("string"), end.cast("string"), language)
     if qualified is None:
         return F.sha2(by_range.cast("binary"), 256)
-    by_symbol = F.concat_ws(":", path, language, qualified, F.coalesce(kind, F.lit("symbol")), F.coalesce(signature, F.lit("no-signature")))
+    named = lambda value, default: F.lit(default) if value is None else F.coalesce(value, F.lit(default))
+    by_symbol = F.concat_ws(":", path, language, qualified, named(kind, "symbol"), named(signature, "no-signature"))
     return F.sha2(F.when(qualified.isNull(), by_range).otherwise(by_symbol).cast("binary"), 256)
 
 
@@ -135,7 +136,8 @@ def plain_letters(text: Column) -> Column:
 def byte_cut(text: Column, most: int) -> Column:
     """The longest prefix of at most ``most`` UTF-8 bytes that ends between characters."""
     data = F.encode(text, "UTF-8")
-    cut = F.substring(data, 1, most)
-    # continuation bytes (10xxxxxx) that lost their character's end are taken off with its start
-    shown = F.decode(cut, "UTF-8")
-    return F.when(F.octet_length(text) <= most, text).otherwise(F.regexp_replace(shown, "�+$", ""))
+    # if the next byte continues a character (10xxxxxx), what there is of that character goes
+    digits = F.hex(F.substring(data, 1, most))
+    inside = F.hex(F.substring(data, most + 1, 1)).rlike("^[89AB]")
+    kept = F.when(inside, F.regexp_replace(digits, "[C-F].(?:[89AB].)*$", "")).otherwise(digits)
+    return F.when(F.octet_length(text) <= most, text).otherwise(F.decode(F.unhex(kept), "UTF-8"))

@@ -613,3 +613,29 @@ def grounded_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("prompt_text", f"WITH {EVIDENCE_SQL} SELECT label, '## Contexto do codigo-fonte:' || chr(10) || chr(10) || string_agg('### Arquivo ' || position || ': ' || path || ' ' || ln || chr(10) || chr(10) || '```' || chr(10) || snippet || chr(10) || '```', chr(10) || chr(10) ORDER BY position) || chr(10) || chr(10) || '## Pergunta:' || chr(10) || 'what is ' || label || chr(10) || chr(10) || '## Resposta:' AS prompt FROM e GROUP BY label")
 def prompt_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rag.prompt(_evidence(spark, sf_dir), "label", "question")
+
+
+# --- embedding and streaming --------------------------------------------------------------------------------------
+
+
+@query("embed_documents")
+def embed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..sources import embedding
+
+    return embedding.embed(files(spark, sf_dir), embedding.HashingProvider(32), "doc_id")
+
+
+@query("stream_ingest", f"WITH {windows_sql(60, 10)} SELECT path, start_line, end_line, sha256(content) AS content_hash FROM w")
+def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents through the stream, then the table as it stands."""
+    import uuid
+
+    from ..sources import shared
+    from ..streaming import ingest
+
+    rows = table(spark, sf_dir, "documents")
+    stream = spark.readStream.schema(rows.schema).parquet(f"{sf_dir}/documents.parquet*")
+    source = stream.select(F.col("source").alias("repo"), file_path(F.col("doc_id"), F.col("source")).alias("path"), F.coalesce("text", F.lit("")).alias("text"))
+    place = f"{shared.folder(spark)}/stream-{uuid.uuid4().hex}"
+    ingest.ingest(source, f"{place}/table", f"{place}/checkpoint", 60, 10).awaitTermination()
+    return ingest.current(spark, f"{place}/table").select("path", "start_line", "end_line", "content_hash")
