@@ -44,7 +44,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of token sequences, with their ids' digests."""
-    return packing.piece_digests(packing.pack(docs, tokenizer_path()))
+    return packing.piece_digests(docs, tokenizer_path())
 
 
 STAGES = [

@@ -42,6 +42,17 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def map_arrow(df: DataFrame, kernel: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """``mapInArrow`` with batches of about 4 MB, unless the session says otherwise: 10,000 long texts would be far more."""
+    spark = df.sparkSession
+    if spark.sparkContext.getConf().get(BATCH_BYTES) is None:
+        spark.conf.set(BATCH_BYTES, str(4 << 20))
+    return df.mapInArrow(kernel, schema)
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser, a fixed public mixing of 64-bit values."""
     h = h.astype(U64, copy=True)
@@ -173,7 +184,7 @@ def grouped(df: DataFrame, keys: list[str], order: list[str], kernel: Callable[[
         if waiting:
             yield from groups(pa.Table.from_batches(waiting))
 
-    return dealt.sortWithinPartitions(*keys, *order).mapInArrow(walk, schema)
+    return map_arrow(dealt.sortWithinPartitions(*keys, *order), walk, schema)
 
 
 def _edges(rows: pa.Table, keys: list[str]) -> np.ndarray:

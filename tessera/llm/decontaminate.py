@@ -22,7 +22,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from .common import U64, checkpointed, gram_hashes, steps, text_buffer, word_hashes
+from .common import U64, checkpointed, gram_hashes, map_arrow, steps, text_buffer, word_hashes
 
 LEAST = 5
 COVERAGE = 0.5
@@ -138,7 +138,7 @@ def _listed(df: DataFrame) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(words.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(at) - 1), lists], ["key", "words"])
 
-    return df.mapInArrow(walk, "key long, words array<long>").where(F.size("words") > 0)
+    return map_arrow(df, walk, "key long, words array<long>").where(F.size("words") > 0)
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", least: int = LEAST, coverage: float = COVERAGE, most_words: int = 2_000_000) -> DataFrame:
@@ -164,7 +164,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
                 if found:
                     yield _rows(found)
 
-    return source.mapInArrow(walk, SCHEMA)
+    return map_arrow(source, walk, SCHEMA)
 
 
 def _overlaps_by_join(source: DataFrame, items: DataFrame, least: int, coverage: float) -> DataFrame:
@@ -181,7 +181,7 @@ def _overlaps_by_join(source: DataFrame, items: DataFrame, least: int, coverage:
                         seeds = np.unique(runs(words, k)).view(np.int64)
                         yield pa.RecordBatch.from_arrays([pa.array([key] * len(seeds), pa.int64()), pa.array(np.full(len(seeds), k, np.int32)), pa.array(seeds)], [name, "k", "seed"])
 
-        return rows.mapInArrow(walk, f"{name} long, k int, seed long")
+        return map_arrow(rows, walk, f"{name} long, k int, seed long")
 
     rows = checkpointed(source.withColumn("row", F.monotonically_increasing_id()))
     texts = checkpointed(_listed(rows.select("row", "text")))
@@ -197,7 +197,7 @@ def _overlaps_by_join(source: DataFrame, items: DataFrame, least: int, coverage:
                 if row:
                     yield _rows([row])
 
-    return pairs.mapInArrow(walk, SCHEMA)
+    return map_arrow(pairs, walk, SCHEMA)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from .common import U64, checkpointed, components, forest, gram_hashes, grouped, in_cells, mix, steps, text_buffer, word_hashes
+from .common import U64, checkpointed, components, forest, gram_hashes, grouped, in_cells, map_arrow, mix, steps, text_buffer, word_hashes
 
 WORDS = 5
 #: Signature length of a tree, the longest prefix that the forest matches first.
@@ -99,7 +99,7 @@ def signed(docs: DataFrame, id_col: str, text_col: str, words: int, trees: int,
                 yield rows
 
     source = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    return source.mapInArrow(sign, "doc long, digest binary, n long, prefixes array<long>, sig binary")
+    return map_arrow(source, sign, "doc long, digest binary, n long, prefixes array<long>, sig binary")
 
 
 def _agreement(left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -240,7 +240,7 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, words: int, group: DataFr
 
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     read = group.join(texts, "doc").select("doc", "node", "component", "copies", "sig", "digest", "text")
-    return read.mapInArrow(cut, "doc long, node long, component long, copies long, sig binary, shingles binary").dropDuplicates(["node"])
+    return map_arrow(read, cut, "doc long, node long, component long, copies long, sig binary, shingles binary").dropDuplicates(["node"])
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

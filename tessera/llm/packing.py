@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .common import steps, text_buffer
+from .common import map_arrow, steps, text_buffer
 
 SEQUENCE_BITS = 38
 #: Characters for which the two tokenizer libraries are known to cut alike; others take the slower one.
@@ -142,8 +142,10 @@ class Packer:
             self.waiting.append(rest)
 
 
-def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", prompt_col: str | None = None, tokens: int = 2048, segments: int = 64, loss_tokens: int | None = None, end_id: int = 1, window: int = 256) -> DataFrame:
-    """One row per piece: id, row (its document's number in the task), start, length, ids (array), doc_tokens, loss_tokens, sequence_id, offset.
+def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", prompt_col: str | None = None, tokens: int = 2048, segments: int = 64, loss_tokens: int | None = None, end_id: int = 1, window: int = 256, keep_ids: bool = True) -> DataFrame:
+    """One row per piece: id, start, length, ids_crc32, doc_tokens, loss_tokens, sequence_id, offset, and ids (array) with ``keep_ids``.
+
+    ids_crc32 is the CRC-32 of the piece's ids as little-endian unsigned 32-bit numbers.
 
     With ``prompt_col`` the prompt's tokens come first and bear no loss, as for instruction data; otherwise every
     token bears loss. ``tokenizer`` is the path of a byte-level BPE vocabulary file, readable by the executors.
@@ -158,19 +160,25 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
         number = 0
 
         def rows(placed: Iterator[tuple]) -> pa.RecordBatch | None:
-            out: list[list] = [[] for _ in range(9)]
+            out: list[list] = [[] for _ in NAMES]
+            lists: list[np.ndarray] = []
             for key, start, length, loss_start, sequence, offset in placed:
                 doc, ids, left = held[key]
-                row = (doc, key, start, length, ids[start : start + length], len(ids), max(0, start + length - max(start, loss_start)), base + sequence, offset)
+                own = ids[start : start + length]
+                row = (doc, start, length, zlib.crc32(own.astype("<u4").tobytes()), len(ids), max(0, start + length - max(start, loss_start)), base + sequence, offset)
                 for column, value in zip(out, row, strict=True):
                     column.append(value)
+                if keep_ids:
+                    lists.append(own)
                 held[key][2] = left - length
                 if not held[key][2]:
                     del held[key]
             if not out[0]:
                 return None
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in out[4]])]).astype(np.int32)), pa.array(np.concatenate(out[4]).astype(np.int32)))
-            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) if i != 4 else lists for i, x in enumerate(out)], NAMES)
+            columns = [pa.array(x, pa.int64()) for x in out]
+            if keep_ids:
+                columns.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int32)), pa.array(np.concatenate(lists).astype(np.int32))))
+            return pa.RecordBatch.from_arrays(columns, [*NAMES, "ids"][: len(columns)])
 
         for batch in batches:
             texts = batch.column("text")
@@ -192,22 +200,12 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
             yield found
 
     columns = [F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *([F.col(prompt_col).alias("prompt")] if prompt_col else [])]
-    return docs.select(*columns).mapInArrow(walk, SCHEMA)
-
-
-NAMES = ["id", "row", "start", "length", "ids", "doc_tokens", "loss_tokens", "sequence_id", "offset"]
-SCHEMA = "id long, row long, start long, length long, ids array<int>, doc_tokens long, loss_tokens long, sequence_id long, offset long"
+    return map_arrow(docs.select(*columns), walk, ", ".join(f"{n} long" for n in NAMES) + (", ids array<int>" if keep_ids else ""))
 
 
-def piece_digests(pieces: DataFrame) -> DataFrame:
-    """The pieces with the CRC-32 of their ids (little-endian, 32 bits each) in place of the ids."""
+NAMES = ["id", "start", "length", "ids_crc32", "doc_tokens", "loss_tokens", "sequence_id", "offset"]
 
-    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column("ids")
-            values, at = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
-            data = memoryview(values.astype("<u4").tobytes())
-            sums = [zlib.crc32(data[4 * a : 4 * b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("id", "start", "length")], pa.array(sums, pa.int64()), *[batch.column(c) for c in ("doc_tokens", "sequence_id", "offset")]], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
-    return pieces.mapInArrow(walk, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+def piece_digests(docs: DataFrame, tokenizer: str, **options) -> DataFrame:
+    """``pack`` without the ids themselves, for checks of where each piece went."""
+    return pack(docs, tokenizer, keep_ids=False, **options).select(F.col("id").alias("doc_id"), "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")

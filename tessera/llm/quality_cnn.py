@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import steps, text_buffer
+from .common import map_arrow, steps, text_buffer
 
 STRIDE, POOL, EMBED, FILTERS, HIDDEN = 4, 64, 8, 24, 16
 PAD = 256
@@ -189,4 +189,4 @@ def score(docs: DataFrame, model: Network | float, id_col: str = "doc_id", text_
                 found = np.full(b - a, model) if isinstance(model, float) else model.score(data, offsets[a : b + 1])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(found)], ["id", "score"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(walk, "id long, score double")
+    return map_arrow(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), walk, "id long, score double")

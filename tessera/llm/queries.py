@@ -105,7 +105,7 @@ SELECT c.doc_id, c.class_id, (SELECT count(*) FROM both_ways b WHERE b.x = c.doc
 
 @query
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.piece_digests(packing.pack(table(spark, sf_dir, "documents"), tokenizer_path()))
+    return packing.piece_digests(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
 @query
