@@ -25,9 +25,14 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_boilerplate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that spread over many sources stay at their first occurrence only; n_chars follows the text."""
+    """Lines that spread over many sources stay at their first occurrence only; n_chars follows the text.
+
+    A document that loses every line goes: all it said stands where it occurred first. Documents that were
+    empty before stay.
+    """
     found = line_dedup.drop_boilerplate(docs.select(*COLUMNS))
-    return found.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
+    left = found.where((F.col("n_removed") == 0) | F.col("text").rlike(r"\S"))
+    return left.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -386,7 +386,8 @@ def test_pipeline_stages(spark, tmp_path):
                     first.setdefault(x.strip(" "), (i, at))
             for i, r in before.items():
                 own = [x for at, x in enumerate(r.text.split("\n")) if not x.strip(" ") or len(sites[x.strip(" ")]) < 10 or first[x.strip(" ")] == (i, at)]
-                assert after[i].text == "\n".join(own)
+                kept = "\n".join(own)
+                assert (after[i].text == kept) if kept.strip() or kept == r.text else i not in after
         elif name == "ngram_jaccard_join":
             sets = {i: shingles(r.text) for i, r in before.items()}
             classes = smallest_reached(sets, plain_links(sets))
