@@ -23,7 +23,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import checkpointed, components, forest, grouped
+from .common import checkpointed, components, forest, grouped, map_arrow
 
 AXES = 6
 FANOUT = 4
@@ -48,7 +48,7 @@ def packed(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["id", "vec"])
 
     source = vectors.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vec"))
-    return source.mapInArrow(walk, "id long, vec binary")
+    return map_arrow(source, walk, "id long, vec binary")
 
 
 def unit(rows: list[bytes]) -> np.ndarray:
@@ -93,7 +93,7 @@ def placed(nodes: DataFrame, axes: dict[int, np.ndarray], eps: float) -> DataFra
             lists = lambda x: pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), AXES).cast(pa.list_(pa.array(x[:0].ravel()).type))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sizes.astype(np.int32)), lists(cells), lists(where)], [*batch.schema.names, "size", "cells", "at"])
 
-    return nodes.mapInArrow(walk, "vec binary, node long, copies long, size int, cells array<int>, at array<double>")
+    return map_arrow(nodes, walk, "vec binary, node long, copies long, size int, cells array<int>, at array<double>")
 
 
 def sequenced(nodes: DataFrame, block: int) -> DataFrame:
@@ -110,7 +110,7 @@ def sequenced(nodes: DataFrame, block: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(k, part, np.int32)), pa.array(np.arange(n, n + k))], [*batch.schema.names, "part", "within"])
             n += k
 
-    numbered = checkpointed(dealt.mapInArrow(number, "vec binary, node long, copies long, size int, cells array<int>, at array<double>, part int, within long"))
+    numbered = checkpointed(map_arrow(dealt, number, "vec binary, node long, copies long, size int, cells array<int>, at array<double>, part int, within long"))
     # one row for each partition that has rows: as many as there are tasks
     counts = sorted((r.part, r.n) for r in numbered.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect())
     before, total = [], 0
@@ -193,7 +193,7 @@ def similar(x: np.ndarray, y: np.ndarray, same: bool, cosine: float, left: np.nd
     return (np.concatenate(first), np.concatenate(second)) if first else (none, none)
 
 
-def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = 0.9, block: int = 2048) -> DataFrame:
+def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = 0.9, block: int = 8192) -> DataFrame:
     """One row per row of ``vectors``: vec_id, n_links, component_id, kept."""
     eps = float(np.sqrt(2 - 2 * cosine))
     rows = checkpointed(packed(vectors, id_col, vector_col))
