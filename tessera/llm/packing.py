@@ -14,6 +14,7 @@ ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import functools
 import re
 import zlib
 from collections.abc import Callable, Iterator
@@ -42,10 +43,9 @@ def token_encoder(path: str) -> Callable[[list[str]], list[np.ndarray]]:
     import tiktoken
     from tokenizers import Tokenizer
 
-    slow = Tokenizer.from_file(path)
     with open(path, encoding="utf-8") as file:
-        vocabulary = json.load(file)["model"]["vocab"]
-    special = [t.content for t in slow.get_added_tokens_decoder().values()]
+        whole = json.load(file)
+    vocabulary, special = whole["model"]["vocab"], [t["content"] for t in whole["added_tokens"]]
     # the byte-level alphabet: printable bytes stand for themselves, others for characters from 256 on
     printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
     byte_of = {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in printable)}
@@ -53,13 +53,15 @@ def token_encoder(path: str) -> Callable[[list[str]], list[np.ndarray]]:
     pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
     fast = tiktoken.Encoding("vocabulary", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
+    slow = functools.cache(lambda: Tokenizer.from_file(path))
+
     def encode(texts: list[str]) -> list[np.ndarray]:
         out = []
         for text in texts:
             if _PLAIN.fullmatch(text) and not any(s in text for s in special):
                 out.append(np.array(fast.encode_ordinary(text), np.uint32))
             else:
-                out.append(np.array(slow.encode(text, add_special_tokens=False).ids, np.uint32))
+                out.append(np.array(slow().encode(text, add_special_tokens=False).ids, np.uint32))
         return out
 
     return encode
