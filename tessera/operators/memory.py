@@ -163,8 +163,8 @@ STATEMENTS = (
     ("preference", "framework_preference", 0.79, r"\b(prefiro|odeio|detesto|gosto de|não gosto de|nao gosto de|i prefer|i hate|i love|i dislike)\s+([^.!?,]{1,80})(?=\s+(?:framework|library|lib|para api|for api|ao inves de|ao invés de|instead of)|$)"),
     ("preference", "state_management_preference", 0.78, r"\b(prefiro|odeio|detesto|i prefer|i hate)\s+([^.!?,]{1,80})(?=\s+(?:para estado|for state|state management)|$)"),
     ("preference", "state_management_preference", 0.78, r"\b(prefiro|odeio|detesto|i prefer|i hate)\s+(redux toolkit|redux|zustand|context api|context)\b"),
-    ("convention", "naming_convention", 0.76, r"\b(use sempre|sempre uso|always use|i always use)\s+([^.!?,]{1,60})(?=\s+(?:para nome|para nomear|for naming|nos nomes|in names)|$)"),
-    ("convention", "testing_convention", 0.76, r"\b(uso|use|i use|i prefer)\s+([^.!?,]{1,60})(?=\s+(?:para teste|para testes|for tests|for testing)|$)"),
+    ("convention", "naming_convention", 0.76, r"\b(use sempre|sempre uso|always use|i always use)\s+(camelcase|pascalcase|snake_case|kebab-case|[^.!?,]{1,60})(?=\s+(?:para nome|para nomear|for naming|nos nomes|in names)|$)"),
+    ("convention", "testing_convention", 0.76, r"\b(uso|use|i use|i prefer)\s+(vitest|jest|pytest|rtl|react testing library|[^.!?,]{1,60})(?=\s+(?:para teste|para testes|for tests|for testing)|$)"),
     ("convention", "development_convention", 0.74, r"\b(nunca use|não use|nao use|never use|do not use|avoid)\s+([^.!?]{1,80})$"),
 )
 # Words of doubt, without accents, and names in their usual spelling.
@@ -184,24 +184,58 @@ def usual(value: Column) -> Column:
     return F.coalesce(F.try_element_at(names, T.plain_letters(bare)), F.when(F.upper(bare).isin(*ACRONYMS), F.upper(bare)).otherwise(bare))
 
 
+def _matches(text: Column, order: int, kind: str, topic: str, confidence: float, pattern: str) -> Column:
+    """One pattern's matches in a text with their places: a match starts after the gaps and matches before it."""
+    whole = "(?iu)" + pattern
+    found = [F.regexp_extract_all(text, F.lit(whole), F.lit(group)) for group in range(3)]
+    gaps = F.transform(F.split(text, whole, -1), lambda x: F.length(x))
+    sizes = F.transform(found[0], lambda x: F.length(x))
+    total = lambda x: F.aggregate(x, F.lit(0), lambda acc, n: acc + n)
+
+    def shaped(x: Column, i: Column) -> Column:
+        start = total(F.slice(gaps, F.lit(1), i + 1)) + total(F.slice(sizes, F.lit(1), i))
+        return F.struct(
+            start.alias("start"), (start + F.length(x["whole"])).alias("end"), F.lit(confidence).alias("confidence"), (F.lit(order * 1000) + i).alias("order"),
+            F.lit(kind).alias("kind"), F.lit(topic).alias("topic"), F.lower(x["verb"]).alias("verb"), x["whole"].alias("whole"), usual(x["raw"]).alias("value"),
+        )
+
+    return F.transform(F.arrays_zip(found[0].alias("whole"), found[1].alias("verb"), found[2].alias("raw")), shaped)
+
+
+def _statements(text: Column) -> Column:
+    """All patterns' matches in a text, in order of pattern and place."""
+    return F.concat(*[_matches(text, n, *spec) for n, spec in enumerate(STATEMENTS)])
+
+
 def extract(texts: DataFrame, least: float = 0.7) -> DataFrame:
-    """id, kind, topic, value, stance, confidence: statements of a user about themselves.
+    """id, start, end, kind, topic, value, stance, confidence, excerpt: what users state about themselves.
 
-    Texts over 500 characters give none; values over 120 characters, with two commas or with words of doubt are
-    dropped; of equal statements the surest stays. Native: each pattern's matches are exploded, nothing is shuffled
-    but the last step's keys.
+    White space is collapsed first; texts over 500 characters give nothing. Values over 120 characters, with two
+    commas or words of doubt are dropped. Of equal statements the surest stays, of overlapping ones the first, then
+    the longest, then the surest. All of it happens within a text's row.
     """
-    said = texts.withColumn("_said", T.collapsed(F.col("text"))).where(F.length("_said").between(1, 500))
-    parts = []
-    for n, (kind, topic, confidence, pattern) in enumerate(STATEMENTS):
-        found = lambda group: F.regexp_extract_all(F.col("_said"), F.lit("(?iu)" + pattern), F.lit(group))  # noqa: B023, E731
-        zipped = F.arrays_zip(found(1).alias("verb"), found(2).alias("raw"))
-        parts.append(F.transform(zipped, lambda x: F.struct(F.lit(n).alias("n"), F.lit(kind).alias("kind"), F.lit(topic).alias("topic"), F.lit(confidence).alias("confidence"), F.lower(x["verb"]).alias("verb"), x["raw"].alias("raw"))))  # noqa: B023
-    rows = said.select("id", F.explode(F.concat(*parts)).alias("x")).select("id", "x.*").withColumn("value", usual(F.col("raw")))
-    doubt = T.contains_any(F.concat(F.lit(" "), T.plain_letters(F.col("raw")), F.lit(" ")), DOUBTS)
-    rows = rows.where((F.col("value") != "") & (F.length(T.collapsed(F.col("raw"))) <= 120) & ~doubt & (F.size(F.split("raw", ",", -1)) < 3) & (F.col("confidence") >= least))
-    avoid = F.col("verb").isin("odeio", "detesto", "i hate", "não gosto de", "nao gosto de", "i dislike")
-    stance = F.when(F.col("kind") == "profile", "identity").when(F.col("topic") == "development_convention", "avoid").when(F.col("kind") == "convention", "require").when(avoid, "avoid").otherwise("prefer")
-    rows = rows.withColumn("stance", stance)
-    best = rows.groupBy("id", "kind", "topic", "stance", T.plain_letters(F.col("value")).alias("_key")).agg(F.max("confidence").alias("confidence"), F.min_by("value", "n").alias("value"))
-    return best.select("id", "kind", "topic", "value", "stance", "confidence")
+    said = texts.withColumn("_said", T.collapsed(F.col("text"))).where(F.length("_said").between(1, 500)).withColumn("_all", _statements(F.col("_said")))
+    avoids = ("odeio", "detesto", "i hate")
+    dislikes = (*avoids, "não gosto de", "nao gosto de", "i dislike")
+
+    def sound(x: Column) -> Column:
+        doubt = T.contains_any(F.concat(F.lit(" "), T.plain_letters(x["value"]), F.lit(" ")), DOUBTS)
+        return (x["value"] != "") & (F.length(x["value"]) <= 120) & ~doubt & (F.length(x["value"]) - F.length(F.replace(x["value"], F.lit(","), F.lit(""))) < 2)
+
+    def shaped(x: Column) -> Column:
+        against = F.when(x["topic"] == "framework_preference", x["verb"].isin(*dislikes)).otherwise(x["verb"].isin(*avoids))
+        stance = F.when(x["kind"] == "profile", "identity").when(x["topic"] == "development_convention", "avoid").when(x["kind"] == "convention", "require").when(against, "avoid").otherwise("prefer")
+        return F.struct(
+            x["start"].alias("start"), (x["start"] - x["end"]).alias("shorter"), (-F.floor(x["confidence"] * 100)).alias("unsure"), x["order"].alias("order"), x["end"].alias("end"),
+            x["kind"].alias("kind"), x["topic"].alias("topic"), x["value"].alias("value"), stance.alias("stance"), x["confidence"].alias("confidence"), x["whole"].alias("whole"),
+        )
+
+    rows = said.withColumn("_all", F.transform(F.filter("_all", sound), shaped))
+    same = lambda x, y: (x["kind"] == y["kind"]) & (x["topic"] == y["topic"]) & (x["stance"] == y["stance"]) & (T.plain_letters(x["value"]) == T.plain_letters(y["value"]))
+    better = lambda y, x: (y["confidence"] > x["confidence"]) | ((y["confidence"] == x["confidence"]) & (y["order"] < x["order"]))
+    rows = rows.withColumn("_all", F.array_sort(F.filter("_all", lambda x: ~F.exists("_all", lambda y: same(x, y) & better(y, x)))))
+    apart = lambda x, y: (x["end"] <= y["start"]) | (x["start"] >= y["end"])
+    kept = F.aggregate("_all", F.slice("_all", 1, 0), lambda acc, x: F.when(F.forall(acc, lambda y: apart(x, y)), F.array_append(acc, x)).otherwise(acc))
+    out = rows.select("id", F.explode(kept).alias("x")).where(F.col("x.confidence") >= least)
+    excerpt = F.when(F.length("x.whole") > 160, F.concat(F.substring("x.whole", 1, 159), F.lit("…"))).otherwise(F.col("x.whole"))
+    return out.select("id", *[F.col(f"x.{c}").alias(c) for c in ("start", "end", "kind", "topic", "value", "stance", "confidence")], excerpt.alias("excerpt"))

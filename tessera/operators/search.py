@@ -140,4 +140,14 @@ def result(hits: DataFrame) -> DataFrame:
 
 
 def header(repo: Column, path: Column, start: Column, end: Column) -> Column:
-    return F.concat(F.lit("["), repo, F.lit("] "), path, F.when(start.isNotNull(), F.concat(F.lit(":"), start.cast("string"), F.lit("-"), F.coalesce(end, start).cast("string"))).otherwise(F.lit("")))
+    """``[repo] path:start-end`` with question marks for what is missing."""
+    or_mark = lambda x: F.coalesce(x.cast("string"), F.lit("?"))
+    named = F.when(F.trim(F.coalesce(repo, F.lit(""))) != "", F.concat(F.lit("["), repo, F.lit("] "))).otherwise(F.lit(""))
+    return F.concat(named, or_mark(path), F.lit(":"), or_mark(start), F.lit("-"), or_mark(end))
+
+
+def result_block(position: Column, shown_score: Column, head: Column, text: Column) -> Column:
+    """A hit as two lines of text."""
+    bare = F.replace(T.truncated(T.collapsed(text), 300), F.lit('"'), F.lit("'"))
+    quoted = F.when(F.coalesce(bare, F.lit("")) != "", bare).otherwise(F.lit("(no text payload)"))
+    return F.concat(F.lit("["), position.cast("string"), F.format_string("] score=%.4f  ", shown_score), head, F.lit('\n    snippet: "'), quoted, F.lit('"'))

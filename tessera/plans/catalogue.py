@@ -615,6 +615,18 @@ def prompt_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rag.prompt(_evidence(spark, sf_dir), "label", "question")
 
 
+@query("answer_policy", f"WITH {EVIDENCE_SQL}, s AS (SELECT label, position, path, ln, snippet FROM e WHERE label < 5), a AS (SELECT label, count(*) AS n, '{rag.GROUNDED_HEAD}' || chr(10) || chr(10) || string_agg('- ' || path || ' ' || ln || chr(10) || '```' || chr(10) || snippet || chr(10) || '```', chr(10) ORDER BY position) AS answer FROM s GROUP BY label), l AS (SELECT DISTINCT label FROM embeddings) SELECT l.label, coalesce(n, 0) AS n_evidence, CASE WHEN n IS NULL THEN 'fallback' ELSE 'grounded' END AS kind, coalesce(answer, '{rag.NO_EVIDENCE}') AS answer FROM l LEFT JOIN a ON a.label = l.label")
+def answer_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rag.answers(table(spark, sf_dir, "embeddings").select("label"), _evidence(spark, sf_dir).where("label < 5"), "label", grounded=True)
+
+
+@query("search_result_blocks", f"WITH {fused_sql(10, 1)}, b AS (SELECT *, replace(CASE WHEN length({COLLAPSED.format('text')}) > 300 THEN rtrim(substr({COLLAPSED.format('text')}, 1, 297)) || '...' ELSE {COLLAPSED.format('text')} END, '\"', chr(39)) AS x FROM fused) SELECT position, '[' || position || '] score=' || printf('%.4f', s) || '  [' || repo || '] ' || path || ':1-' || coalesce((CASE WHEN id % 2 = 0 THEN 9 END)::VARCHAR, '?') || chr(10) || '    snippet: \"' || CASE WHEN x = '' THEN '(no text payload)' ELSE x END || '\"' AS block FROM b")
+def search_result_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = hybrid(spark, sf_dir, 10, 1)
+    head = S.header(F.col("repo"), F.col("path"), F.lit(1), F.when(F.col("id") % 2 == 0, 9))
+    return hits.select(F.col("position").cast("long").alias("position"), S.result_block(F.col("position"), F.col("score"), head, F.col("text")).alias("block"))
+
+
 # --- embedding and streaming --------------------------------------------------------------------------------------
 
 

@@ -143,16 +143,52 @@ def test_context_falls_back_to_the_tail(spark):
     assert found[2].context.startswith("[Turno 2]") and found[2].turns_used == 1
 
 
+def plain_statements(text):
+    """Extraction as a loop over Python's own patterns."""
+    import re
+    import unicodedata
+
+    bare = lambda x: "".join(c for c in unicodedata.normalize("NFKD", x.casefold()) if not unicodedata.combining(c))
+
+    def usual(value):
+        value = " ".join(value.split()).strip(" .,:;-'\"()[]{}")
+        return memory.ALIASES.get(bare(value)) or (value.upper() if value.upper() in memory.ACRONYMS else value)
+
+    said, found = " ".join(text.split()), []
+    if not 1 <= len(said) <= 500:
+        return []
+    for kind, topic, confidence, pattern in memory.STATEMENTS:
+        for m in re.finditer(pattern, said, re.I):
+            value, verb = usual(m[2]), m[1].lower()
+            if not value or len(value) > 120 or value.count(",") >= 2 or any(d in f" {bare(value)} " for d in memory.DOUBTS):
+                continue
+            avoid = {"odeio", "detesto", "i hate"} | ({"não gosto de", "nao gosto de", "i dislike"} if topic == "framework_preference" else set())
+            stance = "identity" if kind == "profile" else "avoid" if topic == "development_convention" else "require" if kind == "convention" else "avoid" if verb in avoid else "prefer"
+            found.append((m.start(), m.end(), kind, topic, value, stance, confidence))
+    best = {}
+    for f in found:
+        key = (f[2], f[3], f[5], bare(f[4]))
+        if key not in best or f[6] > best[key][6]:
+            best[key] = f
+    kept = []
+    for f in sorted(best.values(), key=lambda f: (f[0], f[0] - f[1], -int(f[6] * 100))):
+        if all(f[1] <= k[0] or f[0] >= k[1] for k in kept):
+            kept.append(f)
+    return sorted(f for f in kept if f[6] >= 0.7)
+
+
 def test_extraction(spark):
-    said = ["my name is Ana Souza", "Prefiro ts como linguagem", "i hate redux for state", "always use camelcase for naming", "never use var", "i prefer maybe react", "x" * 600, "nothing here", "i prefer a, b"]
+    import random
+
+    r = random.Random(4)
+    bits = ["my name is", "Meu nome é", "Ana Souza", "prefiro", "i hate", "I prefer", "gosto de", "não gosto de", "redux", "context api", "ts", "como linguagem", "for state", "framework", "always use", "camelcase", "for naming", "use", "jest", "for tests", "never use", "var", "maybe", "a, b, c", "rest", ",", ".", "and", "api"]
+    said = ["my name is Ana Souza", "Prefiro ts como linguagem", "i hate redux for state", "always use camelcase for naming", "never use var", "i prefer maybe react", "x" * 600, "nothing here", "", *(" ".join(r.choices(bits, k=r.randint(1, 12))) for _ in range(400))]
     found = {}
-    for r in memory.extract(spark.createDataFrame(list(enumerate(said)), "id int, text string")).collect():
-        found.setdefault(r.id, set()).add((r.topic, r.value, r.stance))
-    assert ("name", "Ana Souza", "identity") in found[0]
-    assert ("naming_convention", "camelcase for naming", "require") in found[3] or ("naming_convention", "camelCase", "require") in found[3]
-    assert ("development_convention", "var", "avoid") in found[4]
-    assert any(t == "state_management_preference" and s == "avoid" for t, _, s in found[2])
-    assert 5 not in found and 6 not in found and 7 not in found
+    for q in memory.extract(spark.createDataFrame(list(enumerate(said)), "id int, text string")).collect():
+        found.setdefault(q.id, []).append((q.start, q.end, q.kind, q.topic, q.value, q.stance, q.confidence))
+    for i, text in enumerate(said):
+        assert sorted(found.get(i, [])) == plain_statements(text), text
+    assert found[3][0][4] == "camelCase" and found[0][0][4] == "Ana Souza" and 5 not in found
 
 
 def test_answers(spark):
