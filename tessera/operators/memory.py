@@ -239,3 +239,29 @@ def extract(texts: DataFrame, least: float = 0.7) -> DataFrame:
     out = rows.select("id", F.explode(kept).alias("x")).where(F.col("x.confidence") >= least)
     excerpt = F.when(F.length("x.whole") > 160, F.concat(F.substring("x.whole", 1, 159), F.lit("…"))).otherwise(F.col("x.whole"))
     return out.select("id", *[F.col(f"x.{c}").alias(c) for c in ("start", "end", "kind", "topic", "value", "stance", "confidence")], excerpt.alias("excerpt"))
+
+
+def disable(entries: DataFrame, where: Column, now: Column, reason: str) -> DataFrame:
+    """Active entries for which ``where`` holds become inactive; a time set before stays."""
+    hit = F.col("active") & where
+    return entries.withColumns({"active": F.col("active") & ~hit, "disabled_at": F.when(hit, F.coalesce("disabled_at", now)).otherwise(F.col("disabled_at")), "disabled_reason": F.when(hit, F.lit(reason)).otherwise(F.col("disabled_reason")), "updated_at": F.when(hit, now).otherwise(F.col("updated_at"))})
+
+
+def supersede(entries: DataFrame, old_id: object, now: Column, reason: str = "semantic_contradiction") -> DataFrame:
+    """An active entry gives way to another one; its time is set anew."""
+    hit = F.col("active") & (F.col("id") == old_id)
+    return entries.withColumns({"active": F.col("active") & ~hit, "disabled_at": F.when(hit, now).otherwise(F.col("disabled_at")), "disabled_reason": F.when(hit, F.lit(reason)).otherwise(F.col("disabled_reason")), "updated_at": F.when(hit, now).otherwise(F.col("updated_at"))})
+
+
+def confirm(entries: DataFrame, where: Column, now: Column) -> DataFrame:
+    """Entries, active or not, are confirmed once more."""
+    return entries.withColumns({"times_reinforced": F.col("times_reinforced") + F.when(where, 1).otherwise(0), "last_confirmed_at": F.when(where, now).otherwise(F.col("last_confirmed_at")), "updated_at": F.when(where, now).otherwise(F.col("updated_at"))})
+
+
+def value_hash(value: Column) -> Column:
+    """Identity of a value, whatever its case and white space."""
+    return F.sha2(F.lower(T.collapsed(value)).cast("binary"), 256)
+
+
+def user_key(tenant: Column, user: Column) -> Column:
+    return F.sha2(F.concat_ws(":", tenant, user).cast("binary"), 256)

@@ -53,7 +53,7 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.join(files(spark, sf_dir), F.col("id") == F.col("doc_id")).drop("doc_id")
 
 
-def probe(spark: SparkSession, sf_dir: str) -> Column:
+def probe(spark: SparkSession, sf_dir: str) -> list[float]:
     """The first vector as the query: one row of one column comes to the driver."""
     row = table(spark, sf_dir, "embeddings").where("vec_id = 0").select("embedding").first()
     return S.query_vector([float(x) for x in row.embedding])
@@ -154,6 +154,20 @@ def search_result_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.result(hits)
 
 
+@query("enriched_snippets", f"WITH {POINTS_SQL}, l AS (SELECT doc_id, {COLLAPSED.format("array_to_string((string_split(regexp_replace(text, chr(10) || '$', ''), chr(10)))[2:4], chr(10))")} AS x FROM files WHERE doc_id % 3 <> 0) SELECT p.id, CASE WHEN p.id % 2 = 0 AND coalesce(x, '') <> '' THEN CASE WHEN length(x) > 300 THEN rtrim(substr(x, 1, 297)) || '...' ELSE x END ELSE 'own' END AS snippet FROM points p LEFT JOIN l ON l.doc_id = p.id")
+def enriched_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every third file is missing, and every other hit has no range."""
+    hits = points(spark, sf_dir).select("id", "repo", "path", F.when(F.col("id") % 2 == 0, 2).alias("start_line"), F.when(F.col("id") % 2 == 0, 4).alias("end_line"), F.lit("own").alias("snippet"))
+    return S.enriched(hits, files(spark, sf_dir).where("doc_id % 3 <> 0")).select("id", "snippet")
+
+
+@query("context_path_filter", f"WITH {FILES_SQL} SELECT doc_id, doc_id % 9 = 0 AS excluded FROM files")
+def context_path_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every ninth file lies in a cache or a virtual environment."""
+    inside = F.when(F.col("doc_id") % 9 == 0, F.element_at(F.array(F.lit("x/.venv/"), F.lit("x/__pycache__/")), (F.col("doc_id") % 2 + 1).cast("int"))).otherwise(F.lit("x/"))
+    return files(spark, sf_dir).select("doc_id", C.excluded_from_context(F.concat(inside, "path")).alias("excluded"))
+
+
 @query("vector_validation", "SELECT vec_id, len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AS valid, round(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 6) AS norm FROM embeddings")
 def vector_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", S.valid_vector(F.col("embedding"), 64).alias("valid"), F.round(S.norm(F.col("embedding")), 6).alias("norm"))
@@ -575,6 +589,15 @@ def memory_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return memory.status(_entries(spark, sf_dir)).select("id", "status")
 
 
+@query("memory_updates", f"WITH {MEMORIES_SQL}, e AS (SELECT *, id % 4 <> 0 AS active, CASE WHEN id % 12 = 0 THEN TIMESTAMP '2024-01-05' END AS disabled_at FROM m), d AS (SELECT *, active AND id % 5 = 0 AS gone FROM e) SELECT id, active AND NOT gone AS active, epoch_us(CASE WHEN gone THEN coalesce(disabled_at, TIMESTAMP '{NOW}') ELSE disabled_at END) AS disabled_us, CASE WHEN gone THEN 'forgotten' END AS disabled_reason, reinforced + CASE WHEN user_id % 2 = 0 THEN 1 ELSE 0 END AS times_reinforced, sha256(lower({COLLAPSED.format('value')})) AS value_hash FROM d")
+def memory_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    now = F.lit(NOW).cast("timestamp")
+    none = F.lit(None).cast("timestamp")
+    rows = _entries(spark, sf_dir).withColumnRenamed("reinforced", "times_reinforced").withColumns({"disabled_at": F.when(F.col("id") % 12 == 0, F.lit("2024-01-05").cast("timestamp")), "disabled_reason": F.lit(None).cast("string"), "last_confirmed_at": none})
+    found = memory.confirm(memory.disable(rows, F.col("id") % 5 == 0, now, "forgotten"), F.col("user_id") % 2 == 0, now)
+    return found.select("id", "active", F.unix_micros("disabled_at").alias("disabled_us"), "disabled_reason", "times_reinforced", memory.value_hash(F.col("value")).alias("value_hash"))
+
+
 @query("memory_remember")
 def memory_remember(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each user turn's first words as a statement about its conversation, folded in order."""

@@ -69,6 +69,17 @@ def test_result_shape(spark):
     assert found[0].snippet == found[2].snippet == "(no snippet)" and len(found[1].snippet) <= 300 and found[1].snippet.endswith("...")
 
 
+@pytest.mark.parametrize("distance", ["cosine", "dot", "euclid", "manhattan"])
+def test_scores_written_out_and_folded(spark, monkeypatch, distance):
+    rows = spark.createDataFrame([(1, [1.0, 2.0, 3.0]), (2, [0.5, -1.0, 0.25]), (3, [0.0, 0.0, 0.0])], "id int, vector array<float>")
+    query = search.query_vector([0.5, 0.25, -2.0])
+    out = [r[0] for r in rows.orderBy("id").select(search.score(F.col("vector"), query, distance)).collect()]
+    monkeypatch.setattr(search, "WRITTEN_OUT", 0)
+    folded = [r[0] for r in rows.orderBy("id").select(search.score(F.col("vector"), query, distance)).collect()]
+    assert all(a == b or abs(a - b) < 1e-12 for a, b in zip(out, folded, strict=True))
+    assert (out[2] is None) == (distance == "cosine")
+
+
 def test_query_vectors_are_checked():
     for bad in ([], [float("nan")], [float("inf")]):
         with pytest.raises(ValueError):
