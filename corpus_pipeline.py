@@ -1,7 +1,7 @@
 """The corpus pipeline: five stages from raw documents to packed token sequences.
 
 Each stage is a function of (spark, docs, sf_dir); its result is written as Parquet and read again as the next
-stage's documents. Stages that filter keep the columns of ``documents``; texts that a stage changes stay changed.
+stage's documents. Stages that filter keep all columns of their input; texts that a stage changes stay changed.
 A document whose id is null can't be named by the later stages' results: it is kept until packing.
 """
 
@@ -15,13 +15,10 @@ from tessera.llm import decontaminate, jaccard_join, language_id, line_dedup, pa
 from tessera.llm.common import shared_folder, table
 from tessera.llm.queries_common import held_out, tokenizer_path
 
-COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-
-
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that language ID rejects go: those without letters, and those unlike every learnt language."""
     models = language_id.fit(docs.where(~F.coalesce(held_out(), F.lit(True))))
-    return language_id.keep_known(docs.select(*COLUMNS), models)
+    return language_id.keep_known(docs, models)
 
 
 def drop_boilerplate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,21 +27,25 @@ def drop_boilerplate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     A document that loses every line goes: all it said stands where it occurred first. Documents that were
     empty before stay.
     """
-    found = line_dedup.drop_boilerplate(docs.select(*COLUMNS))
+    # columns of these names would be replaced by the operator's own
+    aside = {c: f"_own_{c}" for c in ("n_lines", "n_removed") if c in docs.columns}
+    found = line_dedup.drop_boilerplate(docs.withColumnsRenamed(aside))
     left = found.where((F.col("n_removed") == 0) | F.col("text").rlike(r"\S"))
-    return left.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
+    if "n_chars" in docs.columns:
+        left = left.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return left.select(*[F.col(aside.get(c, c)).alias(c) for c in docs.columns])
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays, the one with the smallest id."""
     classes = jaccard_join.near_duplicates(docs)
-    gone = classes.where(~F.col("kept")).select(F.col("doc_id").alias("_gone"))
-    return docs.select(*COLUMNS).join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    gone = classes.where(~F.col("kept")).select("doc_id")
+    return docs.join(gone, docs["doc_id"] == gone["doc_id"], "left_anti")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item's words go."""
-    return decontaminate.decontaminate(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"))
+    return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -207,14 +207,15 @@ def in_cells(df: DataFrame, keys: list[str], member: str, block: int) -> DataFra
     dropped and no task holds more than two blocks, so a key that holds a third of all rows is spread.
     """
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > block).withColumn("_blocks", F.ceil(F.col("_n") / block).cast("int"))
-    rows = df.join(sizes.drop("_n"), keys, "left").withColumn("_blocks", F.coalesce("_blocks", F.lit(1)))
+    # stored, so that the few large keys are joined by their true size and a hot key's rows can be split
+    rows = df.join(checkpointed(sizes.drop("_n")), keys, "left").withColumn("_blocks", F.coalesce("_blocks", F.lit(1)))
     rows = rows.withColumn("own", F.pmod(F.xxhash64(member), F.col("_blocks")).cast("int"))
     rows = rows.withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
     return rows.withColumn("cell_a", F.least("own", "_j")).withColumn("cell_b", F.greatest("own", "_j")).drop("_blocks", "_j")
 
 
-def forest(n: int, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
-    """Edges of a spanning forest of n nodes that joins what the given pairs join: n - 1 at most.
+def joined(n: int, left: np.ndarray, right: np.ndarray) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """A spanning forest of n nodes that joins what the given pairs join, and each node's root, the smallest of its tree.
 
     In rounds: each tree that meets one with a smaller root is hooked to the smallest such; depths are flattened.
     """
@@ -233,7 +234,12 @@ def forest(n: int, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]
         kept += zip(left[first].tolist(), right[first].tolist(), strict=True)
         while (parent[parent] != parent).any():
             parent = parent[parent]
-    return kept
+    return kept, parent
+
+
+def forest(n: int, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
+    """The edges of ``joined``: n - 1 at most."""
+    return joined(n, left, right)[0]
 
 
 def components(edges: DataFrame) -> DataFrame:

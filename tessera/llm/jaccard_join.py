@@ -1,5 +1,10 @@
 """N-gram Jaccard join: a MinHash LSH forest finds candidates, exact Jaccard of five-word shingles decides.
 
+Each tree of the forest is a prefix trie of signatures of ``DEPTH`` MinHash values. Rows are dealt by the subtrie that
+the shortest allowed prefix names and sorted by signature, so a task sees each subtrie as a sorted run. There it
+matches the longest prefixes first and shortens them value by value, comparing whole signatures of what is not
+joined yet, until all of the subtrie is joined or the prefix length that gives the target recall is done.
+
 Words are longest runs of ASCII letters, digits and non-ASCII characters of the lower-cased text. A text with
 fewer than five words, but one at least, has one shingle of all its words; a text without words has none and
 links with nothing, not even with its copies. Null texts count as empty. Repeated rows of one doc_id count as
@@ -18,10 +23,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from .common import U64, checkpointed, components, forest, gram_hashes, grouped, in_cells, map_arrow, mix, steps, text_buffer, word_hashes
+from .common import U64, checkpointed, components, forest, gram_hashes, grouped, in_cells, joined, map_arrow, mix, steps, text_buffer, word_hashes
 
 WORDS = 5
-#: Signature length of a tree, the longest prefix that the forest matches first.
+#: Values in a tree's signature: the longest prefix, which the forest matches first.
 DEPTH = 8
 TREES = 16
 
@@ -69,7 +74,7 @@ def shingle_sets(texts: pa.Array, words: int) -> Iterator[tuple[int, np.ndarray,
 
 
 def signed(docs: DataFrame, id_col: str, text_col: str, words: int, trees: int, depth: int) -> DataFrame:
-    """doc, digest of its shingle set, n shingles, tree prefixes (long each) and one byte of every MinHash value."""
+    """doc, digest of its shingle set, n shingles, the subtrie of each tree (a hash of the first ``depth`` values) and one byte of every MinHash value."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -78,12 +83,12 @@ def signed(docs: DataFrame, id_col: str, text_col: str, words: int, trees: int,
                 n = len(at) - 1
                 sets = [np.unique(grams[at[i] : at[i + 1]]) for i in range(n)]
                 sizes = np.array([len(s) for s in sets], np.int64)
-                whole = signatures(np.concatenate(sets), np.concatenate([[0], np.cumsum(sizes)]), trees * depth)
+                whole = signatures(np.concatenate(sets), np.concatenate([[0], np.cumsum(sizes)]), trees * DEPTH)
                 prefixes = np.empty((n, trees), np.int64)
                 for t in range(trees):
                     key = np.full(n, t + 1, U64)
                     for d in range(depth):
-                        key = mix(key * U64(31) + whole[:, t * depth + d].astype(U64))
+                        key = mix(key * U64(31) + whole[:, t * DEPTH + d].astype(U64))
                     prefixes[:, t] = key.view(np.int64)
                 kept = np.flatnonzero(sizes)
                 rows = pa.RecordBatch.from_arrays(
@@ -130,6 +135,35 @@ def _pairs(rows: pa.Table, least: int) -> tuple[np.ndarray, np.ndarray]:
     return a[once], b[once]
 
 
+def descend(rows: pa.Table, least: int, shortest: int) -> list[tuple[int, int]]:
+    """A forest over a subtrie's rows (sorted by path) that joins every pair whose signatures share ``least`` bytes.
+
+    Runs of rows with a common prefix are compared, from the longest prefix to the shortest; runs that are joined
+    already are passed over.
+    """
+    left, right = _sides(rows)
+    sides = np.zeros((2, rows.num_rows), bool)
+    sides[0, left] = sides[1, right] = True
+    sig, path = _matrix(rows.column("sig"), np.uint8), _matrix(rows.column("path"), np.uint8)
+    root, kept = np.arange(rows.num_rows), []
+    for depth in range(DEPTH, shortest - 1, -1):
+        new = np.flatnonzero((path[1:, :depth] != path[:-1, :depth]).any(1)) + 1
+        begin, end = np.concatenate([[0], new]), np.concatenate([new, [len(root)]])
+        open_ = np.minimum.reduceat(root, begin) != np.maximum.reduceat(root, begin)
+        first, second = [], []
+        for x, y in zip(begin[open_].tolist(), end[open_].tolist(), strict=True):
+            l, r = x + np.flatnonzero(sides[0, x:y]), x + np.flatnonzero(sides[1, x:y])
+            i, j = np.nonzero((_agreement(sig[l], sig[r]) >= least) & (root[l][:, None] != root[r][None]))
+            first.append(l[i])
+            second.append(r[j])
+        if first:
+            # roots are rows of the tree, so an edge between roots joins the same trees
+            more, parent = joined(len(root), root[np.concatenate(first)], root[np.concatenate(second)])
+            kept += more
+            root = parent[root]
+    return kept
+
+
 def _intersections(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Sizes of the intersections of the pairs (a, b) of sorted sets."""
     if len(a) <= 4 * len(sets):
@@ -165,7 +199,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     pair rows are made: a cell gives counts and a spanning forest.
     """
     depth = forest_depth(similarity, trees, DEPTH, recall)
-    least = math.floor(max(0.0, similarity - slack) * trees * depth)
+    least = math.floor(max(0.0, similarity - slack) * trees * DEPTH)
     # a text's signature row is small, so it is kept and its text is read again only for candidates
     rows = checkpointed(signed(docs, id_col, text_col, words, trees, depth))
     nodes = rows.groupBy("digest", "n").agg(F.min("doc").alias("rep"), F.count(F.lit(1)).alias("copies"))
@@ -174,19 +208,21 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     heads = rows.join(nodes.select("digest", "n", F.col("rep").alias("doc"), "copies"), ["doc", "digest", "n"]).groupBy("doc", "digest").agg(F.first("prefixes").alias("prefixes"), F.first("sig").alias("sig"), F.first("copies").alias("copies"), F.first("n").alias("n"))
     heads = checkpointed(heads.withColumn("node", F.xxhash64("digest")))
 
-    prefixes = heads.select("node", F.explode("prefixes").alias("prefix"))
-    met = prefixes.groupBy("prefix").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("prefix")
+    prefixes = heads.select("node", F.posexplode("prefixes").alias("tree", "prefix"))
+    # stored, so that the join below is between two exchanges and a prefix of many near copies can be split
+    met = checkpointed(prefixes.groupBy("prefix").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("prefix"))
     meeting = prefixes.join(met, "prefix").join(heads.select("node", "sig"), "node")
+    meeting = meeting.withColumn("path", F.substring("sig", F.col("tree") * DEPTH + 1, F.lit(DEPTH)))
 
     def link(rows: pa.Table) -> pa.RecordBatch | None:
-        a, b = _pairs(rows, least)
-        if not len(a):
+        kept = descend(rows, least, depth)
+        if not kept:
             return None
         node = rows.column("node").to_numpy()
-        edges = np.array([(node[x], node[y]) for x, y in forest(len(node), a, b)], np.int64)
+        edges = np.array([(node[x], node[y]) for x, y in kept], np.int64)
         return pa.RecordBatch.from_arrays([pa.array(edges[:, 0]), pa.array(edges[:, 1])], ["u", "v"])
 
-    edges = grouped(in_cells(meeting, ["prefix"], "node", 2 * block), ["prefix", "cell_a", "cell_b"], ["node"], link, "u long, v long")
+    edges = grouped(in_cells(meeting, ["prefix"], "node", 2 * block), ["prefix", "cell_a", "cell_b"], ["path", "node"], link, "u long, v long")
     candidates = components(edges)
 
     group = heads.join(candidates, "node").select("doc", "node", "component", "copies", "sig", "digest")

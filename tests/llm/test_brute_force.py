@@ -283,6 +283,14 @@ def test_kneser_ney_adds_up_to_one_and_follows_its_formula():
         assert np.isclose(np.exp(models.log_probability(code))[0, 0], plain(gram, 4)), gram
 
 
+def test_a_model_keeps_the_most_frequent_grams(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    whole, small = language_id.fit(docs), language_id.fit(docs, max_grams=500)
+    assert small.languages == whole.languages and len(small.keys[3]) < len(whole.keys[3]) and len(small.keys[3]) <= 500 * len(small.languages) * 1.01
+    found = language_id.identify(docs, small).join(docs.select(F.col("doc_id").alias("id"), "lang"), "id").collect()
+    assert sum(r.lang == r.lang_pred for r in found) > 0.97 * len(found)
+
+
 def test_unknown_languages_are_rejected(spark):
     docs = spark.read.parquet(f"{MIDDLE}/documents.parquet")
     models = language_id.fit(docs)

@@ -99,3 +99,20 @@ def test_vectors(spark, rows):
         df = df.withColumn(name, F.lit("x"))
     found = sorted((r.vec_id, r.n_links, r.component_id) for r in embedding_dedup.near_duplicates(df).collect())
     assert found == ([(1, 3, 1), (1, 3, 1), (2, 3, 1), (3, 0, 3), (4, 0, 4), (5, 0, 5), (6, 0, 6), (7, 0, 7), (8, 0, 8), (9, 3, 1), (10, 0, 10)] if rows else [])
+
+
+@pytest.mark.parametrize("rows", [ROWS, []], ids=["rows", "empty"])
+def test_pipeline_stages_keep_odd_columns(spark, tmp_path, rows):
+    import corpus_pipeline
+
+    docs = frame(spark, rows).withColumn("n_chars", F.length("text").cast("long")).withColumn("n_removed", F.lit("mine")).withColumn("n_lines", F.lit(7))
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, docs, "/root/testdata/sf0.001").write.parquet(str(tmp_path / name))
+        found = spark.read.parquet(str(tmp_path / name))
+        if name != "packing":
+            assert found.columns == docs.columns
+            assert {r.n_removed for r in found.collect()} <= {"mine"}
+            docs = found
+    kept = sorted((r.doc_id or 0, r.text or "") for r in docs.collect())
+    # texts without letters are rejected, copies go but for one
+    assert [k for k, _ in kept] == ([0, 1, 5, 7] if rows else []) or [k for k, _ in kept] == ([0, 1, 1, 5, 7] if rows else [])
