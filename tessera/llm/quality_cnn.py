@@ -82,9 +82,8 @@ class Network:
         places = np.concatenate([[0], np.cumsum(halves)])
         size = half * STRIDE
         padded = np.full(int(places[-1]) * size + STRIDE, PAD, np.int16)
-        lengths = np.diff(offsets)
-        at = np.repeat(places[:-1] * size - offsets[:-1], lengths) + np.arange(offsets[0], offsets[-1])
-        padded[at] = data[offsets[0] : offsets[-1]]
+        for place, a, b in zip((places[:-1] * size).tolist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+            padded[place : place + b - a] = data[a:b]
         tops = np.empty((int(places[-1]), FILTERS), np.float32)
         width = STRIDE * EMBED
         weights = np.concatenate([self.filters[:width], self.filters[width:]], 1)
