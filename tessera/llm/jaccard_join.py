@@ -109,6 +109,8 @@ def signed(docs: DataFrame, id_col: str, text_col: str, words: int, trees: int,
 
 def _agreement(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """How many signature bytes each pair of rows shares."""
+    if len(left) * len(right) <= 1024:
+        return (left[:, None] == right[None]).sum(2, dtype=np.int16)
     out = np.zeros((len(left), len(right)), np.int16)
     for k in range(left.shape[1]):
         out += left[:, k, None] == right[None, :, k]
@@ -202,7 +204,8 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     least = math.floor(max(0.0, similarity - slack) * trees * DEPTH)
     # a text's signature row is small, so it is kept and its text is read again only for candidates
     rows = checkpointed(signed(docs, id_col, text_col, words, trees, depth))
-    nodes = rows.groupBy("digest", "n").agg(F.min("doc").alias("rep"), F.count(F.lit(1)).alias("copies"))
+    # stored, so that the joins by digest are between exchanges and a text of very many copies can be split
+    nodes = checkpointed(rows.groupBy("digest", "n").agg(F.min("doc").alias("rep"), F.count(F.lit(1)).alias("copies")))
     member = rows.select("doc", "digest", "n").join(nodes, ["digest", "n"])
     # several rows may carry one doc_id; the node's own row is one of them
     heads = rows.join(nodes.select("digest", "n", F.col("rep").alias("doc"), "copies"), ["doc", "digest", "n"]).groupBy("doc", "digest").agg(F.first("prefixes").alias("prefixes"), F.first("sig").alias("sig"), F.first("copies").alias("copies"), F.first("n").alias("n"))

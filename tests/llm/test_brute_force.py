@@ -291,6 +291,21 @@ def test_a_model_keeps_the_most_frequent_grams(spark):
     assert sum(r.lang == r.lang_pred for r in found) > 0.97 * len(found)
 
 
+def test_long_texts_count_piece_by_piece(monkeypatch):
+    text = "abc def, ghi jklmnop qr " * 30 + "z" * 90
+    whole = language_id.tallied([text])
+    models = language_id.estimate({"x": whole})
+    entropy, n = models.of_texts([text, "abc", None])
+    original = language_id.pieces
+    monkeypatch.setattr(language_id, "pieces", lambda t: original(t, 50))
+    assert len(original(text, 50)) > 10 and "".join(original(text, 50)) == text
+    parted = language_id.tallied([text])
+    # only the word of 90 letters is cut within
+    assert abs(int(parted[1].sum()) - int(whole[1].sum())) <= 2
+    again, m = models.of_texts([text, "abc", None])
+    assert np.abs(again - entropy).max() < 0.05 and np.abs(m - n).max() <= 2 and m[1:].tolist() == [4 - 1, 0]
+
+
 def test_unknown_languages_are_rejected(spark):
     docs = spark.read.parquet(f"{MIDDLE}/documents.parquet")
     models = language_id.fit(docs)
