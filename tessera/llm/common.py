@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 U64 = np.uint64
 #: Bytes of text that a vectorised step handles at once; a longer single text makes a longer step.
 STEP_BYTES = 1 << 20
+#: Bytes of one text that are hashed at once.
+LONG_TEXT = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -108,9 +110,20 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     """64-bit hashes of all words of lower-cased texts, and each text's n+1 offsets into them.
 
     A word is a longest run of ASCII letters, digits and bytes of non-ASCII characters. A word's hash is the
-    difference of two prefix sums of one polynomial over the buffer, brought to a common power and mixed.
+    difference of two prefix sums of one polynomial over the buffer, brought to a common power and mixed. A single
+    text beyond ``LONG_TEXT`` bytes is hashed in parts that end behind separators, so that only its hashes are held
+    whole (a word of more bytes than that is cut).
     """
     n = len(data)
+    if len(offsets) == 2 and n > LONG_TEXT:
+        found, at = [], 0
+        while at < n:
+            gaps = np.flatnonzero(~IS_WORD[data[at : at + LONG_TEXT]])
+            end = n if n - at <= LONG_TEXT else at + (int(gaps[-1]) + 1 if len(gaps) else LONG_TEXT)
+            found.append(word_hashes(data[at:end], np.array([0, end - at]))[0])
+            at = end
+        hashes = np.concatenate(found)
+        return hashes, np.array([0, len(hashes)])
     if not n:
         return np.zeros(0, U64), np.zeros(len(offsets), np.int64)
     inside = IS_WORD[data]

@@ -120,6 +120,16 @@ def test_components(spark):
     assert found == {k: v for k, v in smallest_reached(nodes, links).items()}
 
 
+def test_word_hashes_of_long_texts(monkeypatch):
+    text = ("Alpha beta, gamma-delta é " * 40 + "x" * 90 + " end").lower().encode()
+    data, at = np.frombuffer(text, np.uint8), np.array([0, len(text)])
+    whole, _ = common.word_hashes(data, at)
+    assert len(whole) == len(WORD.findall(text.decode())) and len(set(whole.tolist())) == len(set(WORD.findall(text.decode())))
+    monkeypatch.setattr(common, "LONG_TEXT", 100)
+    parts, offsets = common.word_hashes(data, at)
+    assert parts.tolist() == whole.tolist() and offsets.tolist() == [0, len(whole)]
+
+
 def test_forest_joins_all_and_no_more():
     r = np.random.default_rng(0)
     for n in (1, 2, 10, 200):
