@@ -54,12 +54,13 @@ def boilerplate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     on; they are written to the shared folder once and read for sketches, exact counts and first occurrences.
     """
     lines = lines_of(docs, id_col, text_col, site_col)
-    often = lines.groupBy("line").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_sites).select("line")
+    # stored, so that the join is between two exchanges (or a broadcast, by true size) and a hot line can be split
+    often = checkpointed(lines.groupBy("line").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_sites).select("line"))
     lines = checkpointed(lines.join(often, "line"))
-    # first occurrences come from a partial aggregate over the stored lines, and the join below feeds an exchange by
-    # another key, so Spark can split a line that a third of all documents share
+    # first occurrences come from a partial aggregate over the stored lines; the few wide lines are stored too, and the
+    # join below feeds an exchange by another key, so Spark can split a line that a third of all documents share
     first = lines.groupBy("line").agg(F.min(F.struct("id", "at", "key")).alias("first"))
-    wide = spread_lines(lines, min_sites, margin).join(first, "line")
+    wide = checkpointed(spread_lines(lines, min_sites, margin).join(first, "line"))
     gone = lines.join(wide, "line").where(~((F.col("key") == F.col("first.key")) & (F.col("at") == F.col("first.at"))))
     return gone.groupBy("key").agg(F.collect_set("at").alias("drop"))
 
