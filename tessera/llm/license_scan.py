@@ -1,8 +1,10 @@
 """License scans by sentence rules.
 
-A text is cut into sentences (at line ends and after ``.``, ``!``, ``?`` or ``;`` before white space), each is
-normalised (lower case, every run of other characters than letters and digits becomes one space), and known
-sentences get identifiers. Rules are ordered sequences of identifiers: a rule matches where its identifiers stand
+A text is cut into sentences (at blank lines and after ``.``, ``!``, ``?`` or ``;`` before white space; a line of
+marks alone is blank), each is normalised (lower case, every run of other characters than letters and digits becomes
+one space, or one line feed where a line ends), and known sentences get identifiers. A known sentence stands from the
+start of a line to the end of the same line or a later one, so hard-wrapped and commented texts are read like unwrapped
+ones, and a known line without a stop (an SPDX tag, a copyright line) is found between other lines. Rules are ordered sequences of identifiers: a rule matches where its identifiers stand
 one after another among the text's known sentences, whatever other sentences stand between. Longer rules are
 tried first and each known sentence serves one rule only.
 
@@ -12,6 +14,8 @@ nothing is shuffled. Null texts count as empty; repeated rows give repeated resu
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 # One letter for each known sentence, and a pattern for its normalised form.
@@ -59,22 +63,38 @@ RULES = (
     ("proprietary", "M"),
 )
 #: A sentence without any of these words is none of the table's.
-HINT = r"(?i)licen[sc]|permission|copyright|warrant|redistribut|rights|copies|unencumbered|endorse|later version|\(c\)"
+HINT = r"(?i)licen[sc]|permission|copyright|warrant|redistribut|rights|copies|unencumbered|endorse|later[^\p{L}\p{N}]+version|\(c\)"
+
+
+def loosened(name: str) -> str:
+    """A sentence's pattern: what follows the known words may be missing, except for the year and holder of N."""
+    return re.sub(r" \.\*$", "( .*)?", SENTENCES[name]) if name != "N" else SENTENCES[name]
+
+
+def wrapped(name: str) -> str:
+    """The same with a line feed allowed for each space; a rest stays in its line, so that the next line is looked at too."""
+    return loosened(name).replace(" .* ", " (?s:.*?) ").replace(" .*", "\0.*").replace(" ", r"[ \n]").replace("\0", " ")
+
+
+#: All known sentences, from a line's start to a line's end.
+KNOWN = "(?m)^(?:" + "|".join(wrapped(name) for name in SENTENCES) + ")$"
 
 
 def sentences(text: Column) -> Column:
-    return F.split(text, r"\n+|(?<=[.!?;])\s+", -1)
+    return F.split(text, r"(?<=[.!?;])\s+|\n(?:[^\p{L}\p{N}\n]*\n)+", -1)
 
 
 def normalised(sentence: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(sentence), r"[^\p{L}\p{N}]+", " "))
+    """Words with one space between them, or one line feed where a line ends."""
+    words = F.regexp_replace(F.lower(sentence), r"[^\p{L}\p{N}\n]+", " ")
+    return F.btrim(F.regexp_replace(words, r" ?\n[ \n]*", "\n"), F.lit(" \n"))
 
 
 def identifier(sentence: Column) -> Column:
     """The letter of a normalised sentence, null if it isn't known."""
     out = F.lit(None).cast("string")
-    for name, pattern in reversed(SENTENCES.items()):
-        out = F.when(sentence.rlike(f"^(?:{pattern})$"), F.lit(name)).otherwise(out)
+    for name in reversed(SENTENCES):
+        out = F.when(sentence.rlike(f"^(?:{loosened(name)})$"), F.lit(name)).otherwise(out)
     return out
 
 
@@ -82,7 +102,8 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """One row per row of ``docs``: id, sentence_ids (the known ones in order), licenses (sorted, distinct), n_rules."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     hinted = F.filter(sentences(text), lambda s: s.rlike(HINT))
-    known = F.array_compact(F.transform(hinted, lambda s: identifier(normalised(s))))
+    found = F.flatten(F.transform(hinted, lambda s: F.regexp_extract_all(normalised(s), F.lit(KNOWN), F.lit(0))))
+    known = F.array_compact(F.transform(found, lambda s: identifier(F.translate(s, "\n", " "))))
     rows = docs.select(F.col(id_col).alias("id"), F.when(text.rlike(HINT), F.array_join(known, "")).otherwise(F.lit("")).alias("sentence_ids"))
     longest_first = sorted(dict.fromkeys(sequence for _, sequence in RULES), key=len, reverse=True)
     names = F.create_map(*[F.lit(x) for name, sequence in reversed(RULES) for x in (sequence, name)])

@@ -396,6 +396,44 @@ def test_license_rules(spark):
     assert found == [("apache-2.0",), ("mit",), ("proprietary",), ("gpl-3.0",), (), ("cc-by-nc-4.0", "proprietary")]
 
 
+MIT_TEXT = """MIT License
+
+Copyright (c) 2020 Somebody
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY.
+"""
+BSD_TEXT = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+GPL_TEXT = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+"""
+
+
+@pytest.mark.parametrize("mark", ["", "# ", " * ", "// "])
+def test_wrapped_license_texts(spark, mark):
+    """Hard-wrapped texts, plain and in comments, and known lines without a stop between others."""
+    texts = [MIT_TEXT, BSD_TEXT, GPL_TEXT, "at your option any later\nversion", "SPDX-License-Identifier: MIT\nimport os", "import os\nCopyright 2020 Somebody\nAll rights reserved\nimport re", "permission is hereby granted, free of charge,\n\nto any person obtaining a copy"]
+    texts = ["\n".join(mark + line for line in t.split("\n")) for t in texts]
+    rows = license_scan.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("id").collect()
+    assert [r.sentence_ids for r in rows] == ["NEFG", "OP", "IJ", "J", "D", "NM", ""]
+    assert [",".join(r.licenses) for r in rows] == ["mit", "bsd-3-clause", "gpl-3.0", "", "mit", "proprietary", ""]
+
+
 def test_pipeline_stages(spark, tmp_path):
     """Each stage on what the one before kept, against plain versions."""
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
