@@ -600,19 +600,19 @@ def memory_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("memory_remember")
 def memory_remember(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each user turn's first words as a statement about its conversation, folded in order."""
+    """Each user turn as a statement of its conversation, folded in order."""
     rows = turns(spark, sf_dir).where("role = 'user'")
-    said = F.concat(F.when(F.col("turn") % 4 == 2, "not ").otherwise(""), F.array_join(F.slice(F.split(T.collapsed(F.col("text")), " "), 1, 6), " "))
-    statements = rows.select((F.col("conv_id") % 50).alias("user_id"), (F.col("conv_id") * 1000 + F.col("turn")).alias("seq"), F.lit("preference").alias("kind"), F.lit("topic").alias("topic"), said.alias("value"), F.lit(0.8).alias("confidence"))
-    return memory.reconcile(statements, ["user_id"])
+    said = F.concat(F.when(F.col("turn") % 4 == 2, "not ").otherwise(""), T.collapsed(F.coalesce("text", F.lit(""))))
+    statements = rows.select("conv_id", (F.col("conv_id") * 1000 + F.col("turn")).alias("seq"), F.lit("preference").alias("kind"), F.lit("topic").alias("topic"), said.alias("value"), F.lit(0.8).alias("confidence"))
+    return memory.reconcile(statements, ["conv_id"])
 
 
 @query("memory_extract")
 def memory_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """User turns with a statement put before their first words."""
+    """User turns with a statement's opening put before them."""
     rows = turns(spark, sf_dir).where("role = 'user'")
     openings = F.array(*[F.lit(x) for x in ("My name is ", "I prefer ", "I hate ", "always use ", "never use ", "")])
-    said = F.concat(F.element_at(openings, (F.col("conv_id") % 6 + 1).cast("int")), F.array_join(F.slice(F.split(F.regexp_replace(T.collapsed(F.col("text")), "[.,!?]", ""), " "), 1, 4), " "))
+    said = F.concat(F.element_at(openings, (F.col("conv_id") % 6 + 1).cast("int")), F.coalesce("text", F.lit("")))
     return memory.extract(rows.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), said.alias("text")))
 
 

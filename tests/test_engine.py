@@ -254,6 +254,23 @@ def test_stream_takes_new_files_once(spark, tmp_path):
         assert ingest.current(spark, table).count() == n + 1
 
 
+def test_memory_queries_read_whole_turns(spark, tmp_path):
+    long = "we talked about the tables " * 20
+    rows = [
+        (5, 0, "user", "First we look at the tables of the week. After that I prefer jest"),
+        (5, 1, "user", "First we look at the tables and leave early today with all of our own things"),
+        (5, 2, "assistant", "I prefer pytest"),
+        (55, 0, "user", "First we look at the tables of the week. After that I prefer jest"),
+        (11, 0, "user", long + ". I prefer jest"),
+        (17, 0, "user", None),
+    ]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    kept = {(r.conv_id, r.id): r.value for r in catalogue.memory_remember(spark, str(tmp_path)).collect()}
+    assert kept == {(5, 5000): rows[0][3], (5, 5001): rows[1][3], (55, 55000): rows[3][3], (11, 11000): rows[4][3], (17, 17000): ""}
+    found = sorted((r.id, r.topic, r.value) for r in catalogue.memory_extract(spark, str(tmp_path)).collect())
+    assert found == [(5000, "language_preference", "Jest"), (55000, "language_preference", "Jest")]
+
+
 def test_stream_keeps_recent_turns(spark, tmp_path):
     folder = str(tmp_path / "in")
     spark.createDataFrame([(c, t, "x") for c in (1, 2) for t in range(10 * c)], "conv_id long, turn long, text string").write.parquet(folder)
