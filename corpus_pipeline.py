@@ -2,7 +2,7 @@
 
 Each stage is a function of (spark, docs, sf_dir); its result is written as Parquet and read again as the next
 stage's documents. Stages that filter keep all columns of their input; texts that a stage changes stay changed.
-A document whose id is null can't be named by the later stages' results: it is kept until packing.
+Stages that filter judge each row by itself, whether its id is null, repeated or neither.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tessera.llm import decontaminate, jaccard_join, language_id, line_dedup, packing
-from tessera.llm.common import shared_folder, table
+from tessera.llm.common import checkpointed, shared_folder, table
 from tessera.llm.queries_common import held_out, tokenizer_path
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,10 +37,20 @@ def drop_boilerplate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays, the one with the smallest id."""
-    classes = jaccard_join.near_duplicates(docs)
-    gone = classes.where(~F.col("kept")).select("doc_id")
-    return docs.join(gone, docs["doc_id"] == gone["doc_id"], "left_anti")
+    """One row of each group of near duplicates stays, the one with the smallest id (null last), then row key.
+
+    Rows are told by a key of their own, so repeated ids and null ids are judged by their own text.
+    """
+    # stored, so that a row keeps its key however often it is read; columns of the input can't clash with it
+    key = f"_row_{uuid.uuid4().hex}"
+    rows = checkpointed(docs.withColumn(key, F.monotonically_increasing_id()))
+    classes = jaccard_join.near_duplicates(rows, key).select(F.col("doc_id").alias("_key"), "class_id")
+    several = checkpointed(classes.join(rows.select(F.col(key).alias("_key"), F.col("doc_id").alias("_id")), "_key"))
+    order = F.struct(F.col("_id").isNull(), F.col("_id"), F.col("_key"))
+    # stored, so that the join is between exchanges and a class of very many rows can be split
+    first = checkpointed(several.groupBy("class_id").agg(F.min(order)["_key"].alias("_first")))
+    gone = several.join(first, "class_id").where("_key <> _first").select(F.col("_key").alias(f"{key}_gone"))
+    return rows.join(gone, F.col(key) == F.col(f"{key}_gone"), "left_anti").drop(key)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -15,6 +15,7 @@ results; columns other than those named are ignored; empty tables give an empty
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -141,16 +142,29 @@ def _listed(df: DataFrame) -> DataFrame:
     return map_arrow(df, walk, "key long, words array<long>").where(F.size("words") > 0)
 
 
+def _items(benchmark: DataFrame, item_col: str, item_text_col: str) -> DataFrame:
+    return _listed(benchmark.where(F.col(item_col).isNotNull()).select(F.col(item_col).cast("long").alias("key"), F.col(item_text_col).alias("text")).dropDuplicates())
+
+
+def _words(items: DataFrame) -> int:
+    return items.agg(F.sum(F.size("words"))).first()[0] or 0
+
+
+def _collected(items: DataFrame, least: int) -> Benchmark | None:
+    """The items of a benchmark of checked size, None if it has none."""
+    listed = items.orderBy("key").collect()
+    return Benchmark([r.key for r in listed], [np.array(r.words, np.int64).view(U64) for r in listed], least) if listed else None
+
+
 def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", least: int = LEAST, coverage: float = COVERAGE, most_words: int = 2_000_000) -> DataFrame:
     """One row per document row and benchmark item that contaminates it."""
-    items = _listed(benchmark.where(F.col(item_col).isNotNull()).select(F.col(item_col).cast("long").alias("key"), F.col(item_text_col).alias("text")).dropDuplicates())
+    items = _items(benchmark, item_col, item_text_col)
     source = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    if (items.agg(F.sum(F.size("words"))).first()[0] or 0) > most_words:
+    if _words(items) > most_words:
         return _overlaps_by_join(source, items, least, coverage)
-    listed = items.orderBy("key").collect()
-    if not listed:
+    known = _collected(items, least)
+    if known is None:
         return docs.sparkSession.createDataFrame([], SCHEMA)
-    known = Benchmark([r.key for r in listed], [np.array(r.words, np.int64).view(U64) for r in listed], least)
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -200,7 +214,28 @@ def _overlaps_by_join(source: DataFrame, items: DataFrame, least: int, coverage:
     return map_arrow(pairs, walk, SCHEMA)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of ``docs`` that no benchmark item contaminates. Rows with a null id can't be named and stay."""
-    bad = overlaps(docs, benchmark, id_col, **options).select(F.col("doc").alias("_doc")).where("_doc is not null").distinct()
-    return docs.join(bad, docs[id_col].cast("long") == bad["_doc"], "left_anti")
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", least: int = LEAST, coverage: float = COVERAGE, most_words: int = 2_000_000) -> DataFrame:
+    """The rows of ``docs`` that no benchmark item contaminates; each row is judged by its own text, whatever its id."""
+    items = _items(benchmark, item_col, item_text_col)
+    if _words(items) > most_words:
+        # stored, so that a row keeps its key however often it is read; columns of the input can't clash with it
+        key = f"_row_{uuid.uuid4().hex}"
+        rows = checkpointed(docs.withColumn(key, F.monotonically_increasing_id()))
+        source = rows.select(F.col(key).alias("doc"), F.col(text_col).alias("text"))
+        bad = _overlaps_by_join(source, items, least, coverage).select(F.col("doc").alias(f"{key}_bad")).distinct()
+        return rows.join(bad, F.col(key) == F.col(f"{key}_bad"), "left_anti").drop(key)
+    known = _collected(items, least)
+    if known is None:
+        return docs
+    position = docs.columns.index(text_col)
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            clean = np.ones(batch.num_rows, bool)
+            for first, words, at in word_lists(batch.column(position)):
+                for t, item in known.candidates(words, at, coverage):
+                    if clean[first + t] and _found(None, words[at[t] : at[t + 1]], None, known.words[item], least, coverage):
+                        clean[first + t] = False
+            yield batch.filter(pa.array(clean))
+
+    return map_arrow(docs, walk, docs.schema)

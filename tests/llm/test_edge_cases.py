@@ -116,3 +116,25 @@ def test_pipeline_stages_keep_odd_columns(spark, tmp_path, rows):
     kept = sorted((r.doc_id or 0, r.text or "") for r in docs.collect())
     # texts without letters are rejected, copies go but for one
     assert [k for k, _ in kept] == ([0, 1, 5, 7] if rows else []) or [k for k, _ in kept] == ([0, 1, 1, 5, 7] if rows else [])
+
+
+def test_pipeline_filters_judge_rows_by_themselves(spark):
+    """Repeated rows, one id with several texts, and null ids, in the stages that remove documents."""
+    import corpus_pipeline
+
+    copied, clean, item = ("the quick brown fox jumps over the lazy dog again", "a wholly different text that says nothing of animals", "one two three four five six seven eight nine ten")
+    rows = [(1, "same words here in every row of it"), (1, "same words here in every row of it"), (3, copied), (5, clean), (5, copied), (None, copied), (6, item), (6, "what stands here is no part of any item"), (None, item)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    left = corpus_pipeline.drop_near_duplicates(spark, docs, "")
+    assert sorted(map(tuple, left.collect()), key=str) == sorted([rows[1], rows[2], rows[3], rows[6], rows[7]], key=str)
+    items = spark.createDataFrame([(0, item)], "item_id long, text string")
+    want = sorted([r for r in rows if r[1] != item], key=str)
+    for most_words in (2_000_000, 0):
+        assert sorted(map(tuple, decontaminate.decontaminate(docs, items, most_words=most_words).collect()), key=str) == want
+
+
+def test_repeated_rows_leave_exactly_one_in_the_pipeline(spark):
+    import corpus_pipeline
+
+    found = corpus_pipeline.drop_near_duplicates(spark, frame(spark), "").collect()
+    assert sum(r.doc_id == 1 for r in found) == 1
