@@ -99,7 +99,7 @@ class Benchmark:
             self.seeds[k], self.items[k] = seeds[order], items[order]
 
     def candidates(self, words: np.ndarray, offsets: np.ndarray, coverage: float) -> Iterator[tuple[int, int]]:
-        """(text, item) with enough distinct shared seeds to reach the coverage: a seed covers k words at most."""
+        """(text, item) with enough places of shared seeds in the item to reach the coverage: a place covers k words at most."""
         for k in self.lengths:
             grams, at = gram_hashes(words, offsets, k)
             seeds = self.seeds[k]
@@ -110,11 +110,11 @@ class Benchmark:
             text = np.searchsorted(at, hit, "right") - 1
             # texts with fewer than k words have a gram of their own length, which is no seed of length k
             hit, text = hit[np.diff(offsets)[text] >= k], text[np.diff(offsets)[text] >= k]
-            low, high = np.searchsorted(seeds, grams[hit], "left"), np.searchsorted(seeds, grams[hit], "right")
-            times = high - low
+            # a seed counts once for a text, but as often as it stands in the item
+            text, low = np.unique(np.stack([text, np.searchsorted(seeds, grams[hit], "left")], 1), axis=0).T
+            times = np.searchsorted(seeds, seeds[low], "right") - low
             place = np.repeat(low, times) + np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
-            trio = np.unique(np.stack([np.repeat(text, times), self.items[k][place], np.searchsorted(seeds, np.repeat(grams[hit], times))], 1), axis=0)
-            pairs, n = np.unique(trio[:, :2], axis=0, return_counts=True)
+            pairs, n = np.unique(np.stack([np.repeat(text, times), self.items[k][place]], 1), axis=0, return_counts=True)
             for (t, item), shared in zip(pairs.tolist(), n.tolist(), strict=True):
                 if shared * k >= coverage * len(self.words[item]):
                     yield t, item
@@ -192,15 +192,15 @@ def _overlaps_by_join(source: DataFrame, items: DataFrame, least: int, coverage:
                 for n, key in enumerate(batch.column(0).to_pylist()):
                     words = np.array(batch.column(1)[n].as_py(), np.int64).view(U64)
                     for k in every if every is not None else [min(least, len(words))]:
-                        seeds = np.unique(runs(words, k)).view(np.int64)
-                        yield pa.RecordBatch.from_arrays([pa.array([key] * len(seeds), pa.int64()), pa.array(np.full(len(seeds), k, np.int32)), pa.array(seeds)], [name, "k", "seed"])
+                        seeds, times = np.unique(runs(words, k), return_counts=True)
+                        yield pa.RecordBatch.from_arrays([pa.array([key] * len(seeds), pa.int64()), pa.array(np.full(len(seeds), k, np.int32)), pa.array(seeds.view(np.int64)), pa.array(times)], [name, "k", "seed", "times"])
 
-        return map_arrow(rows, walk, f"{name} long, k int, seed long")
+        return map_arrow(rows, walk, f"{name} long, k int, seed long, times long")
 
     rows = checkpointed(source.withColumn("row", F.monotonically_increasing_id()))
     texts = checkpointed(_listed(rows.select("row", "text")))
     seeds = cut(items.select("item", "words"), "item", None)
-    shared = cut(texts, "row", lengths).join(seeds, ["k", "seed"]).groupBy("row", "item", "k").agg(F.count(F.lit(1)).alias("n"))
+    shared = cut(texts, "row", lengths).drop("times").join(seeds, ["k", "seed"]).groupBy("row", "item", "k").agg(F.sum("times").alias("n"))
     pairs = shared.join(items.select("item", F.col("key").alias("item_id"), F.col("words").alias("item_words")), "item").where(F.col("n") * F.col("k") >= coverage * F.size("item_words"))
     pairs = pairs.join(texts.withColumnRenamed("key", "row"), "row").join(rows.select("row", "doc"), "row").select("doc", "words", "item_id", "item_words")
 

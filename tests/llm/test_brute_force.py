@@ -187,6 +187,15 @@ def test_reordered_and_cut_benchmark_passages(spark):
     assert sorted(r.doc_id for r in decontaminate.decontaminate(docs, bench).collect()) == [3, 4]
 
 
+@pytest.mark.parametrize("most_words", [2_000_000, 0])
+def test_items_of_one_repeated_phrase(spark, most_words):
+    """A seed that repeats in an item covers words each time it stands there."""
+    bench = spark.createDataFrame([(0, "a b " * 15), (1, "c " * 12)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "a b " * 15), (2, "before " + "a b " * 8 + "after"), (3, "a b a b a and more"), (4, "c " * 40)], "doc_id long, text string")
+    found = sorted((r.doc, r.item_id, r.covered) for r in decontaminate.overlaps(docs, bench, most_words=most_words).collect())
+    assert found == [(1, 0, 30), (2, 0, 16), (4, 1, 12)]
+
+
 def test_decontamination_of_whole_table(spark):
     docs, bench = spark.read.parquet(f"{SMALL}/documents.parquet"), spark.read.parquet(f"{SMALL}/benchmark.parquet")
     expected = set()
