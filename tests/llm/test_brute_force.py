@@ -332,6 +332,17 @@ def test_unknown_languages_are_rejected(spark):
     assert [r.rejected for r in language_id.identify(odd, models).orderBy("id").collect()] == [True, True, False]
 
 
+def test_rare_languages_have_rejection_limits(spark):
+    """A language of 20 rows among many, and one of 3, reject what is unlike them."""
+    r = random.Random(3)
+    said = lambda letters, n=12: " ".join("".join(r.choices(letters, k=r.randint(2, 6))) for _ in range(n))
+    rows = [(i, said("abcde"), "big") for i in range(3000)] + [(10_000 + i, said("klmno"), "rare") for i in range(20)] + [(20_000 + i, said("uvwxy"), "few") for i in range(3)]
+    models = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), calibration_rows=100)
+    assert models.languages == ["big", "few", "rare"] and np.isfinite(models.limits).all()
+    entropy = np.array([[9.0, 9.0, 8.0], [9.0, 8.0, 9.0]]) + 4
+    assert models.decide(entropy, np.array([60, 60]))[2].all()
+
+
 def check_pieces(rows, ids, tokens=2048, segments=64):
     at = Counter()
     for r in sorted(rows, key=lambda r: (r.doc_id, r.start)):
