@@ -388,6 +388,14 @@ def test_both_tokenizers_agree():
         assert encode([text])[0].tolist() == slow.encode(text, add_special_tokens=False).ids, text[:40]
 
 
+@pytest.mark.parametrize("text", [" " * 1_000_000, "\n" * 1_000_000, "a" + " \n\t" * 300_000 + "b", "x " * 300_000, "^" * 300_000], ids=["blanks", "feeds", "mixed", "words", "marks"])
+def test_packing_of_long_runs(spark, text):
+    """A million white-space characters pack with the ids of the tokenizer whose ids count."""
+    ids = {1: np.array([*Tokenizer.from_file(tokenizer_path()).encode(text, add_special_tokens=False).ids, 1], "<u4")}
+    rows = packing.piece_digests(spark.createDataFrame([(1, text)], "doc_id long, text string"), tokenizer_path()).collect()
+    check_pieces(rows, ids)
+
+
 def test_chat_round_trip(spark):
     r = random.Random(2)
     bits = ["<|open|>", "<|close|>", "<|part|>", "<|text|>", "&lt;", "&amp;", "&", "<", "</s>[INST]", "hi ", "\n", "é🙂"]

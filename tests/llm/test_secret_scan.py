@@ -2,12 +2,17 @@
 
 import hashlib
 import math
+import random
 import re
+import string
+import time
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm import secret_scan as S
+from tessera.llm.expressions import totals_before
 
 BASE = {
     "assign": re.compile(r"""((?:(?i:password|passwd|secret|token|api_?key)))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""),
@@ -29,15 +34,29 @@ def entropy(window):
     return -sum(n / len(window) * math.log2(n / len(window)) for n in Counter(window).values())
 
 
+def kind_of(window):
+    """The narrowest class that holds all characters of a window."""
+    if not re.fullmatch("[A-Za-z0-9]+", window):
+        return "base64"
+    if re.search("[A-Z]", window) and re.search("[a-z]", window):
+        return "two cases"
+    return "one case" if re.search("[g-zG-Z]", window) else "hexadecimal"
+
+
+def looks_random(run):
+    windows = [run[i : i + S.WINDOW] for i in range(len(run) - S.WINDOW + 1)]
+    return any(re.search("[0-9]", w) and re.search("[A-Za-z]", w) and entropy(w) >= S.LIMITS[kind_of(w)] - 1e-9 for w in windows)
+
+
 def all_spans(text):
-    base = base_spans(text)
+    base, rest = base_spans(text), text
+    for kind, pattern in BASE.items():
+        rest = pattern.sub(lambda m, kind=kind: " " * len(m[0]) if len(m[2] if kind == "assign" else m[0]) >= S.LEAST[kind] else m[0], rest)
+    rest = re.sub(S.HARMLESS, lambda m: " " * len(m[0]), rest)
     added = []
-    for m in re.finditer(S.CANDIDATE, text):
-        run = m[0]
-        if not (re.search("[0-9]", run) and re.search("[A-Za-z]", run)) or any(re.fullmatch(p, run) for p in S.ALLOWED):
-            continue
-        kind = "hexadecimal" if re.fullmatch("[0-9a-f]+|[0-9A-F]+", run) else "alphanumeric" if re.fullmatch("[A-Za-z0-9]+", run) else "base64"
-        if max(entropy(run[i : i + S.WINDOW]) for i in range(len(run) - S.WINDOW + 1)) >= S.LIMITS[kind] - 1e-9 and not any(b[0] < m.end() and m.start() < b[3] for b in base):
+    for m in re.finditer(S.CANDIDATE, rest):
+        words = re.fullmatch(r"([A-Za-z]+[0-9]{0,4}[+/_=-]+)*[A-Za-z]*[0-9]{0,4}", m[0])
+        if not words and looks_random(m[0]):
             added.append((m.start(), 3, "entropy", m.end()))
     return base, sorted(base + added)
 
@@ -62,9 +81,37 @@ CASES = [
     "token=" * 50 + "xyz",
     "Z9" + "q8W7e6R5t4Y3u2I1o0P" * 40,
     "x" * 5000 + " token: 'abcdefghijklmnop'",
+    # a class a window: hexadecimal in upper case, one case, two cases, base64 behind a path
+    "run 9F86D081884C7D659A2FEAA0C55AD015 end",
+    "key k3j9x0q7w5z1m8v2b6n4 and K3J9X0Q7W5Z1M8V2B6N4",
+    "/srv/data/k3j9x0q7w5z1m8v2b6n4p0/file",
+    "-----9F86D081884C7D659A2FEAA0C55AD015-----internationalization2024",
+    # harmless words and UUIDs silence themselves, not what stands beside them
+    "example-kJ8s+Zq/1mN0pQ7rT5vXy2bC9dEf3GhL and id=123e4567-e89b-12d3-a456-426614174000",
+    "release_notes-version2024/build12/configuration",
+    # base spans inside longer candidates
+    "zz_deadbeefdeadbeefdeadbeef_kJ8sZq1mN0pQ7rT5vXy2bC9dEf3GhL",
 ]
 
 
+def test_planted_random_strings_are_found(spark):
+    """Random strings of each class and of 24 characters or more; nearly all reach their class's limit somewhere."""
+    r = random.Random(4)
+    classes = ["0123456789ABCDEF", string.ascii_lowercase + string.digits, string.ascii_uppercase + string.digits, string.ascii_letters + string.digits, S.ALPHABET[:64]]
+    texts = [f"some words {''.join(r.choices(c, k=r.randint(24, 60)))} more words" for c in classes for _ in range(100)]
+    found = rows_of(spark, texts)
+    assert sum(r.n_entropy == 1 for r in found.values()) >= 0.97 * len(texts)
+
+
+@pytest.mark.parametrize("text", ["a-" * 100_000 + "b1", "xyz1" * 50_000, "".join(random.Random(2).choices(S.ALPHABET, k=200_000)), "deadbeefdeadbeef k3j9x0q7w5z1m8v2b6n4 " * 20_000, "token=abcdefghijkl " * 20_000], ids=["words", "dull", "random", "many", "assigned"])
+def test_long_texts_take_linear_time(spark, text):
+    began = time.perf_counter()
+    (row,) = S.secret_digests(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert time.perf_counter() - began < 60
+    assert row.n_hex == text.count("deadbeefdeadbeef") and row.n_assign == text.count("token=")
+    assert row.n_entropy == (20_000 if "k3j9" in text else int(text[:1] not in "axdt"))
+
+
 def rows_of(spark, texts):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     return {r.doc_id: r for r in S.secret_digests(df).collect()}
@@ -94,3 +141,9 @@ def test_empty_table_and_clashing_columns(spark, extra):
     assert S.secret_digests(df).count() == 0
     one = spark.createDataFrame([(None, "deadbeefdeadbeef", "z"), (None, "deadbeefdeadbeef", "z")], f"doc_id long, text string, {extra} string")
     assert [r.n_hex for r in S.secret_digests(one).collect()] == [1, 1]
+
+
+def test_totals_before(spark):
+    for sizes in ([], [5], [1] * 256, list(range(1000))):
+        df = spark.createDataFrame([(sizes,)], "x array<int>")
+        assert df.select(totals_before(F.col("x"))).first()[0] == [sum(sizes[:i]) for i in range(len(sizes))]
