@@ -95,11 +95,12 @@ def _word_bytes() -> np.ndarray:
 
 IS_WORD = _word_bytes()
 _BYTE_CODES = mix(np.arange(1, 257, dtype=U64))
-_STEP, _UNSTEP = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
+STEP, UNSTEP = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
 _powers: dict[int, np.ndarray] = {}
 
 
-def _power(base: int, n: int) -> np.ndarray:
+def powers(base: int, n: int) -> np.ndarray:
+    """The first n powers of a 64-bit number, kept between calls."""
     if len(_powers.get(base, ())) < n:
         size = max(n, STEP_BYTES + (1 << 17))
         _powers[base] = np.concatenate([np.ones(1, U64), np.multiply.accumulate(np.full(size - 1, base, U64))])
@@ -139,8 +140,8 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     after[cuts[(cuts > 0) & (cuts < n)] - 1] = False
     ends = np.flatnonzero(inside & ~after) + 1
     sums = np.zeros(n + 1, U64)
-    np.cumsum(_BYTE_CODES[data] * _power(_STEP, n), out=sums[1:])
-    hashes = mix((sums[ends] - sums[starts]) * _power(_UNSTEP, n)[starts])
+    np.cumsum(_BYTE_CODES[data] * powers(STEP, n), out=sums[1:])
+    hashes = mix((sums[ends] - sums[starts]) * powers(UNSTEP, n)[starts])
     return hashes, np.searchsorted(starts, offsets)
 
 

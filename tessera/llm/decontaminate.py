@@ -3,8 +3,8 @@
 Texts and benchmark items are word sequences (longest runs of ASCII letters, digits and non-ASCII characters of
 the lower-cased text). Seeds are runs of ``least`` words that a document shares with an item. For each document
 and item with enough seeds, tiles are marked: again and again the longest match between words that are unmarked on
-both sides, down to ``least`` words, found by Karp-Rabin hashes of word runs. A document is contaminated by an item if its tiles
-cover ``coverage`` of the item's words or more; the order of the tiles does not matter, so reordered passages are
+both sides, found by Karp-Rabin passes over run lengths that fall down to ``least`` words. A document is contaminated
+by an item if its tiles cover ``coverage`` of the item's words or more; the order of the tiles does not matter, so reordered passages are
 found. Items of fewer words than ``least`` need a whole match.
 
 The benchmark's size is checked: up to ``most_words`` words it travels with the tasks and documents are read once,
@@ -23,10 +23,12 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from .common import U64, checkpointed, gram_hashes, map_arrow, steps, text_buffer, word_hashes
+from .common import STEP, U64, UNSTEP, checkpointed, gram_hashes, map_arrow, powers, steps, text_buffer, word_hashes
 
 LEAST = 5
 COVERAGE = 0.5
+#: Places of shared seeds in the benchmark that a step looks at together.
+MOST_PLACES = 1 << 20
 SCHEMA = "doc long, item_id long, n_tiles long, covered long, item_words long, coverage double"
 
 
@@ -44,43 +46,87 @@ def runs(words: np.ndarray, k: int) -> np.ndarray:
     return gram_hashes(words, np.array([0, len(words)]), k)[0]
 
 
+class Sequence:
+    """One word sequence with its unmarked words; Karp-Rabin hashes of its runs of any length come from one polynomial's prefix sums."""
+
+    def __init__(self, words: np.ndarray, free: np.ndarray):
+        self.words, self.free = words, free
+        self.sums = np.zeros(len(words) + 1, U64)
+        np.cumsum(words * powers(STEP, len(words)), out=self.sums[1:])
+
+    def open_runs(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Where runs of n unmarked words start, and their hashes."""
+        marked = np.concatenate([[0], np.cumsum(~self.free)])
+        at = np.flatnonzero(marked[n:] == marked[: len(marked) - n])
+        return at, (self.sums[at + n] - self.sums[at]) * powers(UNSTEP, len(self.words))[at]
+
+
+def _share_a_run(item: Sequence, doc: Sequence, n: int) -> bool:
+    own, other = item.open_runs(n)[1], doc.open_runs(n)[1]
+    return bool(len(own) and len(other) and np.isin(own, other).any())
+
+
+def _longest(item: Sequence, doc: Sequence, least: int, most: int) -> int:
+    """The length of the longest run that both have unmarked, from ``least`` to ``most``; 0 if there is none.
+
+    A shared run of n words holds one of n - 1, so the length is found by halving.
+    """
+    if most < least or not _share_a_run(item, doc, least):
+        return 0
+    if _share_a_run(item, doc, most):
+        return most
+    while most - least > 1:
+        middle = (least + most) // 2
+        least, most = (middle, most) if _share_a_run(item, doc, middle) else (least, middle)
+    return least
+
+
+def _mark(item: Sequence, doc: Sequence, n: int) -> int:
+    """Marks matches of n words that don't overlap, by item, then document position; returns how many."""
+    (places, own), (others, theirs) = item.open_runs(n), doc.open_runs(n)
+    order = np.argsort(theirs, kind="stable")
+    others, theirs = others[order], theirs[order]
+    low, high = np.searchsorted(theirs, own, "left"), np.searchsorted(theirs, own, "right")
+    found = 0
+    for p, at, end in zip(places[high > low].tolist(), low[high > low].tolist(), high[high > low].tolist(), strict=True):
+        if not item.free[p : p + n].all():
+            continue
+        while at < end:
+            q = int(others[at])
+            taken = np.flatnonzero(~doc.free[q : q + n])
+            if not len(taken) and (item.words[p : p + n] == doc.words[q : q + n]).all():
+                item.free[p : p + n] = doc.free[q : q + n] = False
+                found += 1
+                break
+            # on to the first run behind the last marked word
+            behind = q + int(taken[-1]) + 1 if len(taken) else q + 1
+            at += max(1, int(np.searchsorted(others[at:end], behind)))
+    return found
+
+
 def tile(doc: np.ndarray, item: np.ndarray, least: int) -> tuple[int, int]:
-    """(number of tiles, words of the item that they cover), longest unmarked matches first; ties by item, then document position."""
+    """(number of tiles, words of the item that they cover), longest unmarked matches first; ties by item, then document position.
+
+    Run lengths fall from the longest shared one to ``least``, each by a Karp-Rabin pass over both sequences, so memory
+    follows their lengths, however often their words repeat.
+    """
     least = min(least, len(item))
     if not least or len(doc) < least:
         return 0, 0
-    own, other = runs(item, least), runs(doc, least)
-    order = np.argsort(other, kind="stable")
-    low, high = np.searchsorted(other[order], own, "left"), np.searchsorted(other[order], own, "right")
-    times = high - low
-    total = int(times.sum())
-    if not total:
-        return 0, 0
-    i = np.repeat(np.arange(len(own)), times)
-    j = order[np.repeat(low, times) + np.arange(total) - np.repeat(np.cumsum(times) - times, times)]
-    # seeds on one diagonal, one after another, make a match
-    line = j - i
-    by = np.lexsort((i, line))
-    i, j, line = i[by], j[by], line[by]
-    new = np.ones(total, bool)
-    new[1:] = (line[1:] != line[:-1]) | (i[1:] != i[:-1] + 1)
-    begin = np.flatnonzero(new)
-    matches = [(int(i[b]), int(j[b]), int(n) + least - 1) for b, n in zip(begin, np.diff([*begin, total]), strict=True)]
-    free_item, free_doc = np.ones(len(item), bool), np.ones(len(doc), bool)
+    # only words in shared runs of ``least`` can be covered; one word between stretches of them keeps them apart
+    shared = np.flatnonzero(np.isin(runs(doc, least), runs(item, least)))
+    change = np.zeros(len(doc) + 1, np.int64)
+    np.add.at(change, shared, 1)
+    np.add.at(change, shared + least, -1)
+    near = np.cumsum(change)[:-1] > 0
+    kept = near.copy()
+    kept[1:] |= near[:-1]
+    a, b = Sequence(item, np.ones(len(item), bool)), Sequence(doc[kept], near[kept])
     tiles = covered = 0
-    while matches:
-        matches.sort(key=lambda m: (-m[2], m[0], m[1]))
-        longest, again = matches[0][2], []
-        for a, b, n in matches:
-            open_ = free_item[a : a + n] & free_doc[b : b + n]
-            if open_.all() and n == longest:
-                free_item[a : a + n] = free_doc[b : b + n] = False
-                tiles, covered = tiles + 1, covered + n
-            elif open_.any():
-                # what is left of a match once its ends or middle are marked; if still whole, it waits
-                edges = np.flatnonzero(np.diff(np.concatenate([[False], open_, [False]]).astype(np.int8)))
-                again += [(a + int(s), b + int(s), int(e - s)) for s, e in zip(edges[::2], edges[1::2], strict=True) if e - s >= least]
-        matches = again
+    longest = min(len(item), int(near.sum()))
+    while longest := _longest(a, b, least, longest):
+        found = _mark(a, b, longest)
+        tiles, covered, longest = tiles + found, covered + found * longest, longest - 1
     return tiles, covered
 
 
@@ -101,23 +147,31 @@ class Benchmark:
     def candidates(self, words: np.ndarray, offsets: np.ndarray, coverage: float) -> Iterator[tuple[int, int]]:
         """(text, item) with enough places of shared seeds in the item to reach the coverage: a place covers k words at most."""
         for k in self.lengths:
-            grams, at = gram_hashes(words, offsets, k)
+            grams, first = gram_hashes(words, offsets, k)
             seeds = self.seeds[k]
             where = np.minimum(np.searchsorted(seeds, grams), len(seeds) - 1)
             hit = np.flatnonzero(seeds[where] == grams)
             if not len(hit):
                 continue
-            text = np.searchsorted(at, hit, "right") - 1
+            text = np.searchsorted(first, hit, "right") - 1
             # texts with fewer than k words have a gram of their own length, which is no seed of length k
             hit, text = hit[np.diff(offsets)[text] >= k], text[np.diff(offsets)[text] >= k]
             # a seed counts once for a text, but as often as it stands in the item
             text, low = np.unique(np.stack([text, np.searchsorted(seeds, grams[hit], "left")], 1), axis=0).T
             times = np.searchsorted(seeds, seeds[low], "right") - low
-            place = np.repeat(low, times) + np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
-            pairs, n = np.unique(np.stack([np.repeat(text, times), self.items[k][place]], 1), axis=0, return_counts=True)
-            for (t, item), shared in zip(pairs.tolist(), n.tolist(), strict=True):
-                if shared * k >= coverage * len(self.words[item]):
-                    yield t, item
+            # texts together as long as their places stay few; one text has no more places than the benchmark
+            starts = np.concatenate([[0], np.flatnonzero(np.diff(text)) + 1, [len(text)]])
+            total = np.concatenate([[0], np.cumsum(times)])[starts]
+            at = 0
+            while at < len(starts) - 1:
+                end = max(at + 1, int(np.searchsorted(total, total[at] + MOST_PLACES, "right")) - 1)
+                own = slice(starts[at], starts[end])
+                place = np.repeat(low[own] - np.cumsum(times[own]) + times[own], times[own]) + np.arange(total[end] - total[at])
+                pairs, n = np.unique(np.stack([np.repeat(text[own], times[own]), self.items[k][place]], 1), axis=0, return_counts=True)
+                for (t, item), shared in zip(pairs.tolist(), n.tolist(), strict=True):
+                    if shared * k >= coverage * len(self.words[item]):
+                        yield t, item
+                at = end
 
 
 def _found(doc: int | None, words: np.ndarray, item_id: int | None, item: np.ndarray, least: int, coverage: float) -> tuple | None:
