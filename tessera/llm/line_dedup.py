@@ -1,8 +1,9 @@
 """Line dedup: boilerplate lines that spread over many sites are removed, all but their first occurrence.
 
-A line is a piece of a text between line feeds, compared after trimming white space; blank lines are never
-removed. A line's spread is its number of distinct sites. HyperLogLog sketches of the sites are merged per line
-hash; where the estimate lies within ``margin`` of the threshold the sites are counted exactly. Lines that reach
+A line is a piece of a text between line feeds, compared without the spaces (U+0020) at its ends; lines of spaces
+alone are never removed. A line's spread is its number of distinct sites. Tasks sketch the sites of the lines they
+read (HyperLogLog) and the sketches are merged per line hash; only for lines whose estimate lies within ``margin`` of
+the threshold are distinct sites told apart and counted. Lines that reach
 ``min_sites`` stay only where they occur first (smallest document, then position), so their content is kept once.
 
 Null texts count as empty, null sites as one site of their own. Rows that share an id keep their own texts: lines
@@ -15,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import checkpointed
+from .expressions import let
 
 #: HyperLogLog precision: 2^11 registers, about 2 % error, and exact in practice for a few hundred sites.
 LOG_REGISTERS = 11
@@ -38,12 +40,12 @@ def lines_of(docs: DataFrame, id_col: str, text_col: str, site_col: str) -> Data
 
 def spread_lines(lines: DataFrame, min_sites: int, margin: float = 0.15) -> DataFrame:
     """line for the lines on ``min_sites`` sites or more: sketches first, exact counts near the threshold."""
-    # one row for each line and site: a line of a hot site costs no more than any other
-    sites = lines.groupBy("line", "site").agg(F.count(F.lit(1)).alias("_n")).select("line", "site")
-    sketched = sites.groupBy("line").agg(F.hll_sketch_agg("site", F.lit(LOG_REGISTERS)).alias("sketch")).select("line", F.hll_sketch_estimate("sketch").alias("estimate"))
+    # a line of a hot site is one sketch a task, so nothing but sketches is shuffled for most lines
+    sketched = checkpointed(lines.groupBy("line").agg(F.hll_sketch_agg("site", F.lit(LOG_REGISTERS)).alias("sketch")).select("line", F.hll_sketch_estimate("sketch").alias("estimate")).where(F.col("estimate") >= min_sites * (1 - margin)))
     sure = sketched.where(F.col("estimate") > min_sites * (1 + margin)).select("line")
-    near = sketched.where(F.col("estimate").between(min_sites * (1 - margin), min_sites * (1 + margin))).select("line")
-    exact = sites.join(near, "line").groupBy("line").agg(F.count(F.lit(1)).alias("sites")).where(F.col("sites") >= min_sites).select("line")
+    near = sketched.where(F.col("estimate") <= min_sites * (1 + margin)).select("line")
+    sites = lines.join(near, "line").groupBy("line", "site").agg(F.count(F.lit(1)).alias("_n"))
+    exact = sites.groupBy("line").agg(F.count(F.lit(1)).alias("sites")).where(F.col("sites") >= min_sites).select("line")
     return sure.unionByName(exact)
 
 
@@ -75,7 +77,9 @@ def drop_boilerplate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     rows = docs.select(F.struct("*").alias("row"), _key(id_col, text_col, site_col).alias("key")).join(gone, "key", "left")
     text = F.col("row").getField(text_col)
     pieces = F.split(F.coalesce(text, F.lit("")), "\n", -1)
-    left = F.array_join(F.filter(pieces, lambda x, i: ~F.array_contains("drop", i)), "\n")
+    # the positions that stay come from a set difference, so many lines with many removals cost their sum
+    stay = lambda p: F.array_except(F.sequence(F.lit(0), F.size(p) - 1), F.col("drop"))
+    left = let(pieces, lambda p: F.array_join(F.transform(stay(p), lambda i: F.get(p, i)), "\n"))
     new = {
         text_col: F.when(F.col("drop").isNull(), text).otherwise(left),
         "n_lines": F.size(pieces).cast("long"),

@@ -2,6 +2,7 @@
 
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -174,6 +175,43 @@ def test_tiling_by_definition():
         assert decontaminate.tile(doc, item, 3) == plain_tiles(doc.tolist(), item.tolist(), 3)
 
 
+@pytest.mark.parametrize("most_words", [2_000_000, 0])
+def test_texts_of_few_words_lose_no_item(spark, most_words):
+    """Random texts of few distinct words, where seeds repeat everywhere, against tiling of all pairs."""
+    r = random.Random(8)
+    said = lambda n: " ".join(r.choices(["yes", "no", "so"][: r.randint(1, 3)], k=n))
+    docs, items = [said(r.randint(0, 60)) for _ in range(60)], [said(r.randint(1, 30)) for _ in range(12)]
+    want = {}
+    for d, doc in enumerate(docs):
+        for i, item in enumerate(items):
+            tiles, covered = plain_tiles(doc.split(), item.split(), 5)
+            if covered >= 0.5 * len(item.split()):
+                want[d, i] = (tiles, covered)
+    found = decontaminate.overlaps(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string"), spark.createDataFrame(list(enumerate(items)), "item_id long, text string"), most_words=most_words).collect()
+    assert {(q.doc, q.item_id): (q.n_tiles, q.covered) for q in found} == want and len(found) == len(want)
+
+
+def test_candidates_in_steps(monkeypatch):
+    r = np.random.default_rng(4)
+    words = [r.integers(0, 3, 40).astype(np.uint64) for _ in range(30)]
+    known = decontaminate.Benchmark(list(range(30)), words, 5)
+    texts, at = np.concatenate(words), np.arange(31) * 40
+    whole = list(known.candidates(texts, at, 0.5))
+    monkeypatch.setattr(decontaminate, "MOST_PLACES", 50)
+    assert list(known.candidates(texts, at, 0.5)) == whole and len(whole) > 30
+
+
+def test_tiling_of_repetitive_long_texts():
+    """Half a million equal words: memory follows the lengths, not the number of pairs of equal runs."""
+    tracemalloc.start()
+    item = np.ones(2000, np.uint64)
+    assert decontaminate.tile(np.ones(500_000, np.uint64), item, 5) == (1, 2000)
+    doc = np.concatenate([np.ones(700, np.uint64), np.full(50, 2, np.uint64)] * 600)
+    assert decontaminate.tile(doc, item, 5) == (3, 2000)
+    assert tracemalloc.get_traced_memory()[1] < 200e6
+    tracemalloc.stop()
+
+
 def test_reordered_and_cut_benchmark_passages(spark):
     items = [r.text for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").orderBy("item_id").collect()]
     words = [t.split() for t in items]
