@@ -2,13 +2,19 @@
 
 A text is cut into sentences (at blank lines and after ``.``, ``!``, ``?`` or ``;`` before white space; a line of
 marks alone is blank), each is normalised (lower case, every run of other characters than letters and digits becomes
-one space, or one line feed where a line ends), and known sentences get identifiers. A known sentence stands from the
-start of a line to the end of the same line or a later one, so hard-wrapped and commented texts are read like unwrapped
-ones, and a known line without a stop (an SPDX tag, a copyright line) is found between other lines. Rules are ordered sequences of identifiers: a rule matches where its identifiers stand
-one after another among the text's known sentences, whatever other sentences stand between. Longer rules are
-tried first and each known sentence serves one rule only.
+one space, or one line feed where a line ends), and known sentences get identifiers:
 
-The sentence table is a fixed list of bounded size and travels inside the plan, so texts are read once and
+* a sentence whose words never change is looked up in a table (``EXACT``) by its normalised form, from the start of
+  any of its lines to its end, so hard-wrapped and commented texts are read like unwrapped ones and lines without a stop
+  may stand before;
+* one with variable parts (``SENTENCES``) is told by a pattern, from the start of a line to the end of the same line
+  or a later one, so a known line without a stop (an SPDX tag, a copyright line) is found between other lines.
+
+Rules are ordered sequences of identifiers: a rule matches where its identifiers stand one after another among the
+text's known sentences, whatever other sentences stand between. Longer rules are tried first and each known sentence
+serves one rule only.
+
+The tables are a fixed list of bounded size and travels inside the plan, so texts are read once and
 nothing is shuffled. Null texts count as empty; repeated rows give repeated results; other columns are ignored.
 """
 
@@ -18,6 +24,8 @@ import re
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .expressions import let
+
 # One letter for each known sentence, and a pattern for its normalised form.
 SENTENCES = {
     "A": r"licensed under the apache license version 2 0( the license)?",
@@ -39,13 +47,59 @@ SENTENCES = {
     "Q": r"this is free and unencumbered software released into the public domain",
     "R": r"spdx license identifier apache 2 0",
     "S": r"spdx license identifier bsd 3 clause",
+    "T": r"spdx license identifier bsd 2 clause",
+    "U": r"spdx license identifier isc",
+    "V": r"spdx license identifier mpl 2 0",
+    "W": r"spdx license identifier gpl 2 0( only| or later)?",
+    "X": r"spdx license identifier lgpl 2 1( only| or later)?",
+    "Y": r"spdx license identifier lgpl 3 0( only| or later)?",
+    "Z": r"spdx license identifier agpl 3 0( only| or later)?",
 }
+_REDISTRIBUTE = "you can redistribute it and or modify it under the terms of the gnu {} as published by the free software foundation"
+# Sentences whose words never change, by one letter each; some have a second wording.
+EXACT = {
+    "a": (_REDISTRIBUTE.format("general public license"),),
+    "b": ("either version 2 of the license or at your option any later version",),
+    "c": (_REDISTRIBUTE.format("lesser general public license"),),
+    "d": ("either version 2 1 of the license or at your option any later version",),
+    "e": (f"this program is free software {_REDISTRIBUTE.format('affero general public license')} either version 3 of the license or at your option any later version",),
+    "f": (
+        f"this program is free software {_REDISTRIBUTE.format('lesser general public license')} either version 3 of the license or at your option any later version",
+        f"this library is free software {_REDISTRIBUTE.format('lesser general public license')} either version 3 of the license or at your option any later version",
+    ),
+    "g": ("gnu general public license version 3 29 june 2007",),
+    "h": ("gnu general public license version 2 june 1991",),
+    "i": ("gnu lesser general public license version 3 29 june 2007",),
+    "j": ("gnu lesser general public license version 2 1 february 1999",),
+    "k": ("gnu affero general public license version 3 19 november 2007",),
+    "l": ("this source code form is subject to the terms of the mozilla public license v",),
+    "m": ("if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0", "if a copy of the mpl was not distributed with this file you can obtain one at https mozilla org mpl 2 0"),
+    "n": ("mozilla public license version 2 0",),
+    "o": ("apache license version 2 0 january 2004 http www apache org licenses", "apache license version 2 0 january 2004"),
+    "p": ("unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied",),
+    "q": ("redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",),
+    "r": ("redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",),
+    "t": ("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies", "permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
+    "u": ("permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so all subject to the following",),
+    "v": ("permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions",),
+    "w": ("this software is provided as is without any express or implied warranty",),
+    "x": ("this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is available at https www eclipse org legal epl 2 0", "eclipse public license v 2 0"),
+    "y": ("this work is licensed under a creative commons attribution 4 0 international license",),
+}
+#: Lines that a known sentence may be wrapped into.
+MOST_LINES = 40
 # Ordered rules; the first of equal length wins.
 RULES = (
     ("apache-2.0", "ABC"),
+    ("bsd-3-clause", "OqrP"),
     ("mit", "EFG"),
+    ("bsd-2-clause", "Oqr"),
     ("bsd-3-clause", "OP"),
     ("gpl-3.0", "IJ"),
+    ("gpl-2.0", "ab"),
+    ("lgpl-2.1", "cd"),
+    ("mpl-2.0", "lm"),
+    ("zlib", "wv"),
     ("apache-2.0", "AB"),
     ("mit", "EG"),
     ("proprietary", "NM"),
@@ -60,10 +114,33 @@ RULES = (
     ("bsd-3-clause", "S"),
     ("bsd-2-clause", "O"),
     ("unlicense", "Q"),
+    ("apache-2.0", "o"),
+    ("bsd-2-clause", "T"),
+    ("isc", "t"),
+    ("isc", "U"),
+    ("mpl-2.0", "l"),
+    ("mpl-2.0", "m"),
+    ("mpl-2.0", "n"),
+    ("mpl-2.0", "V"),
+    ("gpl-3.0", "g"),
+    ("gpl-2.0", "h"),
+    ("gpl-2.0", "W"),
+    ("lgpl-3.0", "f"),
+    ("lgpl-3.0", "i"),
+    ("lgpl-3.0", "Y"),
+    ("lgpl-2.1", "j"),
+    ("lgpl-2.1", "X"),
+    ("agpl-3.0", "e"),
+    ("agpl-3.0", "k"),
+    ("agpl-3.0", "Z"),
+    ("bsl-1.0", "u"),
+    ("zlib", "v"),
+    ("epl-2.0", "x"),
+    ("cc-by-4.0", "y"),
     ("proprietary", "M"),
 )
 #: A sentence without any of these words is none of the table's.
-HINT = r"(?i)licen[sc]|permission|copyright|warrant|redistribut|rights|copies|unencumbered|endorse|later[^\p{L}\p{N}]+version|\(c\)"
+HINT = r"(?i)licen[sc]|permission|copyright|warrant|redistribut|rights|copies|unencumbered|endorse|later[^\p{L}\p{N}]+version|\(c\)|\bmpl\b"
 
 
 def loosened(name: str) -> str:
@@ -98,12 +175,29 @@ def identifier(sentence: Column) -> Column:
     return out
 
 
+def _by_patterns(sentence: Column) -> Column:
+    found = F.regexp_extract_all(sentence, F.lit(KNOWN), F.lit(0))
+    return F.array_compact(F.transform(found, lambda s: identifier(F.translate(s, "\n", " "))))
+
+
+def identifiers(sentence: Column) -> Column:
+    """The letters of a normalised sentence: the table's from some line to the end, patterns' before or instead."""
+    table = F.create_map(*[F.lit(x) for name, wordings in EXACT.items() for wording in wordings for x in (wording, name)])
+
+    def looked_up(lines: Column) -> Column:
+        starts = F.sequence(F.greatest(F.size(lines) - MOST_LINES + 1, F.lit(1)), F.size(lines))
+        ends = F.transform(starts, lambda i: F.struct(i.alias("at"), F.try_element_at(table, F.array_join(F.slice(lines, i, F.size(lines)), " ")).alias("name")))
+        before = lambda hit: F.array_join(F.slice(lines, F.lit(1), hit["at"] - 1), "\n")
+        return let(F.get(F.filter(ends, lambda x: x["name"].isNotNull()), F.lit(0)), lambda hit: F.when(hit.isNull(), _by_patterns(sentence)).otherwise(F.concat(_by_patterns(before(hit)), F.array(hit["name"]))))
+
+    return let(F.split(sentence, "\n", -1), looked_up)
+
+
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: id, sentence_ids (the known ones in order), licenses (sorted, distinct), n_rules."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     hinted = F.filter(sentences(text), lambda s: s.rlike(HINT))
-    found = F.flatten(F.transform(hinted, lambda s: F.regexp_extract_all(normalised(s), F.lit(KNOWN), F.lit(0))))
-    known = F.array_compact(F.transform(found, lambda s: identifier(F.translate(s, "\n", " "))))
+    known = F.flatten(F.transform(F.transform(hinted, normalised), identifiers))
     rows = docs.select(F.col(id_col).alias("id"), F.when(text.rlike(HINT), F.array_join(known, "")).otherwise(F.lit("")).alias("sentence_ids"))
     longest_first = sorted(dict.fromkeys(sequence for _, sequence in RULES), key=len, reverse=True)
     names = F.create_map(*[F.lit(x) for name, sequence in reversed(RULES) for x in (sequence, name)])

@@ -143,7 +143,8 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _license_sql() -> str:
-    known = " ".join(f"WHEN regexp_full_match(s, '{pattern}') THEN '{name}'" for name, pattern in license_scan.SENTENCES.items())
+    known = " ".join(f"WHEN s = '{wording}' THEN '{name}'" for name, wordings in license_scan.EXACT.items() for wording in wordings) + " "
+    known += " ".join(f"WHEN regexp_full_match(s, '{pattern}') THEN '{name}'" for name, pattern in license_scan.SENTENCES.items())
     names = " ".join(f"WHEN '{sequence}' THEN '{name}'" for name, sequence in license_scan.RULES)
     longest_first = "|".join(sorted(dict.fromkeys(x for _, x in license_scan.RULES), key=len, reverse=True))
     return rf"""

@@ -468,7 +468,10 @@ Copyright (c) 2020 Somebody
 
 Permission is hereby granted, free of charge, to any person obtaining a copy
 of this software and associated documentation files (the "Software"), to deal
-in the Software without restriction, subject to the following conditions:
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
 
 The above copyright notice and this permission notice shall be included in all
 copies or substantial portions of the Software.
@@ -476,6 +479,33 @@ copies or substantial portions of the Software.
 THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
 IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY.
 """
+APACHE_TEXT = """Copyright 2021 Somebody
+
+Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+"""
+BSD2_TEXT = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+BSD3_TEXT = BSD2_TEXT + """
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
 BSD_TEXT = """Redistribution and use in source and binary forms, with or without
 modification, are permitted provided that the following conditions are met:
 
@@ -488,16 +518,46 @@ it under the terms of the GNU General Public License as published by
 the Free Software Foundation, either version 3 of the License, or
 (at your option) any later version.
 """
+GPL2_TEXT = """This program is free software; you can redistribute it and/or
+modify it under the terms of the GNU General Public License
+as published by the Free Software Foundation; either version 2
+of the License, or (at your option) any later version.
+"""
+LGPL_TEXT = GPL2_TEXT.replace("This program", "This library").replace("GNU General", "GNU Lesser General").replace("version 2", "version 2.1")
+AGPL_TEXT = GPL_TEXT.replace("GNU General", "GNU Affero General")
+MPL_TEXT = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at http://mozilla.org/MPL/2.0/.
+"""
+ISC_TEXT = """Copyright (c) 2019, Somebody
+
+Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+"""
+GPL3_HEAD = """                    GNU GENERAL PUBLIC LICENSE
+                       Version 3, 29 June 2007
+
+ Copyright (C) 2007 Free Software Foundation
+"""
+MPL_HEAD = """Mozilla Public License Version 2.0
+==================================
+
+1. Definitions
+"""
 
 
 @pytest.mark.parametrize("mark", ["", "# ", " * ", "// "])
 def test_wrapped_license_texts(spark, mark):
-    """Hard-wrapped texts, plain and in comments, and known lines without a stop between others."""
+    """Hard-wrapped canonical texts, plain and in comments, and known lines without a stop between others."""
     texts = [MIT_TEXT, BSD_TEXT, GPL_TEXT, "at your option any later\nversion", "SPDX-License-Identifier: MIT\nimport os", "import os\nCopyright 2020 Somebody\nAll rights reserved\nimport re", "permission is hereby granted, free of charge,\n\nto any person obtaining a copy"]
+    texts += [APACHE_TEXT, BSD2_TEXT, BSD3_TEXT, GPL2_TEXT, LGPL_TEXT, AGPL_TEXT, MPL_TEXT, ISC_TEXT, GPL3_HEAD, MPL_HEAD, "All rights reserved\n" + BSD2_TEXT.split("\n\n")[1]]
     texts = ["\n".join(mark + line for line in t.split("\n")) for t in texts]
     rows = license_scan.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("id").collect()
-    assert [r.sentence_ids for r in rows] == ["NEFG", "OP", "IJ", "J", "D", "NM", ""]
-    assert [",".join(r.licenses) for r in rows] == ["mit", "bsd-3-clause", "gpl-3.0", "", "mit", "proprietary", ""]
+    assert [r.sentence_ids for r in rows] == ["NEFG", "OP", "IJ", "J", "D", "NM", "", "NABCp", "Oqr", "OqrP", "ab", "cd", "e", "lm", "Nt", "gN", "n", "Mq"]
+    licenses = [",".join(r.licenses) for r in rows]
+    assert licenses[:7] == ["mit", "bsd-3-clause", "gpl-3.0", "", "mit", "proprietary", ""]
+    assert licenses[7:17] == ["apache-2.0", "bsd-2-clause", "bsd-3-clause", "gpl-2.0", "lgpl-2.1", "agpl-3.0", "mpl-2.0", "isc", "gpl-3.0", "mpl-2.0"]
 
 
 def test_pipeline_stages(spark, tmp_path):
