@@ -5,9 +5,9 @@ outputs are max-pooled over overlapping chunks of ``POOL`` positions (half a chu
 whole document; each chunk gives hidden activations, their mean and their largest values over all chunks give one
 probability. Empty and null texts have one chunk of padding and so a score as well.
 
-The network is fitted on the driver by Adam on a bounded sample of labelled rows (``max_rows`` rows, the smallest
-hashes of doc_id among the labelled rows of each class with at most ``max_bytes`` bytes, whole texts); it is a few
-thousand numbers, so it travels with the tasks. Scoring reads every text whole, in steps of bounded memory.
+The network is fitted on the driver by Adam on a bounded sample of labelled rows: those with the smallest hashes of
+doc_id, ``max_rows`` at most, half of each class, whole texts of any length, for as long as they come to ``max_bytes``
+together. It is a few thousand numbers, so it travels with the tasks. Scoring reads every text whole, in steps of bounded memory.
 Without any training row of one class the score is the constant share of label 1. Repeated rows give repeated
 results; other columns pass by. An empty table gives an empty result.
 """
@@ -24,6 +24,8 @@ from .common import map_arrow, steps, text_buffer
 
 STRIDE, POOL, EMBED, FILTERS, HIDDEN = 4, 64, 8, 24, 16
 PAD = 256
+#: Chunks that training works on at once, so that memory doesn't follow a text's length.
+BLOCK = 2048
 
 
 class Network:
@@ -50,16 +52,18 @@ class Network:
         padded[: len(data)] = data
         return np.lib.stride_tricks.as_strided(padded, (rows, POOL + 1, STRIDE), (half * STRIDE * 2, STRIDE * 2, 2))
 
-    def pooled(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Max-pooled filter outputs of each chunk, where they were, and the pieces."""
-        n = len(codes)
+    def pooled(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Max-pooled filter outputs of each chunk, and where they were."""
         width = STRIDE * EMBED
-        pieces = self.embed[codes.reshape(-1)].reshape(n * (POOL + 1), width)
-        both = (pieces @ np.concatenate([self.filters[:width], self.filters[width:]], 1)).reshape(n, POOL + 1, 2 * FILTERS)
-        out = both[:, :POOL, :FILTERS] + both[:, 1:, FILTERS:]
-        where = out.argmax(1)
-        top = np.take_along_axis(out, where[:, None], 1)[:, 0] + self.bias
-        return np.maximum(top, 0), where, pieces.reshape(n, POOL + 1, width)
+        weights = np.concatenate([self.filters[:width], self.filters[width:]], 1)
+        tops, places = np.empty((len(codes), FILTERS), self.filters.dtype), np.empty((len(codes), FILTERS), np.int64)
+        for i in range(0, len(codes), BLOCK):
+            part = codes[i : i + BLOCK]
+            both = (self.embed[part.reshape(-1)].reshape(-1, width) @ weights).reshape(len(part), POOL + 1, 2 * FILTERS)
+            out = both[:, :POOL, :FILTERS] + both[:, 1:, FILTERS:]
+            places[i : i + BLOCK] = out.argmax(1)
+            tops[i : i + BLOCK] = np.take_along_axis(out, places[i : i + BLOCK, None], 1)[:, 0] + self.bias
+        return np.maximum(tops, 0), places
 
     def hidden(self, pooled: np.ndarray) -> np.ndarray:
         return np.tanh(pooled @ self.inner + self.inner_bias)
@@ -110,7 +114,7 @@ class Network:
         counts = np.array([len(p) for p in parts])
         starts = np.concatenate([[0], np.cumsum(counts)[:-1]])
         codes = np.concatenate(parts)
-        pooled, where, pieces = self.pooled(codes)
+        pooled, where = self.pooled(codes)
         hidden = self.hidden(pooled)
         mean = np.add.reduceat(hidden, starts) / counts[:, None]
         peak = np.maximum.reduceat(hidden, starts)
@@ -126,16 +130,19 @@ class Network:
         grads["inner"], grads["inner_bias"] = pooled.T @ d_hidden, d_hidden.sum(0)
         d_pool = (d_hidden @ self.inner.T) * (pooled > 0)
         grads["bias"] = d_pool.sum(0)
-        n, width = len(codes), STRIDE * EMBED
-        rows = np.arange(n)[:, None]
-        left, right = pieces[rows, where], pieces[rows, where + 1]
-        window = np.concatenate([left, right], 2)
-        grads["filters"] = np.einsum("nfw,nf->wf", window, d_pool, optimize=True)
-        back = (d_pool[:, :, None] * self.filters.T[None]).reshape(-1, EMBED)
-        used = np.concatenate([codes[rows, where], codes[rows, where + 1]], 2).reshape(-1)
-        embed = np.zeros_like(self.embed)
-        np.add.at(embed, used, back)
-        grads["embed"] = embed
+        grads["filters"] = np.zeros_like(self.filters)
+        # for each byte, place in the window and filter: the sum of what comes back to it
+        back = np.zeros(257 * 2 * STRIDE * FILTERS)
+        cell = np.arange(FILTERS)[:, None] * (2 * STRIDE) + np.arange(2 * STRIDE)
+        for i in range(0, len(codes), BLOCK):
+            part, at, own = codes[i : i + BLOCK], where[i : i + BLOCK], d_pool[i : i + BLOCK]
+            rows = np.arange(len(part))[:, None]
+            used = np.concatenate([part[rows, at], part[rows, at + 1]], 2)
+            window = self.embed[used].reshape(len(part), FILTERS, -1)
+            grads["filters"] += np.einsum("nfw,nf->wf", window, own, optimize=True)
+            back += np.bincount((used.astype(np.int64) * (2 * STRIDE * FILTERS) + cell).ravel(), np.repeat(own.ravel(), 2 * STRIDE), len(back))
+        by_place = self.filters.reshape(2 * STRIDE, EMBED, FILTERS).transpose(2, 0, 1).reshape(-1, EMBED)
+        grads["embed"] = (back.reshape(257, -1) @ by_place).astype(self.embed.dtype)
         return grads
 
 
@@ -162,20 +169,34 @@ def train(texts: list[bytes], labels: np.ndarray, epochs: int = 10, batch: int =
     return net
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_rows: int = 1200, max_bytes: int = 16384) -> Network | float:
-    """The network for ``docs`` with ``labels`` (0 and 1; others are left out), or a constant if one class is missing."""
-    sizes = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.coalesce(F.octet_length(text_col), F.lit(0)).alias("size")).where(F.col("size") <= max_bytes)
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_rows: int = 1200, max_bytes: int = 64 << 20) -> Network | float:
+    """The network for ``docs`` with ``labels`` (0 and 1; others are left out), or a constant if one class is missing.
+
+    Rows that share an id count once, with the smallest of their texts.
+    """
+    texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     marks = labels.where(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("id")).agg(F.min(label_col).cast("int").alias("label"))
-    known = marks.join(sizes.select("id"), "id").select("id", "label")
+    known = marks.join(texts.select("id"), "id", "left_semi")
     order = [F.xxhash64("id"), "id"]
-    picked = known.where("label = 0").orderBy(*order).limit(max_rows // 2).unionAll(known.where("label = 1").orderBy(*order).limit(max_rows // 2))
-    # at most max_rows ids: a proven bound for the broadcast
-    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    sample = texts.where(F.octet_length("text") <= max_bytes).join(F.broadcast(picked.distinct()), "id").orderBy("id", "text").limit(2 * max_rows).collect()
-    marked = np.array([r.label for r in sample], np.int64)
-    if not len(marked) or marked.min() == marked.max():
-        return float(marked.mean()) if len(marked) else 0.5
-    return train([r.text.encode() for r in sample], marked)
+    half = lambda label: known.where(F.col("label") == label).orderBy(*order).limit(max_rows // 2)
+    # at most max_rows rows of two numbers
+    picked = [(r.id, r.label) for r in half(0).unionAll(half(1)).orderBy(*order).collect()]
+    if not picked:
+        return 0.5
+
+    def of(ids: list) -> DataFrame:
+        """The text of each id; a broadcast of at most max_rows ids."""
+        wanted = docs.sparkSession.createDataFrame([(i,) for i in ids], texts.select("id").schema)
+        return texts.join(F.broadcast(wanted), "id").groupBy("id").agg(F.min("text").alias("text"))
+
+    sizes = {r.id: r.size for r in of([i for i, _ in picked]).select("id", F.octet_length("text").alias("size")).collect()}
+    total = np.cumsum([sizes[i] for i, _ in picked])
+    label_of = dict(picked[: max(1, int((total <= max_bytes).sum()))])
+    marked = np.array(list(label_of.values()), np.int64)
+    if marked.min() == marked.max():
+        return float(marked.mean())
+    said = {r.id: r.text.encode() for r in of(list(label_of)).collect()}
+    return train([said[i] for i in label_of], marked)
 
 
 def score(docs: DataFrame, model: Network | float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -264,7 +264,8 @@ def test_quality_on_held_out_rows(spark):
     assert sum(r.predicted == r.quality for r in found) / len(found) > 0.93
 
 
-def test_quality_gradients():
+def test_quality_gradients(monkeypatch):
+    monkeypatch.setattr(quality_cnn, "BLOCK", 7)
     r = np.random.default_rng(1)
     net = quality_cnn.Network(3)
     for name in net.NAMES:
@@ -295,6 +296,19 @@ def test_quality_gradients():
             assert abs((up - down) / 2e-5 - grads[name].ravel()[i]) < 1e-3 * max(1e-2, abs(grads[name].ravel()[i])), name
 
 
+def test_quality_sample_takes_long_texts_and_whole_ids(spark, monkeypatch):
+    """Rows of any length are drawn; an id counts once however often it stands there; the bound on bytes ends the sample."""
+    seen = []
+    monkeypatch.setattr(quality_cnn, "train", lambda texts, labels: seen.append((texts, labels.tolist())) or 0.25)
+    docs = spark.createDataFrame([(1, "x" * 100_000), (2, "b"), (2, "a"), (2, "a"), (3, None), (4, "unlabelled"), (None, "z")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0), (2, 1), (3, 0), (9, 1), (None, 1)], "doc_id long, quality int")
+    assert quality_cnn.fit(docs, labels) == 0.25
+    texts, marks = seen.pop()
+    assert sorted(zip(map(len, texts), marks, strict=True)) == [(0, 0), (1, 1), (100_000, 0)] and b"a" in texts
+    quality_cnn.fit(docs, labels, max_bytes=10)
+    assert not seen or sum(map(len, seen.pop()[0])) <= 10
+
+
 def test_quality_scores_whole_texts():
     net = quality_cnn.Network(5)
     texts = [b"", b"a", bytes(range(256)) * 9, b"x" * 70000 + b"$$$ &&&"]
