@@ -354,12 +354,29 @@ def test_kneser_ney_adds_up_to_one_and_follows_its_formula():
         assert np.isclose(np.exp(models.log_probability(code))[0, 0], plain(gram, 4)), gram
 
 
-def test_a_model_keeps_the_most_frequent_grams(spark):
-    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
-    whole, small = language_id.fit(docs), language_id.fit(docs, max_grams=500)
-    assert small.languages == whole.languages and len(small.keys[3]) < len(whole.keys[3]) and len(small.keys[3]) <= 500 * len(small.languages) * 1.01
-    found = language_id.identify(docs, small).join(docs.select(F.col("doc_id").alias("id"), "lang"), "id").collect()
-    assert sum(r.lang == r.lang_pred for r in found) > 0.97 * len(found)
+def test_models_in_arrays_and_in_tables_agree(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text", "lang")
+    odd = spark.createDataFrame([(1000, "Это русский текст, которого никто не учил", None), (1001, None, None), (1002, "", None), (1003, "123 !", None), (1004, "𐐀𐐁 zq", None)], docs.schema)
+    docs = docs.union(odd)
+    arrays, tables = language_id.fit(docs), language_id.fit(docs, most_values=0)
+    assert isinstance(tables, language_id.StoredModels) and tables.languages == arrays.languages
+    assert np.allclose(arrays.limits, tables.limits)
+    one, other = ({r.id: r for r in language_id.identify(docs, m).collect()} for m in (arrays, tables))
+    assert one.keys() == other.keys() and len(one) == docs.count()
+    for i, r in one.items():
+        assert (r.lang_pred, r.rejected) == (other[i].lang_pred, other[i].rejected) and abs(r.score - other[i].score) < 1e-6
+    kept = [sorted(r.doc_id for r in language_id.keep_known(docs, m).collect()) for m in (arrays, tables)]
+    assert kept[0] == kept[1] and 0 < len(kept[0]) < docs.count()
+
+
+def test_counts_are_whole_however_they_are_held(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("text", "lang")
+    found = {(r.lang, r.gram): r.n for r in language_id.count_grams(docs).collect()}
+    want = Counter()
+    for r in docs.where("lang IS NOT NULL").collect():
+        for g in language_id.text_grams([r.text])[0].view(np.int64).tolist():
+            want[r.lang, g] += 1
+    assert found == want
 
 
 def test_long_texts_count_piece_by_piece(monkeypatch):
