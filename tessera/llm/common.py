@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 U64 = np.uint64
 #: Bytes of text that a vectorised step handles at once; a longer single text makes a longer step.
@@ -169,9 +169,11 @@ def grouped(df: DataFrame, keys: list[str], order: list[str], kernel: Callable[[
     """Applies ``kernel`` to the rows of each key, as an Arrow table sorted by ``order``.
 
     Rows are dealt by key and sorted, and one task walks its runs of equal keys: a task holds one group at a
-    time, so groups must have a bounded size (see ``in_cells``), and there may be millions of small ones.
+    time, so groups must have a bounded size (see ``in_cells``), and there may be millions of small ones. Rows are
+    dealt to as many partitions as the session shuffles into, unless told otherwise: kernels cost far more than
+    their bytes tell, so partitions shouldn't be put together by size.
     """
-    dealt = df.repartition(partitions, *keys) if partitions else df.repartition(*keys)
+    dealt = df.repartition(partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[pa.RecordBatch] = []
@@ -213,16 +215,23 @@ def _same(a: pa.RecordBatch, b: pa.RecordBatch, keys: list[str]) -> bool:
     return all(a.column(k)[a.num_rows - 1] == b.column(k)[0] for k in keys)
 
 
-def in_cells(df: DataFrame, keys: list[str], member: str, block: int) -> DataFrame:
+#: Bytes of rows that a block of a cell holds, or a single row that has more.
+BLOCK_BYTES = 32 << 20
+
+
+def in_cells(df: DataFrame, keys: list[str], member: str, block: int, size: Column | None = None) -> DataFrame:
     """Adds cell_a and cell_b so that any two rows of a key meet in exactly one cell of at most about two blocks.
 
-    A key with at most ``block`` rows keeps one cell (0, 0). A larger one is dealt into b blocks by the hash of
+    A block has about ``block`` rows at most, and ``BLOCK_BYTES`` if ``size`` tells a row's bytes. A key with one block keeps one cell (0, 0). A larger one is dealt into b blocks by the hash of
     ``member``; a row of block i goes to the b cells (min(i, j), max(i, j)); ``own`` is its block. No row is
     dropped and no task holds more than two blocks, so a key that holds a third of all rows is spread.
     """
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > block).withColumn("_blocks", F.ceil(F.col("_n") / block).cast("int"))
+    blocks = F.ceil(F.count(F.lit(1)) / block)
+    if size is not None:
+        blocks = F.greatest(blocks, F.ceil(F.sum(size) / BLOCK_BYTES))
+    sizes = df.groupBy(*keys).agg(blocks.cast("int").alias("_blocks")).where("_blocks > 1")
     # stored, so that the few large keys are joined by their true size and a hot key's rows can be split
-    rows = df.join(checkpointed(sizes.drop("_n")), keys, "left").withColumn("_blocks", F.coalesce("_blocks", F.lit(1)))
+    rows = df.join(checkpointed(sizes), keys, "left").withColumn("_blocks", F.coalesce("_blocks", F.lit(1)))
     rows = rows.withColumn("own", F.pmod(F.xxhash64(member), F.col("_blocks")).cast("int"))
     rows = rows.withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
     return rows.withColumn("cell_a", F.least("own", "_j")).withColumn("cell_b", F.greatest("own", "_j")).drop("_blocks", "_j")

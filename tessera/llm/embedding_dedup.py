@@ -28,6 +28,8 @@ from .common import checkpointed, components, forest, grouped, map_arrow
 AXES = 6
 FANOUT = 4
 LEAF = 512
+#: Bytes of vectors that a block holds, if that is fewer than its rows.
+BLOCK_BYTES = 32 << 20
 NEAR = 1e-5
 
 
@@ -98,7 +100,10 @@ def placed(nodes: DataFrame, axes: dict[int, np.ndarray], eps: float) -> DataFra
 
 
 def sequenced(nodes: DataFrame, block: int) -> DataFrame:
-    """The nodes with ``seq``, their place in grid order, and ``block``; sizes never share a block's boxes, as size sorts first."""
+    """The nodes with ``seq``, their place in grid order, and ``block``; sizes never share a block's boxes, as size sorts first.
+
+    Places are numbered by weight: 1, or more for vectors so wide that ``block`` of them pass BLOCK_BYTES.
+    """
     order = [F.col("size"), F.col("cells"), F.col("at"), F.col("node")]
     dealt = nodes.repartitionByRange(*order).sortWithinPartitions(*order)
 
@@ -107,19 +112,19 @@ def sequenced(nodes: DataFrame, block: int) -> DataFrame:
 
         part, n = TaskContext.get().partitionId(), 0
         for batch in batches:
-            k = batch.num_rows
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(k, part, np.int32)), pa.array(np.arange(n, n + k))], [*batch.schema.names, "part", "within"])
-            n += k
+            weight = np.maximum(1, -(-batch.column("size").to_numpy().astype(np.int64) * block // BLOCK_BYTES))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(weight), part, np.int32)), pa.array(n + np.cumsum(weight) - weight), pa.array(weight)], [*batch.schema.names, "part", "within", "weight"])
+            n += int(weight.sum())
 
-    numbered = checkpointed(map_arrow(dealt, number, "vec binary, node long, copies long, size int, cells array<int>, at array<double>, part int, within long"))
+    numbered = checkpointed(map_arrow(dealt, number, "vec binary, node long, copies long, size int, cells array<int>, at array<double>, part int, within long, weight long"))
     # one row for each partition that has rows: as many as there are tasks
-    counts = sorted((r.part, r.n) for r in numbered.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect())
+    counts = sorted((r.part, r.n) for r in numbered.groupBy("part").agg(F.sum("weight").alias("n")).collect())
     before, total = [], 0
     for part, n in counts:
         before.append((part, total))
         total += n
     starts = nodes.sparkSession.createDataFrame(before, "part int, before long")
-    return numbered.join(F.broadcast(starts), "part").withColumn("seq", F.col("before") + F.col("within")).withColumn("block", F.floor(F.col("seq") / block).cast("long")).drop("part", "within", "before", "cells")
+    return numbered.join(F.broadcast(starts), "part").withColumn("seq", F.col("before") + F.col("within")).withColumn("block", F.floor(F.col("seq") / block).cast("long")).drop("part", "within", "before", "cells", "weight")
 
 
 def _gap(low: Column, high: Column, other_low: Column, other_high: Column) -> Column:

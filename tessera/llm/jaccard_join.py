@@ -197,7 +197,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Documents with equal shingle sets are one node. In each tree, nodes with an equal signature prefix of the
     depth that meets ``recall`` are compared by whole signatures; pairs within ``slack`` below the similarity
     join candidate groups, and inside each group all pairs with such signatures are verified on the exact sets.
-    Large prefixes and groups are dealt into cells of bounded size, so no task holds a whole hot group and no
+    Large prefixes and groups are dealt into cells of bounded size in rows and bytes, so no task holds a whole hot group and no
     pair rows are made: a cell gives counts and a spanning forest.
     """
     depth = forest_depth(similarity, trees, DEPTH, recall)
@@ -209,7 +209,8 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     member = rows.select("doc", "digest", "n").join(nodes, ["digest", "n"])
     # several rows may carry one doc_id; the node's own row is one of them
     heads = rows.join(nodes.select("digest", "n", F.col("rep").alias("doc"), "copies"), ["doc", "digest", "n"]).groupBy("doc", "digest").agg(F.first("prefixes").alias("prefixes"), F.first("sig").alias("sig"), F.first("copies").alias("copies"), F.first("n").alias("n"))
-    heads = checkpointed(heads.withColumn("node", F.xxhash64("digest")))
+    # a number of its own for each node, stored, so that unlike sets are never one node
+    heads = checkpointed(heads.withColumn("node", F.monotonically_increasing_id()))
 
     prefixes = heads.select("node", F.posexplode("prefixes").alias("tree", "prefix"))
     # stored, so that the join below is between two exchanges and a prefix of many near copies can be split
@@ -225,10 +226,10 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         edges = np.array([(node[x], node[y]) for x, y in kept], np.int64)
         return pa.RecordBatch.from_arrays([pa.array(edges[:, 0]), pa.array(edges[:, 1])], ["u", "v"])
 
-    edges = grouped(in_cells(meeting, ["prefix"], "node", 2 * block), ["prefix", "cell_a", "cell_b"], ["path", "node"], link, "u long, v long")
+    edges = grouped(in_cells(meeting, ["prefix"], "node", block), ["prefix", "cell_a", "cell_b"], ["path", "node"], link, "u long, v long")
     candidates = components(edges)
 
-    group = heads.join(candidates, "node").select("doc", "node", "component", "copies", "sig", "digest")
+    group = heads.join(candidates, "node").select("doc", "node", "component", "copies", "n", "sig", "digest")
     sets = _sets(docs, id_col, text_col, words, group)
 
     def verify(rows: pa.Table) -> pa.RecordBatch | None:
@@ -252,7 +253,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             ["u", "v", "links"],
         )
 
-    found = checkpointed(grouped(in_cells(sets, ["component"], "node", block), ["component", "cell_a", "cell_b"], ["node"], verify, "u long, v long, links long"))
+    found = checkpointed(grouped(in_cells(sets, ["component"], "node", block // 2, F.col("n") * 8), ["component", "cell_a", "cell_b"], ["node"], verify, "u long, v long, links long"))
     counts = found.where("links > 0").groupBy(F.col("u").alias("node")).agg(F.sum("links").alias("links"))
     group_of = components(found.where("links = 0").select("u", "v"))
 
@@ -278,8 +279,8 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, words: int, group: DataFr
                 yield rows.drop_columns(["digest"])
 
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    read = group.join(texts, "doc").select("doc", "node", "component", "copies", "sig", "digest", "text")
-    return map_arrow(read, cut, "doc long, node long, component long, copies long, sig binary, shingles binary").dropDuplicates(["node"])
+    read = group.join(texts, "doc").select("doc", "node", "component", "copies", "n", "sig", "digest", "text")
+    return map_arrow(read, cut, "doc long, node long, component long, copies long, n long, sig binary, shingles binary").dropDuplicates(["node"])
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

@@ -82,6 +82,15 @@ def test_jaccard_join_loses_no_link(spark, block):
     assert {i: (r.n_links, r.class_id) for i, r in found.items()} == {i: (len(links[i]), classes[i]) for i in sets}
 
 
+def test_cells_are_bounded_by_bytes(spark):
+    rows = spark.range(100).select(F.lit(1).alias("key"), "id", F.lit(1 << 20).cast("long").alias("size"))
+    cells = common.in_cells(rows, ["key"], "id", 1000, F.col("size"))
+    most = cells.groupBy("cell_a", "cell_b").agg(F.sum("size").alias("bytes")).agg(F.max("bytes")).first()[0]
+    assert most < 3 * common.BLOCK_BYTES and cells.select("cell_a", "cell_b").distinct().count() == 4 * 5 // 2
+    pairs = cells.alias("x").join(cells.alias("y"), ["key", "cell_a", "cell_b"]).where("x.id < y.id AND NOT (x.own = y.own AND cell_a <> cell_b)").select("x.id", "y.id")
+    assert pairs.count() == pairs.distinct().count() == 100 * 99 // 2
+
+
 def test_forest_depth_meets_the_recall():
     assert jaccard_join.forest_depth(0.8, 16, 8, 0.9999) == 3
     assert jaccard_join.forest_depth(0.8, 16, 8, 0.5) > 3
@@ -103,6 +112,16 @@ def test_embedding_join_is_exact(spark, block):
     assert found == {i: (len(links[i]), classes[i], classes[i] == i) for i in range(len(x))}
 
 
+def test_blocks_of_wide_vectors_are_bounded_by_bytes(spark):
+    r = np.random.default_rng(5)
+    rows = [(i, r.normal(size=4096).tolist()) for i in range(40)] + [(100 + i, r.normal(size=4).tolist()) for i in range(40)]
+    nodes = embedding_dedup.packed(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "vec_id", "embedding").withColumnRenamed("id", "node").withColumn("copies", F.lit(1).cast("long")).select("vec", "node", "copies")
+    # 32 MB hold 1,024 vectors of 32 KB, so each weighs as much as 8 of the 8,192 rows of a block
+    found = embedding_dedup.sequenced(embedding_dedup.placed(nodes, {}, 0.4), 8192).orderBy("seq").collect()
+    assert [b.seq - a.seq for a, b in zip(found, found[1:])] == [1] * 40 + [8] * 39
+    assert [len(r.vec) for r in found] == [32] * 40 + [32768] * 40
+
+
 def test_distant_intervals_are_skipped():
     left = np.repeat(np.arange(4096.0)[:, None], 2, 1)
     pairs = list(embedding_dedup.interval_pairs(left, left, True, 0.5))
