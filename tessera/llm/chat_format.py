@@ -10,7 +10,7 @@ control string (all of them start with ``<``), whatever it says. ``loss`` lists
 (code points, end exclusive) that a model is trained on: each text of a loss-bearing role.
 
 Null texts and roles count as empty. Repeated rows of a turn are turns of their own, ordered by turn, role and
-text; null turns come first. A conversation with many turns is one output string, so it is held whole; nothing
+text; null turns come first. The work is linear in a conversation's turns. A conversation with many turns is one output string, so it is held whole; nothing
 else is. An empty table gives an empty result, and other columns are ignored.
 """
 
@@ -18,6 +18,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .expressions import let, totals_before
+
 OPEN, TEXT, PART, CLOSE = "<|open|>", "<|text|>", "<|part|>", "<|close|>"
 
 
@@ -41,23 +43,16 @@ def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
     )
     chats = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
 
-    # adjacent turns of one role become one block with an array of texts
-    empty = F.array().cast("array<struct<role:string,texts:array<string>>>")
-    merged = F.aggregate(
-        "turns",
-        empty,
-        lambda blocks, t: F.when(
-            (F.size(blocks) > 0) & (F.try_element_at(blocks, F.lit(-1))["role"] == t["role"]),
-            F.concat(
-                F.slice(blocks, F.lit(1), F.greatest(F.size(blocks) - 1, F.lit(0))),
-                F.array(F.struct(t["role"].alias("role"), F.concat(F.try_element_at(blocks, F.lit(-1))["texts"], F.array(escaped(t["text"]))).alias("texts"))),
-            ),
-        ).otherwise(F.concat(blocks, F.array(F.struct(t["role"].alias("role"), F.array(escaped(t["text"])).alias("texts"))))),
-    )
-    chats = chats.select("conv_id", merged.alias("blocks"))
+    # adjacent turns of one role become one block with an array of texts: a block ends where the next one opens
+    def merged(turns: Column) -> Column:
+        opens = F.filter(F.sequence(F.lit(0), F.size(turns) - 1), lambda i: ~F.coalesce(F.get(turns, i - 1)["role"] == F.get(turns, i)["role"], F.lit(False)))
+        own = lambda starts, s, k: F.slice(turns, s + 1, F.coalesce(F.get(starts, k + 1), F.size(turns)) - s)
+        return let(opens, lambda starts: F.transform(starts, lambda s, k: F.struct(F.get(turns, s)["role"].alias("role"), F.transform(own(starts, s, k), lambda t: escaped(t["text"])).alias("texts"))))
+
+    chats = chats.select("conv_id", let(F.col("turns"), merged).alias("blocks"))
     shown = F.transform("blocks", lambda b: F.concat(F.lit(OPEN), escaped(b["role"]), F.lit(TEXT), F.array_join(b["texts"], PART), F.lit(CLOSE)))
 
-    # where each text starts: a running sum over all blocks' pieces
+    # where each text starts: the total of what stands before
     pieces = F.flatten(
         F.transform(
             "blocks",
@@ -72,17 +67,14 @@ def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
             ),
         )
     )
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"))
-    walked = F.aggregate(
-        pieces,
-        start,
-        lambda acc, p: F.struct(
-            (acc["at"] + p["lead"] + p["size"] + p["trail"]).alias("at"),
-            F.when(p["loss"], F.concat(acc["spans"], F.array(F.struct((acc["at"] + p["lead"]).alias("start"), (acc["at"] + p["lead"] + p["size"]).alias("end"))))).otherwise(acc["spans"]).alias("spans"),
-        ),
-        lambda acc: acc["spans"],
-    )
-    return chats.select("conv_id", F.array_join(shown, "").alias("formatted"), walked.alias("loss"))
+
+    def spans(pieces: Column) -> Column:
+        before = totals_before(F.transform(pieces, lambda p: p["lead"] + p["size"] + p["trail"]))
+        bearing = F.filter(F.arrays_zip(pieces.alias("piece"), before.alias("at")), lambda x: x["piece"]["loss"])
+        start = lambda x: x["at"] + x["piece"]["lead"]
+        return F.transform(bearing, lambda x: F.struct(start(x).alias("start"), (start(x) + x["piece"]["size"]).alias("end")))
+
+    return chats.select("conv_id", F.array_join(shown, "").alias("formatted"), let(pieces, spans).alias("loss"))
 
 
 def parse_chats(chats: DataFrame) -> DataFrame:

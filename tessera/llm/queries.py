@@ -111,8 +111,10 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    said = "</s>[INST] ok [/INST]"
-    return chat_format.chat_digests(chat_format.format_chats(turns.union(spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], turns.schema))))
+    said = F.lit("</s>[INST] ok [/INST]")
+    # the contract's extra conversation, from literals
+    added = F.inline(F.array(*[F.struct(F.lit(-7).alias("conv_id"), F.lit(n).alias("turn"), F.lit(role).alias("role"), said.alias("text")) for n, role in enumerate(("user", "assistant"))]))
+    return chat_format.chat_digests(chat_format.format_chats(turns.union(spark.range(1, numPartitions=1).select(added))))
 
 
 ORACLES["op8_chat_format"] = r"""

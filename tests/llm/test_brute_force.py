@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 import tracemalloc
 import zlib
 from collections import Counter, defaultdict
@@ -499,6 +500,29 @@ def test_chat_round_trip(spark):
         assert q.formatted.count(chat_format.OPEN) == blocks
 
 
+def test_chats_of_many_turns(spark):
+    """Tens of thousands of turns, alternating and of one role, take seconds."""
+    n = 30_000
+    turns = spark.range(2 * n).select((F.col("id") % 2).alias("conv_id"), F.col("id").alias("turn"), F.when((F.col("id") % 2 == 0) | (F.col("id") % 4 == 1), "user").otherwise("assistant").alias("role"), F.lit("a<b").alias("text"))
+    began = time.perf_counter()
+    found = {r.conv_id: r for r in chat_format.chat_digests(chat_format.format_chats(turns)).collect()}
+    assert time.perf_counter() - began < 60
+    assert found[0].n_turns == found[1].n_turns == n and (found[0].loss_chars, found[1].loss_chars) == (0, 3 * n // 2)
+
+
+def test_shared_folder_is_asked_for_on_a_cluster():
+    class Context:
+        master = "spark://host:7077"
+        getCheckpointDir = staticmethod(lambda: None)
+
+    class Session:
+        sparkContext = Context
+        conf = {}
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.shared_folder(Session)
+
+
 def test_license_rules(spark):
     texts = [
         "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at\nhttp://www.apache.org/licenses/LICENSE-2.0",
