@@ -2,7 +2,8 @@
 
 All take ``files`` with path and text and give one row per chunk: path, chunk_index, start_line, end_line (1-based,
 inclusive), content. A boundary chunker marks lines that open a chunk; a chunk ends before the next one. Everything
-stays in expressions over a text's lines, so files are independent and nothing is shuffled.
+stays in expressions over a text's lines, so files are independent and nothing is shuffled. Chunks are cut out before
+rows are made of them, so no row ever carries its file's lines.
 """
 
 from __future__ import annotations
@@ -12,40 +13,58 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as T
+from ..functions.arrays import let, totals_before
 
 
-def _rows(files: DataFrame, spans: Column) -> DataFrame:
-    """One row per span (start, end) of ``_lines``; blank edges are trimmed and blank chunks left out."""
-    exploded = files.select("path", "_lines", F.explode(spans).alias("_span"))
-    body = F.slice("_lines", F.col("_span.start"), F.col("_span.end") - F.col("_span.start") + 1)
-    full = F.filter(F.transform(body, lambda x, i: F.when(x.rlike(r"(?U)\S"), i)), lambda i: i.isNotNull())
-    first, last = F.array_min(full), F.array_max(full)
-    out = exploded.withColumn("_body", body).withColumn("_first", first).withColumn("_last", last).where(F.col("_first").isNotNull())
-    out = out.select(
-        "path", (F.col("_span.start") + F.col("_first")).alias("start_line"), (F.col("_span.start") + F.col("_last")).alias("end_line"),
-        F.array_join(F.slice("_body", F.col("_first") + 1, F.col("_last") - F.col("_first") + 1), "\n").alias("content"),
-    )
-    return out
+def useful(script: Column | bool = False) -> Callable[[Column], Column]:
+    """Tests lines: neither blank nor, in scripts, closing marks alone."""
+    return lambda x: x.rlike(r"(?U)\S") & ~(F.lit(script) & x.rlike(r"(?U)^\s*(?:[{}]|\};|;)\s*$"))
 
 
-def windows(files: DataFrame, size: int = 120, overlap: int = 20) -> DataFrame:
-    """Windows of ``size`` lines, each sharing ``overlap`` lines with the one before."""
+def trimmed(lines: Column, spans: Column, counts: Callable[[Column], Column] = useful()) -> Column:
+    """start_line, end_line, content of the spans (start, end; 1-based) without the lines at their edges that don't count."""
+
+    def cut(span: Column) -> Column:
+        def edges(body: Column) -> Column:
+            full = F.filter(F.transform(body, lambda x, i: F.when(counts(x), i)), lambda i: i.isNotNull())
+            return let(F.struct(F.array_min(full).alias("first"), F.array_max(full).alias("last")), lambda e: F.when(e["first"].isNotNull(), F.struct((span["start"] + e["first"]).alias("start_line"), (span["start"] + e["last"]).alias("end_line"), F.array_join(F.slice(body, e["first"] + 1, e["last"] - e["first"] + 1), "\n").alias("content"))))
+
+        return let(F.slice(lines, span["start"], F.greatest(span["end"] - span["start"] + 1, F.lit(0))), edges)
+
+    return F.array_compact(F.transform(spans, cut))
+
+
+def window_spans(count: Column, size: int, overlap: int) -> Column:
+    """start, end of the windows of ``size`` lines, each sharing ``overlap`` lines with the one before; none without lines."""
     if size <= 0 or not 0 <= overlap < size:
         raise ValueError("size must be positive and overlap in [0, size)")
-    rows = files.withColumn("_lines", T.lines(F.col("text"))).where(F.size("_lines") > 0)
-    starts = F.sequence(F.lit(0), F.greatest(F.size("_lines") - overlap - 1, F.lit(0)), F.lit(size - overlap))
-    spans = F.transform(starts, lambda s, i: F.struct(i.alias("chunk_index"), (s + 1).alias("start_line"), F.least(s + size, F.size("_lines")).alias("end_line")))
-    out = rows.select("path", "_lines", F.explode(spans).alias("s")).select("path", "_lines", "s.*")
-    return out.select("path", "chunk_index", "start_line", "end_line", F.array_join(F.slice("_lines", F.col("start_line"), F.col("end_line") - F.col("start_line") + 1), "\n").alias("content"))
+    starts = F.sequence(F.lit(0), F.greatest(count - overlap - 1, F.lit(0)), F.lit(size - overlap))
+    return F.when(count > 0, F.transform(starts, lambda s: F.struct((s + 1).alias("start"), F.least(s + size, count).alias("end")))).otherwise(F.array().cast("array<struct<start:int,end:int>>"))
+
+
+def whole(lines: Column, spans: Column) -> Column:
+    """start_line, end_line, content of the spans as they are."""
+    return F.transform(spans, lambda s: F.struct(s["start"].alias("start_line"), s["end"].alias("end_line"), F.array_join(F.slice(lines, s["start"], s["end"] - s["start"] + 1), "\n").alias("content")))
+
+
+def windows(files: DataFrame, size: int = 120, overlap: int = 20) -> DataFrame:
+    """Windows of ``size`` lines, each sharing ``overlap`` lines with the one before."""
+    rows = files.select("path", T.lines(F.col("text")).alias("_lines"))
+    cut = rows.select("path", F.posexplode(whole(F.col("_lines"), window_spans(F.size("_lines"), size, overlap))).alias("chunk_index", "c"))
+    return cut.select("path", "chunk_index", "c.*")
+
+
+def section_spans(lines: Column, opens: Column) -> Column:
+    """start, end of the sections that begin at the 0-based indexes ``opens``; what stands before is one too."""
+    starts = F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0)), opens)))
+    return let(starts, lambda at: F.transform(at, lambda s, i: F.struct((s + 1).alias("start"), F.coalesce(F.get(at, i + 1), F.size(lines)).alias("end"))))
 
 
 def sections(files: DataFrame, opens: Callable[[Column], Column]) -> DataFrame:
     """Chunks that begin at the lines whose 0-based indexes ``opens`` (of the lines) gives; what stands before is one too."""
-    rows = files.withColumn("_lines", T.lines(F.col("text"))).where(F.size("_lines") > 0)
-    starts = F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0)), opens(F.col("_lines")))))
-    rows = rows.withColumn("_starts", starts)
-    spans = F.transform("_starts", lambda s, i: F.struct((s + 1).alias("start"), F.coalesce(F.get("_starts", i + 1), F.size("_lines")).alias("end")))
-    return _rows(rows, spans)
+    rows = files.select("path", T.lines(F.col("text")).alias("_lines"))
+    cut = rows.select("path", F.explode(trimmed(F.col("_lines"), section_spans(F.col("_lines"), opens(F.col("_lines"))))).alias("c"))
+    return cut.select("path", "c.*")
 
 
 def _where(lines: Column, test: Callable[[Column, Column], Column]) -> Column:
@@ -67,7 +86,9 @@ def markdown_headings(lines: Column) -> Column:
         heading = ~inside & (mark == "") & line.rlike(r"^ {0,3}#{1,6}\s+\S")
         return F.struct(fence.alias("fence"), F.when(heading, F.array_append(acc["found"], acc["at"])).otherwise(acc["found"]).alias("found"), (acc["at"] + 1).alias("at"))
 
-    return F.aggregate(lines, start, step, lambda acc: acc["found"])
+    # most texts have no fence, and then lines are told one by one
+    plain = _where(lines, lambda x, i: x.rlike(r"^ {0,3}#{1,6}\s+\S"))
+    return F.when(F.exists(lines, lambda x: x.rlike(r"^ {0,3}(`{3}|~{3})")), F.aggregate(lines, start, step, lambda acc: acc["found"])).otherwise(plain)
 
 
 def rst_headings(lines: Column) -> Column:
@@ -97,15 +118,14 @@ def blank_separated(lines: Column) -> Column:
 def _depths(lines: Column, opening: str, closing: str) -> Column:
     """Bracket depth before each line."""
     change = lambda x: F.length(F.regexp_replace(x, f"[^{opening}]", "")) - F.length(F.regexp_replace(x, f"[^{closing}]", ""))
-    start = F.struct(F.lit(0).alias("depth"), F.array().cast("array<int>").alias("all"))
-    return F.aggregate(lines, start, lambda acc, x: F.struct((acc["depth"] + change(x)).alias("depth"), F.array_append(acc["all"], acc["depth"]).alias("all")), lambda acc: acc["all"])
+    return totals_before(F.transform(lines, change))
 
 
 def json_keys(lines: Column) -> Column:
     """Lines on which a key of the outermost object begins; strings are blanked before brackets are counted."""
     bare = F.transform(lines, lambda x: F.regexp_replace(F.regexp_replace(x, r"\\.", ""), '"[^"]*"', '"'))
-    depths = _depths(bare, r"{\[", r"}\]")
-    return _where(bare, lambda x, i: (F.get(depths, i) == 1) & x.rlike(r'^\s*"\s*:'))
+    opens = lambda depths: _where(bare, lambda x, i: (F.get(depths, i) == 1) & x.rlike(r'^\s*"\s*:'))
+    return let(_depths(bare, r"{\[", r"}\]"), opens)
 
 
 def sql_statements(lines: Column) -> Column:
@@ -117,10 +137,14 @@ def sql_statements(lines: Column) -> Column:
     # between the two marks only line ends stay
     pieces = F.split(quiet, "\u0002", -1)
     bare = F.array_join(F.transform(pieces, lambda p: F.concat(F.substring_index(p, "\u0001", 1), F.when(p.contains("\u0001"), F.regexp_replace(F.substring_index(p, "\u0001", -1), "[^\n]", "")).otherwise(F.lit("")))), "")
-    rows = F.split(bare, "\n", -1)
-    depths = _depths(rows, "(", ")")
-    ends = _where(rows, lambda x, i: F.exists(F.filter(F.transform(F.sequence(F.lit(1), F.greatest(F.length(x), F.lit(1))), lambda k: F.struct(F.substring(x, k, F.lit(1)).alias("c"), F.substring(x, F.lit(1), k).alias("before"))), lambda q: q["c"] == ";"), lambda q: F.get(depths, i) + F.length(F.regexp_replace(q["before"], "[^(]", "")) - F.length(F.regexp_replace(q["before"], "[^)]", "")) <= 0))
-    return F.filter(F.transform(ends, lambda i: i + 1), lambda i: i < F.size(lines))
+    count = lambda x, mark: F.length(x) - F.length(F.replace(x, F.lit(mark), F.lit("")))
+
+    def ends(rows: Column, depths: Column) -> Column:
+        # a line ends a statement if brackets balance before one of its semicolons
+        balanced = lambda x, i: F.exists(F.sequence(F.lit(1), F.greatest(count(x, ";"), F.lit(1))), lambda k: x.contains(";") & let(F.call_function("substring_index", x, F.lit(";"), k), lambda before: F.get(depths, i) + count(before, "(") - count(before, ")") <= 0))
+        return F.filter(F.transform(_where(rows, balanced), lambda i: i + 1), lambda i: i < F.size(lines))
+
+    return let(F.split(bare, "\n", -1), lambda rows: let(_depths(rows, "(", ")"), lambda depths: ends(rows, depths)))
 
 
 #: A symbol's declaration, by language: what its line looks like and where the name stands.
