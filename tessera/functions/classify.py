@@ -5,15 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from .. import config
-from .text import base_name, contains_any, rooted, suffix
+from .text import base_name, contains_any, found_in, rooted, suffix
 
 
 def doc_hint(path: Column) -> Column:
     """The first documentation hint within the path, null if there is none."""
-    out = F.lit(None).cast("string")
-    for hint in reversed(config.DOC_PATH_HINTS):
-        out = F.when(rooted(path).contains(hint), F.lit(hint)).otherwise(out)
-    return out
+    return F.get(found_in(rooted(path), config.DOC_PATH_HINTS), F.lit(0))
 
 
 def is_test(path: Column) -> Column:

@@ -6,6 +6,8 @@ import fnmatch
 
 from pyspark.sql import Column, functions as F
 
+from .arrays import let
+
 
 def collapsed(text: Column) -> Column:
     """Runs of white space (any Unicode kind) become one space; the ends are trimmed."""
@@ -54,11 +56,13 @@ def matches_any(text: Column, globs: list[str]) -> Column:
     return text.rlike("|".join(f"^(?:{fnmatch.translate(g).removeprefix('(?s:').removesuffix(r')\Z')})$" for g in globs))
 
 
+def found_in(text: Column, parts: tuple[str, ...]) -> Column:
+    """Those of the parts that the text contains, in their order; the text is worked out once."""
+    return let(text, lambda t: F.filter(F.array(*[F.lit(p) for p in parts]), lambda p: t.contains(p)))
+
+
 def contains_any(text: Column, parts: tuple[str, ...]) -> Column:
-    out = F.lit(False)
-    for part in parts:
-        out = out | text.contains(part)
-    return out
+    return F.coalesce(F.size(found_in(text, parts)) > 0, F.lit(False))
 
 
 def content_hash(text: Column) -> Column:

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import classify as C, text as T
-from ..operators import chunks, memory, points as P, rag, search as S
+from ..operators import chunks, documents, indexing, memory, points as P, rag, search as S
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -264,9 +264,10 @@ def _shaped(spark: SparkSession, sf_dir: str, shape: Callable[[Column, Column],
 
 
 def _sections_sql(shape: str, opens: str, head: str = "", tail: str = "") -> str:
-    """Chunks of shaped lines for shapes that give one line a line and mark openings line by line."""
+    """Chunks of shaped lines whose openings are told by a line (x), its number (n) and its neighbours (px, nx)."""
     return f"""WITH {LINES_SQL}, shaped AS (SELECT path, string_split({head}array_to_string(list_transform(ls, lambda x, i: {shape}), chr(10)){tail}, chr(10)) AS ls FROM l WHERE len(ls) > 0),
-numbered AS (SELECT path, unnest(ls) AS x, generate_subscripts(ls, 1) AS n FROM shaped),
+lines AS (SELECT path, unnest(ls) AS x, generate_subscripts(ls, 1) AS n FROM shaped),
+numbered AS (SELECT *, lag(x) OVER w AS px, lead(x) OVER w AS nx FROM lines WINDOW w AS (PARTITION BY path ORDER BY n)),
 marked AS (SELECT *, sum(CASE WHEN {opens} THEN 1 ELSE 0 END) OVER (PARTITION BY path ORDER BY n) AS g FROM numbered),
 full_ AS (SELECT path, g, min(n) AS a, max(n) AS b FROM marked WHERE regexp_matches(x, '\\S') GROUP BY path, g)
 SELECT m.path, f.a::INT AS start_line, f.b::INT AS end_line, string_agg(m.x, chr(10) ORDER BY n) AS content FROM marked m JOIN full_ f ON f.path = m.path AND f.g = m.g AND n BETWEEN f.a AND f.b GROUP BY m.path, f.g, f.a, f.b"""
@@ -286,7 +287,10 @@ def adoc_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.sections(_shaped(spark, sf_dir, _fifth(lambda x, i: F.concat(F.lit("== "), x))), chunks.adoc_headings)
 
 
-@query("rst_sections")
+_UNDER = "'^(?:" + "|".join(f"[{c}]{{3,}}" for c in ("=", "\\\\-", "~", "\\\\^", '"', "''", "`", ":", "#", "*", "+", ".", "<", ">", "_")) + ")$'"
+
+
+@query("rst_sections", _sections_sql("CASE WHEN (i - 1) % 5 = 0 THEN x || chr(10) || repeat('=', greatest(length(x), 3)) ELSE x END", f"regexp_matches(x, '\\S') AND regexp_matches(rtrim(coalesce(nx, '')), {_UNDER}) AND length(rtrim(coalesce(nx, ''))) >= length(rtrim(x)) AND NOT regexp_matches(rtrim(x), {_UNDER})"))
 def rst_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     shape = _fifth(lambda x, i: F.concat(x, F.lit("\n"), F.repeat(F.lit("="), F.greatest(F.length(x), F.lit(3)))))
     return chunks.sections(_shaped(spark, sf_dir, shape), chunks.rst_headings)
@@ -304,7 +308,7 @@ def yaml_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.sections(_shaped(spark, sf_dir, shape), chunks.yaml_keys)
 
 
-@query("env_blocks")
+@query("env_blocks", _sections_sql("CASE WHEN (i - 1) % 5 = 4 THEN '' ELSE 'K' || (i - 1) || '=' || x END", "regexp_matches(x, '\\S') AND n > 1 AND NOT regexp_matches(px, '\\S')"))
 def env_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     shape = lambda x, i: F.when(i % 5 == 4, F.lit("")).otherwise(F.concat(F.lit("K"), i.cast("string"), F.lit("="), x))
     return chunks.sections(_shaped(spark, sf_dir, shape), chunks.blank_separated)
@@ -407,6 +411,61 @@ def scan_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repository.counts(repository.marked(paths(spark, sf_dir), extensions=(".py", ".md", ".ts"), patterns=["*/tests/*"])).select("seen", "ignored_ext", "ignored_pattern", "kept")
 
 
+# --- the index run ------------------------------------------------------------------------------------------------
+
+
+def _headed(text: Column) -> Column:
+    """Every fifth line as a heading."""
+    return F.array_join(F.transform(T.lines(text), _fifth(lambda x, i: F.concat(F.lit("## "), x))), "\n")
+
+
+def _documents_sql(name: str, source: str) -> str:
+    """CTE ``name`` (path, strategy, kind, start_line, end_line, content): chunks of the headed texts of ``source`` (path, text), which hold no code."""
+    windows = "range(0, greatest(len(ls) - 5 - 1, 0) + 1, 35)"
+    return f"""{name}_l AS (SELECT f.path, c.kind, CASE WHEN kind = 'doc_section' THEN 'doc_section' WHEN kind = 'config_block' THEN 'config_section' WHEN kind = 'sql_block' THEN 'sql_statement' WHEN c.ext = '.py' THEN 'python_symbol' WHEN c.ext = '.ts' THEN 'ts_symbol' ELSE 'line_window' END AS strategy,
+  CASE WHEN f.text = '' THEN [] ELSE list_transform(string_split(regexp_replace(f.text, '\\n$', ''), chr(10)), lambda x, i: CASE WHEN (i - 1) % 5 = 0 THEN '## ' || x ELSE x END) END AS ls FROM ({source}) f JOIN (SELECT DISTINCT path, kind, ext FROM c) c USING (path)),
+{name}_n AS (SELECT path, kind, strategy, unnest(ls) AS x, generate_subscripts(ls, 1) AS n FROM {name}_l WHERE strategy <> 'line_window'),
+{name}_m AS (SELECT *, sum(CASE WHEN strategy = 'doc_section' AND regexp_matches(x, '^ {{0,3}}#{{1,6}}\\s+\\S') THEN 1 ELSE 0 END) OVER (PARTITION BY path ORDER BY n) AS g FROM {name}_n),
+{name}_e AS (SELECT path, g, min(n) AS a, max(n) AS b FROM {name}_m WHERE regexp_matches(x, '\\S') GROUP BY path, g),
+{name} AS (SELECT m.path, m.strategy, m.kind, e.a::INT AS start_line, e.b::INT AS end_line, string_agg(m.x, chr(10) ORDER BY n) AS content FROM {name}_m m JOIN {name}_e e ON e.path = m.path AND e.g = m.g AND n BETWEEN e.a AND e.b GROUP BY m.path, m.strategy, m.kind, e.a, e.b
+  UNION ALL SELECT path, strategy, kind, (a + 1)::INT, least(a + 40, len(ls))::INT, array_to_string(ls[a + 1:least(a + 40, len(ls))], chr(10)) FROM (SELECT *, unnest({windows}) AS a FROM {name}_l WHERE strategy = 'line_window' AND len(ls) > 0))"""
+
+
+@query("chunk_documents", f"WITH {_types_sql()}, {_documents_sql('d', 'SELECT path, text FROM files')} SELECT path, strategy, kind AS content_type, start_line, end_line, sha256(content) AS content_hash FROM d")
+def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every file by the chunker that its path asks for."""
+    rows = files(spark, sf_dir).withColumn("text", _headed(F.col("text")))
+    return documents.chunk_files(rows, 40, 5).select("path", "strategy", "content_type", "start_line", "end_line", "content_hash")
+
+
+def _index_run(spark: SparkSession, sf_dir: str) -> indexing.Indexed:
+    """Two runs: the second finds a fifth of the files gone, half of the others longer by a line, and some unreadable."""
+    from ..sources import shared
+
+    rows = files(spark, sf_dir).withColumn("text", _headed(F.col("text")))
+    none = spark.createDataFrame([], "id string, repo string, repo_root string, path string, content_type string, chunk_id string, content_hash string, start_line int, end_line int, text string, chunk_schema_version string")
+    first = indexing.index(rows.where("doc_id % 3 <> 0"), none, "/code", size=40, overlap=5, keep=shared.stored).points
+    plain = files(spark, sf_dir).where("doc_id % 5 <> 0").withColumn("text", F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("new\n"), F.col("text"))).otherwise(F.col("text")))
+    later = plain.withColumn("text", F.when(F.col("doc_id") % 50 != 1, _headed(F.col("text"))))
+    return indexing.index(later, shared.stored(first), "/code", size=40, overlap=5, keep=shared.stored)
+
+
+INDEX_SQL = f"{_types_sql()}, {_documents_sql('old', 'SELECT path, text FROM files WHERE doc_id % 3 <> 0 AND doc_id % 50 = 1 AND doc_id % 5 <> 0')}, {_documents_sql('new', 'SELECT path, CASE WHEN doc_id % 2 = 0 THEN ' + chr(39) + 'new' + chr(39) + ' || chr(10) || text ELSE text END AS text FROM files WHERE doc_id % 5 <> 0 AND doc_id % 50 <> 1')}, both_ AS (SELECT * FROM old UNION ALL SELECT * FROM new)"
+
+
+@query("index_documents", f"WITH {INDEX_SQL} SELECT path, CASE kind WHEN 'doc_section' THEN 'docs' ELSE 'code' END AS content_type, sha256(path || ':' || start_line || ':' || end_line || ':' || {LANGUAGE_SQL}) AS chunk_id, sha256(content) AS content_hash FROM both_")
+def index_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The points after a second run: new chunks, and old ones of files that could not be read."""
+    return _index_run(spark, sf_dir).points.select("path", "content_type", "chunk_id", "content_hash")
+
+
+@query("index_file_log", f"WITH {_types_sql()} SELECT f.path, kind AS content_type, CASE WHEN doc_id % 50 = 1 THEN 'error' ELSE 'ok' END AS status, CASE WHEN doc_id % 50 = 1 THEN 'unreadable' END AS reason FROM files f JOIN (SELECT DISTINCT path, kind FROM c) c USING (path)")
+def index_file_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each file, whether it can be indexed or not."""
+    rows = files(spark, sf_dir).withColumn("text", F.when(F.col("doc_id") % 50 != 1, F.col("text")))
+    return indexing.file_log(rows, 1_000_000).select("path", "content_type", "status", "reason")
+
+
 # --- the point table --------------------------------------------------------------------------------------------
 
 
