@@ -99,10 +99,26 @@ def top_k(points: DataFrame, query: Sequence[float], k: int, distance: str = "co
 
 def top_k_by(points: DataFrame, query: Sequence[float], k: int, group: str, distance: str = "cosine") -> DataFrame:
     """The k best points of each group, ranked from 1; tasks keep k rows a group before the exchange."""
-    ranked = points.withColumn("score", score(F.col("vector"), query, distance)).withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(best_first(distance), F.asc("id"))))
+    return ranked_by(points.withColumn("score", score(F.col("vector"), query, distance)), k, group, distance)
+
+
+def ranked_by(scored: DataFrame, k: int, group: str, distance: str = "cosine") -> DataFrame:
+    """``top_k_by`` of rows that have their score."""
+    ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(best_first(distance), F.asc("id"))))
     return ranked.where(F.col("rank") <= k)
 
 
+def with_payload(hits: DataFrame, payload: DataFrame, key: str) -> DataFrame:
+    """The hits of a top-k search with the columns of ``payload``, whose ``key`` is the hits' id.
+
+    The hits, k rows at most, come to the driver first, so that their ids are a filter on the payload's scan and no text of
+    other rows is read, let alone shuffled.
+    """
+    rows = hits.collect()
+    found = payload.where(F.col(key).isin([r.id for r in rows]))
+    return hits.sparkSession.createDataFrame(rows, hits.schema).join(found, F.col("id") == F.col(key)).drop(key)
+
+
 def fused(hits: DataFrame, k: int, floor: int = 1, constant: int = 60, types: tuple[str, ...] = ("code", "docs")) -> DataFrame:
     """Reciprocal rank fusion of ranked hits per content type, with a floor for each type.
 

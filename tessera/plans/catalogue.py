@@ -53,6 +53,13 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.join(files(spark, sf_dir), F.col("id") == F.col("doc_id")).drop("doc_id")
 
 
+def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, content_type, label, score of the points: vectors are scored where they are read and go no further."""
+    kind = F.when(F.col("label") % 2 == 0, "docs").otherwise("code")
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), kind.alias("content_type"), "label", S.score(F.col("embedding"), probe(spark, sf_dir)).alias("score"))
+    return rows.join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id")), "id", "left_semi")
+
+
 def probe(spark: SparkSession, sf_dir: str) -> list[float]:
     """The first vector as the query: one row of one column comes to the driver."""
     row = table(spark, sf_dir, "embeddings").where("vec_id = 0").select("embedding").first()
@@ -112,22 +119,27 @@ fused AS (SELECT *, row_number() OVER (ORDER BY rrf DESC, o, rank) AS position F
 
 
 def hybrid(spark: SparkSession, sf_dir: str, k: int, floor: int) -> DataFrame:
-    return S.fused(S.top_k_by(points(spark, sf_dir), probe(spark, sf_dir), k, "content_type"), k, floor)
+    """Ranked and fused by id and type alone; path and text of the hits are read afterwards."""
+    return S.with_payload(fused(spark, sf_dir, k, floor), files(spark, sf_dir), "doc_id")
+
+
+def fused(spark: SparkSession, sf_dir: str, k: int, floor: int) -> DataFrame:
+    return S.fused(S.ranked_by(scored(spark, sf_dir), k, "content_type"), k, floor)
 
 
 @query("rrf_hybrid", f"WITH {fused_sql(10, 1)} SELECT position, id, content_type, round(rrf, 9) AS rrf FROM fused")
 def rrf_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hybrid(spark, sf_dir, 10, 1).select(F.col("position").cast("long").alias("position"), "id", "content_type", F.round("rrf", 9).alias("rrf"))
+    return fused(spark, sf_dir, 10, 1).select(F.col("position").cast("long").alias("position"), "id", "content_type", F.round("rrf", 9).alias("rrf"))
 
 
 @query("rrf_diversity_floor", f"WITH {fused_sql(7, 9)} SELECT position, id, content_type FROM fused")
 def rrf_diversity_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hybrid(spark, sf_dir, 7, 9).select(F.col("position").cast("long").alias("position"), "id", "content_type")
+    return fused(spark, sf_dir, 7, 9).select(F.col("position").cast("long").alias("position"), "id", "content_type")
 
 
 @query("raw_score_merge", f"WITH {POINTS_SQL}, r AS (SELECT id, content_type, list_cosine_similarity(vector, q.v) AS s FROM points, q), k AS (SELECT *, row_number() OVER (PARTITION BY content_type ORDER BY s DESC, id) AS n FROM r) SELECT id, content_type, round(s, 6) AS score FROM k WHERE n <= 20 ORDER BY s DESC, content_type, id LIMIT 20")
 def raw_score_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = S.top_k_by(points(spark, sf_dir), probe(spark, sf_dir), 20, "content_type")
+    hits = S.ranked_by(scored(spark, sf_dir), 20, "content_type")
     return S.merged_by_score(hits, 20).select("id", "content_type", F.round("score", 6).alias("score"))
 
 
@@ -680,7 +692,7 @@ def memory_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three best code points for every label, with line ranges and snippets: label, position, path, ..."""
-    hits = S.top_k_by(points(spark, sf_dir), probe(spark, sf_dir), 3, "label")
+    hits = S.with_payload(S.ranked_by(scored(spark, sf_dir), 3, "label"), files(spark, sf_dir), "doc_id")
     return hits.select("label", F.col("rank").alias("position"), "path", F.when(F.col("id") % 2 == 0, F.lit(1)).alias("start_line"), F.when(F.col("id") % 2 == 0, F.lit(9)).alias("end_line"), S.snippet(F.col("text"), 80).alias("snippet"), F.concat(F.lit("what is "), F.col("label").cast("string")).alias("question"))
 
 
