@@ -35,6 +35,15 @@ def context(pairs: DataFrame, most_turns: int = 8, most_chars: int = 3000, sessi
     return sized.groupBy(session).agg(F.when(F.count_if("_fits") > 0, joined).otherwise(tail).alias("context"), F.count_if("_fits").alias("turns_used"))
 
 
+def first_turns(turns: DataFrame, most: int = 20, session: str = "conv_id", order: tuple[str, ...] = ("turn", "role")) -> DataFrame:
+    """The first ``most`` turns of every session, numbered from 1 (n long); rows that tie in ``order`` are numbered in any order.
+
+    Spark limits each session in the tasks that read it, so a session of very many turns isn't gathered whole.
+    """
+    w = Window.partitionBy(session).orderBy(*[F.asc_nulls_last(c) for c in order])
+    return turns.withColumn("n", F.row_number().over(w)).where(F.col("n") <= most).withColumn("n", F.col("n").cast("long"))
+
+
 def effective_confidence(confidence: Column, kind: Column, last: Column, reinforced: Column, now: Column, config: DecayConfig | None = None) -> Column:
     """Confidence after exponential decay since the last confirmation, raised by confirmations, within 0 and 1."""
     c = config or DecayConfig()

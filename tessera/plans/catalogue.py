@@ -587,6 +587,12 @@ def session_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns(spark, sf_dir).where("conv_id < 5").orderBy("conv_id", "turn").limit(20).select("conv_id", "turn", "role")
 
 
+@query("session_first_turns", "SELECT conv_id, turn, role, n FROM (SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role) AS n FROM conversations) WHERE n <= 20")
+def session_first_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first turns of every conversation, as many as a session lists."""
+    return memory.first_turns(turns(spark, sf_dir), 20).select("conv_id", "turn", "role", "n")
+
+
 NOW = "2024-03-01 00:00:00"
 # The kind of memory that an event stands for.
 KINDS = {"click": "preference", "view": "fact", "error": "convention"}

@@ -147,6 +147,18 @@ def test_preload_skips_what_does_not_fit(spark):
     assert [r.id for r in memory.preload(df, ["scope"], 3, 130).orderBy("position").collect()] == ["1", "3", "4"]
 
 
+def test_first_turns(spark):
+    rows = [(1, t, "user") for t in range(30)] + [(2, 0, "user"), (2, 0, "user"), (2, None, "user"), (None, 5, "user")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string")
+    found = memory.first_turns(df, 3)
+    assert sorted((r.conv_id, r.n, r.turn) for r in found.collect() if r.conv_id == 1) == [(1, 1, 0), (1, 2, 1), (1, 3, 2)]
+    assert [r.turn for r in found.where("conv_id = 2").orderBy("n").collect()] == [0, 0, None]
+    assert [r.n for r in found.where("conv_id IS NULL").collect()] == [1]
+    assert memory.first_turns(df.limit(0), 3).count() == 0
+    # limited before the exchange, so a long session isn't gathered whole
+    assert "WindowGroupLimit" in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_context_falls_back_to_the_tail(spark):
     pairs = spark.createDataFrame([(1, 1, "u" * 50, "a" * 50), (2, 1, "hi", "yo"), (2, 3, "q", "r")], "conv_id int, turn int, user_text string, assistant_text string")
     found = {r.conv_id: r for r in memory.context(pairs, 8, 60).collect()}
