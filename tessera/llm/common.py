@@ -49,6 +49,16 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Removes the stored table that ``df`` reads, if it is one of ``checkpointed``'s; nothing may read it afterwards."""
+    spark = df.sparkSession
+    folder = shared_folder(spark)
+    for file in df.inputFiles()[:1]:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(file).getParent()
+        if path.getName().startswith("table-") and folder.rpartition("/")[2] == path.getParent().getName():
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 

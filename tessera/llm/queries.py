@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
 
-from . import chat_format, decontaminate, embedding_dedup, jaccard_join, language_id, license_scan, line_dedup, packing, quality_cnn, secret_scan
+from . import centroids, chat_format, decontaminate, embedding_dedup, jaccard_join, language_id, license_scan, line_dedup, packing, quality_cnn, secret_scan, spelling, toxicity
 from .common import table
 from .queries_common import held_out, tokenizer_path
 
@@ -164,6 +164,84 @@ SELECT doc_id, sentence_ids, array_to_string(list_sort(list_distinct(list_transf
 ORACLES["op10_license_scan"] = _license_sql()
 
 
+@query
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"), damage=97).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+#: crc32 byte by byte, by a table made from its polynomial; near words as neighbours under one deletion or one open place.
+ORACLES["op11_spelling_variants"] = r"""
+WITH RECURSIVE crc AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, j: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t
+), runs AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{C0}-\x{FF}]+')) AS run FROM documents
+), several AS (SELECT doc_id, run, count(*) AS n FROM runs GROUP BY ALL),
+bytes AS (
+  SELECT *, flatten(list_transform(string_split(doc_id::VARCHAR || ':' || run, ''), lambda ch: CASE WHEN ord(ch) < 128 THEN [ord(ch)::BIGINT] ELSE [195, ord(ch)::BIGINT - 64] END)) AS b FROM several
+), hashed AS (
+  SELECT run, n, xor(list_reduce(list_prepend(4294967295, b), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) AS h FROM bytes, crc
+), damaged AS (
+  SELECT CASE WHEN h % 97 = 0 THEN run[1:h % length(run)] || run[h % length(run) + 2:] ELSE run END AS word, n FROM hashed
+), words AS MATERIALIZED (SELECT word, sum(n)::BIGINT AS n FROM damaged GROUP BY word HAVING length(word) >= 5 AND sum(n) >= 3),
+cut AS (SELECT word, n, i, word[1:i - 1] AS head, word[i + 1:] AS tail FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)),
+pairs AS (
+  SELECT a.word AS x, b.word AS y FROM cut a JOIN cut b ON a.i = b.i AND a.head = b.head AND a.tail = b.tail AND a.word <> b.word
+  UNION SELECT c.word, w.word FROM cut c JOIN words w ON w.word = c.head || c.tail
+  UNION SELECT w.word, c.word FROM cut c JOIN words w ON w.word = c.head || c.tail
+), best AS (SELECT x, count(*) AS n_near, arg_min(y, (-w.n, encode(y))) AS y, max(w.n) AS m FROM pairs JOIN words w ON w.word = y GROUP BY x),
+forms AS MATERIALIZED (
+  SELECT w.word, w.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN m >= 2 * w.n THEN y END AS form, CASE WHEN m >= 2 * w.n THEN m END::BIGINT AS form_n FROM words w LEFT JOIN best ON x = w.word
+), chain(word, place, ahead) AS (SELECT word, word, form FROM forms UNION ALL SELECT c.word, f.word, f.form FROM chain c JOIN forms f ON f.word = c.ahead)
+SELECT f.word, f.form, c.place AS root, f.n, f.n_near, f.form_n FROM forms f JOIN chain c ON c.word = f.word AND c.ahead IS NULL
+"""
+
+
+@query
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = centroids.assigned(table(spark, sf_dir, "embeddings"))
+    return found.select(F.col("id").alias("vec_id"), "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+def _clustering_sql(rounds: int = 10) -> str:
+    """Each round as two common table expressions: assignment, then floors of exact means."""
+    steps = []
+    for n in range(rounds + 1):
+        steps.append(
+            f"a{n} AS MATERIALIZED (SELECT vec_id, any_value(v.e) AS e, min((list_sum(list_transform(list_zip(v.e, c.e), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT, c.k)) AS near FROM v, c{n} c GROUP BY vec_id)"
+        )
+        if n < rounds:
+            steps.append(
+                f"c{n + 1} AS MATERIALIZED (SELECT c.k, coalesce(m.e, c.e) AS e FROM c{n} c LEFT JOIN (SELECT k, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY i) AS e FROM "
+                f"(SELECT k, i, sum(x) AS s, count(*) AS n FROM (SELECT near[2] AS k, unnest(e) AS x, generate_subscripts(e, 1) AS i FROM a{n}) GROUP BY k, i) GROUP BY k) m ON m.k = c.k)"
+            )
+    return rf"""
+WITH v AS MATERIALIZED (
+  SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: floor(1024 * x)::BIGINT) AS e FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+), c0 AS MATERIALIZED (SELECT (row_number() OVER (ORDER BY sha256('3:' || vec_id)) - 1)::INTEGER AS k, e FROM v ORDER BY sha256('3:' || vec_id) LIMIT 8),
+{", ".join(steps)},
+found AS (SELECT vec_id, near[2] AS cluster, near[1] AS distance FROM a{rounds})
+SELECT f.vec_id, f.cluster, f.distance, sum(f.distance) OVER (PARTITION BY f.cluster)::BIGINT AS cluster_inertia, sum(f.distance) OVER ()::BIGINT AS inertia,
+  sha256(array_to_string(c.e, ',')) AS centroid_sha256 FROM found f JOIN c{rounds} c ON c.k = f.cluster
+"""
+
+
+ORACLES["op12_centroid_clustering"] = _clustering_sql()
+
+
+def held_out_toxic(id_col: str = "doc_id"):
+    """The fold that toxicity is not learnt from."""
+    return F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1
+
+
+@query
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs.where(~held_out_toxic()), table(spark, sf_dir, "labels").where(~held_out_toxic()))
+    scored = toxicity.score(docs, model)
+    return scored.select(F.col("id").alias("doc_id"), held_out_toxic("id").alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "n_windows", "n_toxic")
+
+
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
