@@ -1,9 +1,9 @@
 """Splitting texts into chunks of lines: windows, sections, configuration blocks, statements, symbols.
 
 All take ``files`` with path and text and give one row per chunk: path, chunk_index, start_line, end_line (1-based,
-inclusive), content. A boundary chunker marks lines that open a chunk; a chunk ends before the next one. Everything
-stays in expressions over a text's lines, so files are independent and nothing is shuffled. Chunks are cut out before
-rows are made of them, so no row ever carries its file's lines.
+inclusive), content. A boundary chunker marks lines that open a chunk; a chunk ends before the next one. All but the
+lexical walk over code (``code``) stays in expressions over a text's lines, so files are independent and nothing is
+shuffled. Chunks are cut out before rows are made of them, so no row ever carries its file's lines.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as T
 from ..functions.arrays import let, totals_before
+from .code import declarations
 
 
 def useful(script: Column | bool = False) -> Callable[[Column], Column]:
@@ -147,135 +148,43 @@ def sql_statements(lines: Column) -> Column:
     return let(F.split(bare, "\n", -1), lambda rows: let(_depths(rows, "(", ")"), lambda depths: ends(rows, depths)))
 
 
-#: A symbol's declaration, by language: what its line looks like and where the name stands.
-PYTHON = r"^(\s*)(?:async\s+)?(def|class)\s+(\w+)"
-SCRIPT = r"^(\s*)(?:export\s+)?(?:default\s+)?(?:async\s+)?(?:(function\*?|(?:abstract\s+)?class)\s+([A-Za-z_$][\w$]*)|(?:const|let)\s+([A-Za-z_$][\w$]*)\s*(?::[^=]+)?=\s*(?:async\s*)?(?:\([^)]*\)|[A-Za-z_$][\w$]*)\s*(?::[^=]+)?=>)"
-#: A class member of a script; counts only right inside a class.
-MEMBER = r"^(\s+)(?:(?:public|private|protected|static|async|override|get|set)\s+)*\*?(?!(?:if|for|while|switch|catch|return|function|with|do|else)\b)([A-Za-z_$#][\w$]*)\s*(?:<[^>]*>)?\([^)]*\)\s*(?::[^{;]+)?\{"
-_OPEN = "struct<at:int,indent:int,symbol:string,word:string,exported:boolean,parent:string,parent_word:string,inside:int>"
-
-
-def _declared(lines: Column, script: bool) -> Column:
-    """All declarations of a text: at (0-based, decorators included), line, indent, symbol, word, exported, parent, parent_word, inside (the parent's place), stop.
-
-    Declarations are told by their line. One walk over the lines keeps the symbols that are open: a line that isn't
-    blank closes those that are indented as much or more. The parent is the innermost open symbol. Blank lines and
-    decorators belong to what follows.
-    """
-    pattern = SCRIPT if script else PYTHON
-    name = lambda x: F.concat(F.regexp_extract(x, pattern, 3), F.regexp_extract(x, pattern, 4)) if script else F.regexp_extract(x, pattern, 3)
-    start = F.struct(
-        F.lit(0).alias("at"), F.lit(None).cast("int").alias("decorated"), F.array().cast(f"array<{_OPEN}>").alias("open"),
-        F.array().cast(f"array<struct<at:int,line:int,indent:int,symbol:string,word:string,exported:boolean,parent:string,parent_word:string,inside:int,stop:int>>").alias("done"),
-    )
-
-    def closed(found: Column, stop: Column) -> Column:
-        own = lambda o: [o[c].alias(c) for c in ("indent", "symbol", "word", "exported", "parent", "parent_word", "inside")]
-        return F.transform(found, lambda o: F.struct(F.coalesce(o["first"], o["at"]).alias("at"), o["at"].alias("line"), *own(o), stop.alias("stop")))
-
-    start = F.struct(start["at"].alias("at"), start["decorated"].alias("decorated"), F.array().cast(f"array<{_OPEN[:-1]},first:int>>").alias("open"), start["done"].alias("done"))
-
-    def step(acc: Column, x: Column) -> Column:
-        indent = F.length(F.regexp_extract(x, r"^(\s*)", 1))
-
-        def after(still: Column) -> Column:
-            parent = F.get(still, F.size(still) - 1)
-            member = (parent["word"] == "class") & x.rlike(MEMBER) if script else F.lit(False)
-            declared = x.rlike(pattern)
-            word = F.when(declared, F.regexp_replace(F.regexp_extract(x, pattern, 2), r"^abstract\s+", "")).otherwise(F.lit("method"))
-            mark = F.struct(
-                acc["at"].alias("at"), indent.alias("indent"), F.when(declared, name(x)).otherwise(F.regexp_extract(x, MEMBER, 2)).alias("symbol"), word.alias("word"), x.rlike(r"^\s*export\b").alias("exported"),
-                parent["symbol"].alias("parent"), parent["word"].alias("parent_word"), parent["at"].alias("inside"), acc["decorated"].alias("first"),
-            )
-            gone = F.filter(acc["open"], lambda o: o["indent"] >= indent)
-            # a closing mark belongs to the block that it ends
-            stop = acc["at"] + F.when(F.lit(script) & x.rlike(r"^\s*[})\]]"), 1).otherwise(0)
-            return F.struct(
-                (acc["at"] + 1).alias("at"),
-                F.when(x.rlike(r"^\s*@\w"), F.coalesce(acc["decorated"], acc["at"])).alias("decorated"),
-                F.when(declared | F.coalesce(member, F.lit(False)), F.array_append(still, mark)).otherwise(still).alias("open"),
-                F.when(F.size(gone) > 0, F.concat(acc["done"], closed(gone, stop))).otherwise(acc["done"]).alias("done"),
-            )
-
-        blank = F.struct((acc["at"] + 1).alias("at"), acc["decorated"].alias("decorated"), acc["open"].alias("open"), acc["done"].alias("done"))
-        return F.when(x.rlike(r"\S"), let(F.filter(acc["open"], lambda o: o["indent"] < indent), after)).otherwise(blank)
-
-    return F.array_sort(F.aggregate(lines, start, step, lambda acc: F.concat(acc["done"], closed(acc["open"], acc["at"]))))
-
-
-def _body(lines: Column, d: Column) -> Column:
-    """A declaration with its end_line (blank lines at the end are not its own) and content."""
-    code = F.regexp_replace(F.array_join(F.slice(lines, d["at"] + 1, d["stop"] - d["at"]), "\n"), r"\s+\z", "")
-    fields = [d[c].alias(c) for c in ("at", "line", "indent", "symbol", "word", "exported", "parent", "parent_word", "inside")]
-    return let(code, lambda c: F.struct(*fields, (d["at"] + 1 + F.length(c) - F.length(F.replace(c, F.lit("\n"), F.lit("")))).alias("end_line"), c.alias("content")))
-
-
 def _kind(script: bool) -> Column:
     hook = F.col("symbol").rlike("^use[A-Z0-9_]")
-    component = F.col("symbol").rlike("^[A-Z]") & F.col("content").rlike(r"<[A-Za-z/>]")
-    kind = F.when(F.col("word") == "class", "class").when(F.col("parent_word") == "class", "method")
+    markup = F.col("content").rlike(r"<[A-Za-z/>]")
+    component = (F.col("symbol").rlike("^[A-Z]") | ((F.col("symbol") == "default") & F.col("exported") & F.col("content").rlike("/>|</"))) & markup
+    kind = F.when(F.col("word") == "class", "class").when(F.col("parent").isNotNull(), "method")
     if script:
         kind = kind.when(hook, "hook").when(component, "component").when(F.col("exported"), "helper")
     return kind.otherwise("function")
 
 
-def symbols(files: DataFrame, language: str) -> DataFrame:
-    """One row per declared symbol: path, symbol, kind, qualified, parent, start_line, end_line, content, exported.
-
-    A symbol reaches to the line before the next non-blank one that is indented no more than its own (for scripts
-    that line is taken in when it closes the block).
-    """
-    script = language != "python"
-    rows = files.select("path", T.lines(F.col("text")).alias("_lines"))
-    found = rows.select("path", F.explode(F.transform(_declared(F.col("_lines"), script), lambda d: _body(F.col("_lines"), d))).alias("d")).select("path", "d.*")
-    return found.select("path", "symbol", _kind(script).alias("kind"), F.concat_ws(".", "parent", "symbol").alias("qualified"), "parent", (F.col("at") + 1).alias("start_line"), "end_line", "content", "exported")
+def _qualified(found: DataFrame, script: bool) -> DataFrame:
+    return found.withColumns({"kind": F.when(F.col("symbol").isNotNull(), _kind(script)), "qualified": F.when(F.col("symbol").isNotNull(), F.concat_ws(".", "parent", "symbol"))})
 
 
-def _chosen(found: Column, most: int) -> Column:
-    """Which declarations are chunks, as declarations with ``summed``: all of the outermost level, and members of classes of more than ``most`` lines.
+def symbols(files: DataFrame, language: str) -> DataFrame:
+    """One row per declared symbol of the module and its classes: path, symbol, kind, qualified, parent, start_line, end_line, content, exported, calls.
 
-    Such a class is a chunk that sums it up (summed). Classes that fit, and functions, are chunks with all that is in them.
+    Decorators belong to what they stand before. See ``code`` for where a symbol ends.
     """
-    kinds = "array<struct<at:int,stop:int,opens:boolean>>"
-
-    def step(acc: Column, x: Column) -> Column:
-        d, after = x["d"], x["after"]
-
-        def judged(stack: Column) -> Column:
-            top = F.get(stack, F.size(stack) - 1)
-            emitted = (F.size(stack) == 0) | F.coalesce(top["opens"], F.lit(False))
-            large = emitted & (d["word"] == "class") & (d["end_line"] - d["at"] > most) & F.coalesce(after < d["end_line"], F.lit(False))
-            return F.struct(F.array_append(stack, F.struct(d["at"].alias("at"), d["end_line"].alias("stop"), large.alias("opens"))).alias("stack"), F.array_append(acc["out"], F.struct(emitted.alias("emitted"), large.alias("summed"))).alias("out"))
-
-        return let(F.filter(acc["stack"], lambda o: o["stop"] > d["at"]), judged)
-
-    start = F.struct(F.array().cast(kinds).alias("stack"), F.array().cast("array<struct<emitted:boolean,summed:boolean>>").alias("out"))
-    walked = F.aggregate(F.transform(found, lambda d, i: F.struct(d.alias("d"), F.get(found, i + 1)["at"].alias("after"))), start, step, lambda acc: acc["out"])
-    return F.filter(F.transform(F.arrays_zip(found.alias("d"), walked.alias("w")), lambda x: F.struct(x["d"].alias("d"), x["w"]["emitted"].alias("emitted"), x["w"]["summed"].alias("summed"))), lambda x: x["emitted"])
+    script = language != "python"
+    found = _qualified(declarations(files, script).where("symbol IS NOT NULL AND direct"), script)
+    return found.select("path", "symbol", "kind", "qualified", "parent", "start_line", "end_line", "content", "exported", "calls")
 
 
-def _signature(content: Column, script: bool) -> Column:
-    """The declaration's own lines, one space between them."""
-    head = F.regexp_extract(content, r"(?ms)^\s*((?:async\s+)?(?:def|class)\s.*?:)\s*$", 1) if not script else F.regexp_replace(F.regexp_extract(content, r"(?m)^(?!\s*@)(.*)$", 1), r"\s*(?:=>.*|\{)\s*$", "")
-    return F.nullif(T.collapsed(head), F.lit(""))
+# What a class summary's lines begin with.
+SUMMARY = ("docstring: ", "class_attributes: ", "fields: ", "methods: ", "nested_classes: ", "class_summary: ")
 
 
-def _summary(d: Column, members: Column, script: bool) -> Column:
-    """What a large class is about: signature, docstring, attributes and members by name."""
-    named = lambda label, names: F.when(F.size(names) > 0, F.concat(F.lit(f"{label}: "), F.array_join(names, ", ")))
-    of = lambda test: F.array_distinct(F.transform(F.filter(members, test), lambda m: m["symbol"]))
-    code = d["content"]
-    inner = F.regexp_extract(code, r"(?m)^(?:export\s+)?(?:default\s+)?(?:abstract\s+)?class\b[^\n]*\n\s*?^([ \t]+)\S", 1)
-    own = F.filter(F.transform(T.lines(code), lambda x: F.when(F.regexp_extract(x, r"^(\s*)", 1) == inner, F.ltrim(x))), lambda x: x.isNotNull())
-    method = of(lambda m: m["word"] != "class")
+def _summary(script: bool) -> Column:
+    """What a large class is about: head, docstring, attributes and members by name."""
+    docstring, attributes, fields, methods, nested, summed = SUMMARY
+    named = lambda label, names: F.when(F.size(names) > 0, F.concat(F.lit(label), F.array_join(names, ", ")))
     if script:
-        field = r"^(?:(?:public|private|protected|readonly|static|declare)\s+)*([A-Za-z_$#][\w$]*)\s*[?!]?\s*(?::[^;({]+)?(?:=[^>].*|;.*|)$"
-        fields = F.array_distinct(F.filter(F.transform(own, lambda x: F.regexp_extract(x, field, 1)), lambda x: x != ""))
-        return F.concat_ws("\n", _signature(code, True), named("fields", fields), named("methods", method), F.concat(F.lit("class_summary: "), d["symbol"]))
-    attributes = F.filter(F.transform(own, lambda x: F.regexp_extract(x, r"^([A-Za-z_]\w*)\s*(?::[^=]+)?(?:=[^=]|$)", 1)), lambda x: x != "")
-    said = F.regexp_extract(code, r"""(?s)\A(?:\s*@[^\n]*\n)*\s*class\b[^\n]*:\s*\n\s*[rRuU]?(?:\"{3}(.*?)\"{3}|'{3}(.*?)'{3})""", 1)
-    doc = F.when(T.collapsed(said) != "", F.concat(F.lit("docstring: "), T.truncated(T.collapsed(said), 160)))
-    return F.concat_ws("\n", _signature(code, False), doc, named("class_attributes", attributes), named("methods", method), named("nested_classes", of(lambda m: m["word"] == "class")))
+        decorators = F.when(F.col("decorators") != "", F.regexp_replace("decorators", r"(?m)^\s*\n", ""))
+        return F.concat_ws("\n", decorators, "head", named(fields, "fields"), named(methods, "methods"), F.concat(F.lit(summed), "symbol"))
+    doc = F.when(T.collapsed(F.col("doc")) != "", F.concat(F.lit(docstring), T.truncated(T.collapsed(F.col("doc")), 160)))
+    return F.concat_ws("\n", "head", doc, named(attributes, "fields"), named(methods, "methods"), named(nested, "nested"))
 
 
 def _imports(text: Column) -> Column:
@@ -292,47 +201,32 @@ def _exports(text: Column) -> Column:
     return F.array_distinct(F.concat(declared, listed, default))
 
 
-def symbol_chunks(files: DataFrame, language: str, most: int = 120) -> DataFrame:
-    """Chunks of code files: symbols (see ``_chosen``) with their calls, and the lines between them.
+def symbol_chunks(files: DataFrame, language: str, most: int = 120, overlap: int = 0) -> DataFrame:
+    """Chunks of code files: the module's symbols with their calls, and the lines between them.
 
-    Returns path, start_line, end_line, content, symbol, kind, qualified, parent, signature, callees, callers, imports,
-    exports; symbol and what depends on it is null for lines between symbols. A text of blank lines has no chunk.
+    A class of more than ``most`` lines that has members is a chunk that sums it up, and its members are chunks. Returns path,
+    start_line, end_line, content, symbol, kind, qualified, parent, signature, callees, callers, imports, exports and
+    broken; symbol and what depends on it is null for lines between symbols. A text of blank lines has no chunk; one whose
+    brackets or strings don't end has windows of ``most`` lines, with broken set.
     """
     script = language != "python"
-
-    def pieces(lines: Column, found: Column, chosen: Column) -> Column:
-        shown = lambda x: F.when(x["summed"], _summary(x["d"], F.filter(found, lambda m: m["inside"] == x["d"]["line"]), script)).otherwise(x["d"]["content"])
-        kept = lambda x: [x["d"][c].alias(c) for c in ("at", "symbol", "word", "exported", "parent", "parent_word", "end_line", "content")]
-        # lines that no chunk covers: what lies before, between and behind chunks, which don't overlap
-        covered = F.concat(F.transform(F.filter(chosen, lambda x: ~x["summed"]), lambda x: F.struct(x["d"]["at"].alias("start"), x["d"]["end_line"].alias("end"))), F.array(F.struct(F.size(lines).alias("start"), F.size(lines).alias("end"))))
-        gaps = let(covered, lambda c: F.filter(F.transform(c, lambda x, i: F.struct((F.coalesce(F.get(c, i - 1)["end"], F.lit(0)) + 1).alias("start"), x["start"].alias("end"))), lambda g: g["start"] <= g["end"]))
-        return F.struct(F.transform(chosen, lambda x: F.struct(*kept(x), shown(x).alias("shown"))).alias("symbols"), trimmed(lines, gaps, useful(script)).alias("gaps"))
-
-    # bound one by one: a column named inside a lambda may be worked out again for each element
-    told = lambda lines: let(F.transform(_declared(lines, script), lambda d: _body(lines, d)), lambda found: let(_chosen(found, most), lambda chosen: pieces(lines, found, chosen)))
-    lists = [(_imports(F.col("text")) if script else F.array().cast("array<string>")).alias("imports"), (_exports(F.col("text")) if script else F.array().cast("array<string>")).alias("exports")]
-    rows = files.select("path", *lists, let(T.lines(F.col("text")), told).alias("_told")).select("path", "imports", "exports", F.col("_told.symbols").alias("_symbols"), F.col("_told.gaps").alias("_gaps"))
-    found = rows.select("path", "imports", "exports", F.explode("_symbols").alias("d")).select("path", "imports", "exports", "d.*")
-    found = found.select("path", "imports", "exports", "symbol", _kind(script).alias("kind"), F.concat_ws(".", "parent", "symbol").alias("qualified"), "parent", (F.col("at") + 1).alias("start_line"), "end_line", "content", "shown")
-    found = call_graph(found).withColumn("signature", _signature(F.col("content"), script)).withColumn("content", F.col("shown")).drop("shown")
-    between = rows.select("path", "imports", "exports", F.explode("_gaps").alias("g")).select("path", "imports", "exports", "g.*")
-    return found.unionByName(between, allowMissingColumns=True)
-
-
-# Words before a bracket that aren't calls.
-NOT_CALLS = ("if", "for", "while", "switch", "catch", "return", "function", "def", "class", "super", "typeof", "await", "new", "not", "and", "or", "in", "print_")
+    none = F.array().cast("array<string>")
+    lists = [_imports(F.col("text")), _exports(F.col("text"))] if script else [none, none]
+    told = files.select("path", lists[0].alias("imports"), lists[1].alias("exports"), "text")
+    rows = _qualified(declarations(told, script, most, overlap).where("symbol IS NULL OR chosen"), script)
+    kept = ["path", "start_line", "end_line", "content", "imports", "exports", "broken"]
+    shown = F.when(F.col("summed"), _summary(script)).otherwise(F.col("content")).alias("content")
+    found = call_graph(rows.where("symbol IS NOT NULL")).select(*[shown if c == "content" else c for c in kept], "symbol", "kind", "qualified", "parent", F.nullif("head", F.lit("")).alias("signature"), "callees", "callers")
+    return found.unionByName(rows.where("symbol IS NULL").select(*kept), allowMissingColumns=True)
 
 
 def call_graph(found: DataFrame) -> DataFrame:
-    """callees and callers of each symbol, resolved within its file.
+    """callees and callers of each symbol, resolved within its file from the names it calls (``calls``).
 
     A called name is a qualified name, a member of the caller's class (``self.x``, ``this.x``, ``cls.x``), a simple
     name that is unique in the file, or stays as written. Callers are the reverse, without the symbol itself.
     """
-    bare = F.regexp_replace("content", r"(?m)^[^\n]*\n?", "")
-    body = F.when(F.col("content").contains("\n"), F.expr("substring(content, instr(content, '\n') + 1)")).otherwise(bare)
-    raw = F.array_distinct(F.regexp_extract_all(F.regexp_replace(body, r"[?!]\.", "."), F.lit(r"(?<![\w$.])(?<!\bdef\s)(?<!\bfunction\s)(?<!\bclass\s)([A-Za-z_$][\w$]*(?:\.[A-Za-z_$][\w$]*)*)\s*\("), F.lit(1)))
-    calls = found.select("path", F.col("qualified").alias("caller"), F.when(F.col("kind") == "class", F.col("qualified")).otherwise(F.col("parent")).alias("owner"), F.posexplode(raw).alias("at", "name")).where(~F.col("name").isin(*NOT_CALLS))
+    calls = found.select("path", F.col("qualified").alias("caller"), F.when(F.col("kind") == "class", F.col("qualified")).otherwise(F.col("parent")).alias("owner"), F.posexplode("calls").alias("at", "name"))
     names = found.select("path", "qualified", "symbol").distinct()
     whole = names.select("path", F.col("qualified").alias("wanted"), F.col("qualified").alias("by_name"))
     simple = names.groupBy("path", "symbol").agg(F.count(F.lit(1)).alias("n"), F.first("qualified").alias("by_symbol")).where("n = 1").select("path", F.col("symbol").alias("name"), "by_symbol")

@@ -63,8 +63,10 @@ def chunk_files(files: DataFrame, size: int = 120, overlap: int = 20) -> DataFra
     plain = told.where(~F.col("chunker").isin("python", "script")).select(key, "chunker", T.lines(F.col("text")).alias("_lines"))
     found = plain.select("path", F.explode(_cut(F.col("_lines"), F.col("chunker"), size, overlap)).alias("c")).select("path", "c.*")
     for language in ("python", "script"):
-        code = chunks.symbol_chunks(told.where(F.col("chunker") == language).select(key, "text"), language, size)
-        found = found.unionByName(code.withColumn("strategy", F.lit(STRATEGIES[language])), allowMissingColumns=True)
+        code = chunks.symbol_chunks(told.where(F.col("chunker") == language).select(key, "text"), language, size, overlap)
+        # what can't be walked is cut by windows
+        code = code.withColumn("strategy", F.when(F.col("broken"), "line_window").otherwise(F.lit(STRATEGIES[language]))).drop("broken")
+        found = found.unionByName(code, allowMissingColumns=True)
     found = found.select("path.*", *[c for c in found.columns if c != "path"])
     found = found.withColumn("content_type", F.when(F.col("symbol").isNotNull() & (F.col("content_type") == "code_context"), "code_symbol").otherwise(F.col("content_type")))
     path, start, end, content, kind, language = (F.col(c) for c in ("path", "start_line", "end_line", "content", "content_type", "language"))

@@ -118,7 +118,7 @@ def test_script_members_imports_and_exports(spark):
     df = spark.createDataFrame([("p", CARD)], "path string, text string")
     rows = sorted(chunks.symbol_chunks(df, "typescript", 5).collect(), key=lambda r: (r.start_line, r.symbol is None))
     assert [(r.start_line, r.end_line, r.qualified, r.kind) for r in rows] == [
-        (1, 2, None, None), (4, 4, "money", "helper"), (6, 17, "Cart", "class"), (6, 7, None, None), (9, 12, "Cart.add", "method"), (14, 16, "Cart.show", "method"), (19, 21, "Card", "component"), (23, 23, None, None),
+        (1, 2, None, None), (4, 4, "money", "helper"), (6, 17, "Cart", "class"), (7, 7, None, None), (9, 12, "Cart.add", "method"), (14, 16, "Cart.show", "method"), (19, 21, "Card", "component"), (23, 23, None, None),
     ]
     assert rows[0].imports == ["react", "./card.css"] and rows[0].exports == ["money", "Cart", "Card", "asMoney"]
     by = {r.qualified: r for r in rows}
