@@ -421,7 +421,8 @@ def walk(text: str, script: bool, most: int) -> tuple[list[Declared], list[tuple
     else:
         found, statements = _python(lexed)
     _choose(found, most)
-    return found, list(_gaps(lexed, found, statements, script)), False
+    # a text without declarations (prose, say) isn't cut at its statements
+    return found, list(_gaps(lexed, found, statements if found else [], script)), False
 
 
 _FIELDS = "start_line int, end_line int, content string, symbol string, word string, parent string, parent_word string, exported boolean, head string, doc string, calls array<string>, fields array<string>, methods array<string>, nested array<string>, decorators string, direct boolean, chosen boolean, summed boolean, broken boolean"

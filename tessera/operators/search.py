@@ -92,8 +92,12 @@ def lacks(name: str, value: object) -> Column:
 
 def top_k(points: DataFrame, query: Sequence[float], k: int, distance: str = "cosine", conditions: dict[str, object] | None = None, min_score: float | None = None) -> DataFrame:
     """The k best points after the filter; the least score applies to those, so fewer may come."""
-    found = points.where(payload_filter(conditions or {})).withColumn("score", score(F.col("vector"), query, distance))
-    found = found.orderBy(best_first(distance), F.asc("id")).limit(k)
+    return best(points.where(payload_filter(conditions or {})).withColumn("score", score(F.col("vector"), query, distance)), k, distance, min_score)
+
+
+def best(scored: DataFrame, k: int, distance: str = "cosine", min_score: float | None = None) -> DataFrame:
+    """``top_k`` of rows that have their score."""
+    found = scored.orderBy(best_first(distance), F.asc("id")).limit(k)
     return found if min_score is None else found.where(F.col("score") >= min_score)
 
 
@@ -108,13 +112,19 @@ def ranked_by(scored: DataFrame, k: int, group: str, distance: str = "cosine") -
     return ranked.where(F.col("rank") <= k)
 
 
+#: Hits whose ids are written into a filter; more are joined.
+WRITTEN_HITS = 1000
+
+
 def with_payload(hits: DataFrame, payload: DataFrame, key: str) -> DataFrame:
-    """The hits of a top-k search with the columns of ``payload``, whose ``key`` is the hits' id.
+    """Hits with the columns of ``payload``, whose ``key`` is the hits' id.
 
-    The hits, k rows at most, come to the driver first, so that their ids are a filter on the payload's scan and no text of
-    other rows is read, let alone shuffled.
+    Up to ``WRITTEN_HITS`` of them come to the driver first (never more than one beyond that), so that their ids are a filter
+    on the payload's scan and no text of other rows is read, let alone shuffled. More hits are joined.
     """
-    rows = hits.collect()
+    rows = hits.limit(WRITTEN_HITS + 1).collect()
+    if len(rows) > WRITTEN_HITS:
+        return hits.join(payload, F.col("id") == F.col(key)).drop(key)
     found = payload.where(F.col(key).isin([r.id for r in rows]))
     return hits.sparkSession.createDataFrame(rows, hits.schema).join(found, F.col("id") == F.col(key)).drop(key)
 

@@ -53,10 +53,12 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.join(files(spark, sf_dir), F.col("id") == F.col("doc_id")).drop("doc_id")
 
 
-def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """id, content_type, label, score of the points: vectors are scored where they are read and go no further."""
+def scored(spark: SparkSession, sf_dir: str, payload: DataFrame | None = None) -> DataFrame:
+    """id, content_type, label, score of the points, and the columns of ``payload`` (id, ...): vectors are scored where they are read and go no further."""
     kind = F.when(F.col("label") % 2 == 0, "docs").otherwise("code")
     rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), kind.alias("content_type"), "label", S.score(F.col("embedding"), probe(spark, sf_dir)).alias("score"))
+    if payload is not None:
+        return rows.join(payload, "id")
     return rows.join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id")), "id", "left_semi")
 
 
@@ -96,13 +98,16 @@ for _name, _sql, _order in (
 
 @query("topk_filtered", f"WITH {POINTS_SQL} SELECT id, path, round(list_cosine_similarity(vector, q.v), 6) AS score FROM points, q WHERE content_type = 'code' AND repo IN ('src1', 'src3', 'src5') AND starts_with(path, 'src') ORDER BY list_cosine_similarity(vector, q.v) DESC, id LIMIT 10")
 def topk_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wanted = {"content_type": "code", "repo": ["src1", "src3", "src5"], "path_prefix": "src", "label": None}
-    return S.top_k(points(spark, sf_dir), probe(spark, sf_dir), 10, conditions=wanted).select("id", "path", F.round("score", 6).alias("score"))
+    """Vectors are scored where they are read; ids with scores meet the paths that the filter leaves."""
+    wanted = S.payload_filter({"repo": ["src1", "src3", "src5"], "path_prefix": "src", "label": None})
+    named = files(spark, sf_dir).select(F.col("doc_id").alias("id"), "repo", "path").where(wanted)
+    hits = scored(spark, sf_dir, named).where(S.payload_filter({"content_type": "code"}))
+    return S.best(hits, 10).select("id", "path", F.round("score", 6).alias("score"))
 
 
 @query("topk_min_score", f"WITH {POINTS_SQL}, best AS (SELECT id, list_cosine_similarity(vector, q.v) AS s FROM points, q ORDER BY s DESC, id LIMIT 20) SELECT id, round(s, 6) AS score FROM best WHERE s >= 0.35")
 def topk_min_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.top_k(points(spark, sf_dir), probe(spark, sf_dir), 20, min_score=0.35).select("id", F.round("score", 6).alias("score"))
+    return S.best(scored(spark, sf_dir), 20, min_score=0.35).select("id", F.round("score", 6).alias("score"))
 
 
 @query("topk_per_label", "WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings), q AS (SELECT e AS v FROM v WHERE vec_id = 0), r AS (SELECT vec_id AS id, label, list_cosine_similarity(e, q.v) AS s FROM v, q), k AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY s DESC, id) AS rank FROM r) SELECT id, label, rank, round(s, 6) AS score FROM k WHERE rank <= 3")
@@ -343,25 +348,75 @@ def _word(x: Column) -> Column:
     return F.concat(F.lit("f_"), F.lower(F.substring(F.regexp_replace(x, "[^A-Za-z]", ""), 1, 12)))
 
 
+#: Pieces of code by line: heads over several lines, and strings and comments that look like code.
+PYTHON_CLASS = """class C{0}(
+    Base,
+):
+    \"\"\"def fake():
+class Fake:
+    \"\"\"
+
+    def {1}(
+        self, x,
+    ):
+        return self.helper("call(x)")
+
+    def helper(self, x):
+        return shared(x)
+"""
+PYTHON_FUNCTION = "def shared(x):\n    return str(x)\n"
+SCRIPT_HOOK = "export const use{0} = useThing((a) => {{\n  const t = `function fake() {{`\n  return shared(a)\n}});\n"
+SCRIPT_CARD = "export function Card{0}(\n  p: Props,\n) {{\n  return <div>{{useX(p)}}</div>\n}}\n"
+
+
+def _filled(piece: str, *values: Column) -> Column:
+    """A piece with columns in place of {0} and {1}."""
+    marked = piece.format(*("\u0001" * len(values)))
+    parts = marked.split("\u0001")
+    return F.concat(F.lit(parts[0]), *[x for value, part in zip(values, parts[1:], strict=True) for x in (value, F.lit(part))])
+
+
 def python_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = T.lines(F.col("text"))
-    shape = lambda x, i: F.when(i % 4 == 0, F.concat(F.lit("class C"), i.cast("string"), F.lit(":\n    def "), _word(x), F.lit("(self):\n        return self.helper(1)\n\n    def helper(self, x):\n        return shared(x)\n"))).when(i == 1, F.lit("def shared(x):\n    return str(x)\n")).otherwise(F.concat(F.lit("# "), x))
+    shape = lambda x, i: F.when(i % 4 == 0, _filled(PYTHON_CLASS, i.cast("string"), _word(x))).when(i == 1, F.lit(PYTHON_FUNCTION)).otherwise(F.concat(F.lit("# "), x))
     return files(spark, sf_dir).where(F.size(lines) > 1).select("path", F.array_join(F.transform(lines, shape), "\n").alias("text"))
 
 
-@query("python_symbols")
+_WORD_SQL = "'f_' || lower(substr(regexp_replace(x, '[^A-Za-z]', '', 'g'), 1, 12))"
+
+
+def _pieces_sql(sizes: str, least: int = 1) -> str:
+    """s: each line's piece with its place (i, from 0), its source line (x) and the lines before it."""
+    return f"""{LINES_SQL}, u AS (SELECT path, unnest(ls) AS x, generate_subscripts(ls, 1) - 1 AS i FROM l WHERE len(ls) >= {least}), n AS (SELECT *, {sizes} AS n FROM u),
+s AS (SELECT *, sum(n) OVER (PARTITION BY path ORDER BY i) - n AS before FROM n)"""
+
+
+_PYTHON_SQL = f"""{_pieces_sql("CASE WHEN i % 4 = 0 THEN 15 WHEN i = 1 THEN 3 ELSE 1 END", 2)}, y AS (
+  SELECT path, 'C' || i AS qualified, 'class' AS kind, before + 1 AS a, before + 14 AS b, 'C' || i || '.helper,shared' AS callees, '' AS callers FROM s WHERE i % 4 = 0
+  UNION ALL SELECT path, 'C' || i || '.' || {_WORD_SQL}, 'method', before + 8, before + 11, 'C' || i || '.helper', '' FROM s WHERE i % 4 = 0
+  UNION ALL SELECT path, 'C' || i || '.helper', 'method', before + 13, before + 14, 'shared', 'C' || i || ',C' || i || '.' || {_WORD_SQL} FROM s WHERE i % 4 = 0
+  UNION ALL SELECT path, 'shared', 'function', before + 1, before + 2, 'str', (SELECT string_agg('C' || t.i || ',C' || t.i || '.helper', ',' ORDER BY t.i) FROM s t WHERE t.path = s.path AND t.i % 4 = 0) FROM s WHERE i = 1
+)"""
+
+
+@query("python_symbols", f"WITH {_PYTHON_SQL} SELECT path, (row_number() OVER (PARTITION BY path ORDER BY a, b) - 1)::INT AS chunk_index, qualified, kind, a::INT AS start_line, b::INT AS end_line FROM y")
 def python_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.numbered(chunks.symbols(python_files(spark, sf_dir), "python")).select("path", "chunk_index", "qualified", "kind", "start_line", "end_line")
 
 
-@query("call_graph")
+@query("call_graph", f"WITH {_PYTHON_SQL} SELECT path, qualified, callees, callers FROM y")
 def call_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.call_graph(chunks.symbols(python_files(spark, sf_dir), "python")).select("path", "qualified", F.array_join("callees", ",").alias("callees"), F.array_join("callers", ",").alias("callers"))
 
 
-@query("script_symbols")
+_SCRIPT_SQL = f"""{_pieces_sql("CASE i % 4 WHEN 0 THEN 5 WHEN 1 THEN 6 ELSE 1 END")}
+SELECT path, replace({_WORD_SQL}, 'f_', 'useF_') AS qualified, 'hook' AS kind, (before + 1)::INT AS start_line, (before + 4)::INT AS end_line, true AS exported FROM s WHERE i % 4 = 0
+UNION ALL SELECT path, 'Card' || i, 'component', (before + 1)::INT, (before + 5)::INT, true FROM s WHERE i % 4 = 1"""
+
+
+@query("script_symbols", f"WITH {_SCRIPT_SQL}")
 def script_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shape = lambda x, i: F.when(i % 4 == 0, F.concat(F.lit("export const use"), F.initcap(_word(x)), F.lit(" = (a) => {\n  return shared(a)\n}\n"))).when(i % 4 == 1, F.concat(F.lit("export function Card"), i.cast("string"), F.lit("(p) {\n  return <div>{useX(p)}</div>\n}\n"))).otherwise(F.concat(F.lit("// "), x))
+    shape = lambda x, i: F.when(i % 4 == 0, _filled(SCRIPT_HOOK, F.initcap(_word(x)))).when(i % 4 == 1, _filled(SCRIPT_CARD, i.cast("string"))).otherwise(F.concat(F.lit("// "), x))
     return chunks.symbols(_shaped(spark, sf_dir, shape), "typescript").select("path", "qualified", "kind", "start_line", "end_line", "exported")
 
 

@@ -161,6 +161,14 @@ def test_python_spans_equal_the_syntax_tree():
     assert checked > 500
 
 
+def test_lines_between_symbols():
+    text = "# module comment\nimport os\n\nimport re\ndef load(x):\n    return x\n\nif x:\n    def inner():\n        pass\nelse:\n    y = 1\n# end\n"
+    found, gaps, _ = walk(text, False, 20)
+    assert [(d.qualified, d.direct) for d in found] == [("load", True), ("inner", False)]
+    assert [(a + 1, b + 1) for a, b in gaps] == [(2, 2), (4, 4), (8, 12), (1, 1), (13, 13)]
+    assert walk("one\n\ntwo\n", False, 20)[1] == [(0, 2)]
+
+
 def test_quiet_text_keeps_places():
     lexed = lex(SCRIPT, True)
     assert len(lexed.text) == len(SCRIPT) and not lexed.broken
