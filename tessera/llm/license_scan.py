@@ -12,7 +12,8 @@ one space, or one line feed where a line ends), and known sentences get identifi
 
 Rules are ordered sequences of identifiers: a rule matches where its identifiers stand one after another among the
 text's known sentences, whatever other sentences stand between. Longer rules are tried first and each known sentence
-serves one rule only.
+serves one rule only. Reserved rights are a finding only where no licence is: most licences stand under such a line.
+Sentences of the GPL family name no version by themselves; a rule needs the one that says it.
 
 The tables are a fixed list of bounded size and travels inside the plan, so texts are read once and
 nothing is shuffled. Null texts count as empty; repeated rows give repeated results; other columns are ignored.
@@ -36,8 +37,8 @@ SENTENCES = {
     "F": r"the above copyright notice and this permission notice shall be included in all copies .*",
     "G": r"the software is provided as is without warranty of any kind .*",
     "H": r"this work is licensed under the gnu general public license version 3|spdx license identifier gpl 3 0( only| or later)?",
-    "I": r"this program is free software you can redistribute it and or modify it under the terms of the gnu general public license .*",
-    "J": r"(either version 3 of the license or )?at your option any later version",
+    "I": r"this program is free software you can redistribute it and or modify it under the terms of the gnu general public license (as published by the free software foundation )?(either )?version 3( .*)?",
+    "J": r"either version 3 of the license or at your option any later version",
     "K": r"licensed under cc by nc 4 0",
     "L": r"licensed under cc by( sa)? 4 0",
     "M": r"all rights reserved",
@@ -54,11 +55,16 @@ SENTENCES = {
     "X": r"spdx license identifier lgpl 2 1( only| or later)?",
     "Y": r"spdx license identifier lgpl 3 0( only| or later)?",
     "Z": r"spdx license identifier agpl 3 0( only| or later)?",
+    "2": r"this program is free software you can redistribute it and or modify it under the terms of the gnu general public license (as published by the free software foundation )?(either )?version 2( .*)?",
+    "4": r"this program is free software you can redistribute it and or modify it under the terms of the gnu general public license( as published by the free software foundation)?",
+    "5": r"(this work is |this file is |this program is )?(licensed|distributed|released) under the (terms of the )?gnu general public license version 2( .*)?",
+    "6": r"(either |only )?version 2 of the license( only)?",
 }
 _REDISTRIBUTE = "you can redistribute it and or modify it under the terms of the gnu {} as published by the free software foundation"
 # Sentences whose words never change, by one letter each; some have a second wording.
 EXACT = {
     "a": (_REDISTRIBUTE.format("general public license"),),
+    "s": (_REDISTRIBUTE.format("general public license version 2"), f"this program is free software {_REDISTRIBUTE.format('general public license version 2')}"),
     "b": ("either version 2 of the license or at your option any later version",),
     "c": (_REDISTRIBUTE.format("lesser general public license"),),
     "d": ("either version 2 1 of the license or at your option any later version",),
@@ -95,8 +101,12 @@ RULES = (
     ("mit", "EFG"),
     ("bsd-2-clause", "Oqr"),
     ("bsd-3-clause", "OP"),
-    ("gpl-3.0", "IJ"),
+    ("gpl-3.0", "4J"),
+    ("gpl-3.0", "aJ"),
+    ("gpl-2.0", "4b"),
     ("gpl-2.0", "ab"),
+    ("gpl-2.0", "46"),
+    ("gpl-2.0", "a6"),
     ("lgpl-2.1", "cd"),
     ("mpl-2.0", "lm"),
     ("zlib", "wv"),
@@ -125,6 +135,9 @@ RULES = (
     ("gpl-3.0", "g"),
     ("gpl-2.0", "h"),
     ("gpl-2.0", "W"),
+    ("gpl-2.0", "2"),
+    ("gpl-2.0", "5"),
+    ("gpl-2.0", "s"),
     ("lgpl-3.0", "f"),
     ("lgpl-3.0", "i"),
     ("lgpl-3.0", "Y"),
@@ -139,6 +152,8 @@ RULES = (
     ("cc-by-4.0", "y"),
     ("proprietary", "M"),
 )
+#: Rights reserved say nothing where a licence stands: this name goes if there is another.
+RESERVED = "proprietary"
 #: A sentence without any of these words is none of the table's.
 HINT = r"(?i)licen[sc]|permission|copyright|warrant|redistribut|rights|copies|unencumbered|endorse|later[^\p{L}\p{N}]+version|\(c\)|\bmpl\b"
 
@@ -202,5 +217,8 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     longest_first = sorted(dict.fromkeys(sequence for _, sequence in RULES), key=len, reverse=True)
     names = F.create_map(*[F.lit(x) for name, sequence in reversed(RULES) for x in (sequence, name)])
     # an alternation with the longest rules first takes each sentence for one rule, from left to right
-    hits = F.regexp_extract_all("sentence_ids", F.lit("|".join(longest_first)), F.lit(0))
-    return rows.select("id", "sentence_ids", F.array_sort(F.array_distinct(F.transform(hits, lambda x: F.element_at(names, x)))).alias("licenses"), F.size(hits).cast("long").alias("n_rules"))
+    hits = F.transform(F.regexp_extract_all("sentence_ids", F.lit("|".join(longest_first)), F.lit(0)), lambda x: F.element_at(names, x))
+    named = rows.select("id", "sentence_ids", hits.alias("_hits"))
+    licensed = F.filter("_hits", lambda x: x != RESERVED)
+    said = F.when(F.size(licensed) > 0, licensed).otherwise(F.col("_hits"))
+    return named.select("id", "sentence_ids", F.array_sort(F.array_distinct(said)).alias("licenses"), F.size(said).cast("long").alias("n_rules"))

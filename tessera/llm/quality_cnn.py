@@ -6,8 +6,8 @@ whole document; each chunk gives hidden activations, their mean and their larges
 probability. Empty and null texts have one chunk of padding and so a score as well.
 
 The network is fitted on the driver by Adam on a bounded sample of labelled rows: those with the smallest hashes of
-doc_id, ``max_rows`` at most, half of each class, whole texts of any length, for as long as they come to ``max_bytes``
-together. It is a few thousand numbers, so it travels with the tasks. Scoring reads every text whole, in steps of bounded memory.
+doc_id, ``max_rows`` at most, half of each class, whole texts; one that doesn't fit into what is left of its class's half
+of ``max_bytes`` is passed over, and a class keeps its shortest one at least. It is a few thousand numbers, so it travels with the tasks. Scoring reads every text whole, in steps of bounded memory.
 Without any training row of one class the score is the constant share of label 1. Repeated rows give repeated
 results; other columns pass by. An empty table gives an empty result.
 """
@@ -190,8 +190,16 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         return texts.join(F.broadcast(wanted), "id").groupBy("id").agg(F.min("text").alias("text"))
 
     sizes = {r.id: r.size for r in of([i for i, _ in picked]).select("id", F.octet_length("text").alias("size")).collect()}
-    total = np.cumsum([sizes[i] for i, _ in picked])
-    label_of = dict(picked[: max(1, int((total <= max_bytes).sum()))])
+    label_of: dict[int, int] = {}
+    for label in {y for _, y in picked}:
+        own, room = [i for i, y in picked if y == label], max_bytes // 2
+        for i in own:
+            if sizes[i] <= room:
+                label_of[i] = label
+                room -= sizes[i]
+        if label not in label_of.values():
+            label_of[min(own, key=lambda i: (sizes[i], i))] = label
+    label_of = {i: y for i, y in picked if i in label_of}
     marked = np.array(list(label_of.values()), np.int64)
     if marked.min() == marked.max():
         return float(marked.mean())

@@ -153,11 +153,12 @@ def _license_sql() -> str:
 WITH cut AS (
   SELECT doc_id, string_split(regexp_replace(coalesce(text, ''), '([.!?;])\s+', '\1' || chr(10), 'g'), chr(10)) AS parts FROM documents
 ), parts AS (SELECT doc_id, unnest(parts) AS part, generate_subscripts(parts, 1) AS pos FROM cut),
-said AS (SELECT doc_id, pos, trim(regexp_replace(lower(part), '[^\p{{L}}\p{{N}}]+', ' ', 'g')) AS s FROM parts),
-known AS (SELECT doc_id, pos, CASE {known} END AS id FROM said),
+told AS (SELECT doc_id, pos, trim(regexp_replace(lower(part), '[^\p{{L}}\p{{N}}]+', ' ', 'g')) AS s FROM parts),
+known AS (SELECT doc_id, pos, CASE {known} END AS id FROM told),
 sequences AS (SELECT doc_id, coalesce(string_agg(id, '' ORDER BY pos), '') AS sentence_ids FROM known GROUP BY doc_id),
-hits AS (SELECT *, regexp_extract_all(sentence_ids, '{longest_first}') AS hit FROM sequences)
-SELECT doc_id, sentence_ids, array_to_string(list_sort(list_distinct(list_transform(hit, lambda x: CASE x {names} END))), ',') AS licenses, len(hit)::BIGINT AS n_rules FROM hits
+hits AS (SELECT *, list_transform(regexp_extract_all(sentence_ids, '{longest_first}'), lambda x: CASE x {names} END) AS hit FROM sequences),
+said AS (SELECT *, CASE WHEN len(list_filter(hit, lambda x: x <> 'proprietary')) > 0 THEN list_filter(hit, lambda x: x <> 'proprietary') ELSE hit END AS names FROM hits)
+SELECT doc_id, sentence_ids, array_to_string(list_sort(list_distinct(names)), ',') AS licenses, len(names)::BIGINT AS n_rules FROM said
 """
 
 
