@@ -38,7 +38,7 @@ SENTENCES = {
     "G": r"the software is provided as is without warranty of any kind .*",
     "H": r"this work is licensed under the gnu general public license version 3|spdx license identifier gpl 3 0( only| or later)?",
     "I": r"this program is free software you can redistribute it and or modify it under the terms of the gnu general public license (as published by the free software foundation )?(either )?version 3( .*)?",
-    "J": r"either version 3 of the license or at your option any later version",
+    "J": r"at your option any later version",
     "K": r"licensed under cc by nc 4 0",
     "L": r"licensed under cc by( sa)? 4 0",
     "M": r"all rights reserved",
@@ -58,6 +58,7 @@ SENTENCES = {
     "2": r"this program is free software you can redistribute it and or modify it under the terms of the gnu general public license (as published by the free software foundation )?(either )?version 2( .*)?",
     "4": r"this program is free software you can redistribute it and or modify it under the terms of the gnu general public license( as published by the free software foundation)?",
     "5": r"(this work is |this file is |this program is )?(licensed|distributed|released) under the (terms of the )?gnu general public license version 2( .*)?",
+    "7": r"either version 3 of the license or at your option any later version",
     "6": r"(either |only )?version 2 of the license( only)?",
 }
 _REDISTRIBUTE = "you can redistribute it and or modify it under the terms of the gnu {} as published by the free software foundation"
@@ -101,8 +102,9 @@ RULES = (
     ("mit", "EFG"),
     ("bsd-2-clause", "Oqr"),
     ("bsd-3-clause", "OP"),
-    ("gpl-3.0", "4J"),
-    ("gpl-3.0", "aJ"),
+    ("gpl-3.0", "IJ"),
+    ("gpl-3.0", "47"),
+    ("gpl-3.0", "a7"),
     ("gpl-2.0", "4b"),
     ("gpl-2.0", "ab"),
     ("gpl-2.0", "46"),
