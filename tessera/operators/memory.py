@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+from dataclasses import dataclass
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..config import DecayConfig
 from ..functions import text as T
@@ -116,53 +122,104 @@ def status(entries: DataFrame) -> DataFrame:
     return entries.join(replaced, "id", "left").withColumn("status", F.when(F.col("active"), "active").when(F.col("_replaced"), "superseded").otherwise("disabled")).drop("_replaced")
 
 
-def reconcile(statements: DataFrame, scope: list[str], high: float = 0.60, medium: float = 0.30) -> DataFrame:
-    """Statements (scope, seq, kind, topic, value, confidence) folded in order into entries, per scope, kind and topic.
+#: Active entries of a topic that a statement is compared with, the latest updated first. One that falls behind so many others
+#: stays active and is never compared again, as a topic's active entries don't become fewer.
+MOST_ACTIVE = 40
+ENTRY = "id long, value string, confidence double, times_reinforced long, active boolean, supersedes long"
+
+
+@dataclass
+class Entry:
+    """What is remembered of a statement, with the number of the statement that changed it last."""
+
+    id: int
+    value: str
+    confidence: float | None
+    times_reinforced: int = 0
+    active: bool = True
+    supersedes: int | None = None
+    updated: int = 0
+
+    def words(self) -> set[str]:
+        return {w for w in re.split(r"[^a-zA-Z0-9_]+", self.value.lower()) if w}
 
-    Each statement meets the active entries of its topic; the most alike (the latest listed first in ties) decides: reinforced, contradicted
-    and superseded, or kept beside. Entries: id (of the statement that made it), value, confidence, times_reinforced, active, supersedes.
-    A key's statements are handled in one task in order; at most 40 active entries are compared, the latest updated first.
+    def against(self) -> bool:
+        return any(n in f" {self.value.lower()} " for n in NEGATIONS)
+
+
+def take(live: list[Entry], seq: int, value: str | None, confidence: float | None, high: float = 0.60) -> tuple[list[Entry], list[Entry]]:
+    """Folds a statement into the active entries of its topic (``live``, the latest updated first; changed in place).
+
+    The most alike entry decides (the latest in ties): it is reinforced, or contradicted and superseded; else the statement is kept
+    beside it. Returns the entries that changed, and those that left ``live``, which nothing changes any more.
+    """
+    new = Entry(seq, value or "", confidence, updated=seq)
+    own, best, chosen = new.words(), -1.0, None
+    for entry in live:
+        other = entry.words()
+        alike = len(own & other) / len(own | other) if own and other else 0.0
+        if alike > best:
+            best, chosen = alike, entry
+    if chosen is not None and best >= high:
+        live.remove(chosen)
+        chosen.updated = seq
+        if chosen.against() == new.against() or len(chosen.words() & own) < 2:
+            chosen.times_reinforced += 1
+            live.insert(0, chosen)
+            return [chosen], []
+        chosen.active = False
+        new.supersedes = chosen.id
+        live.insert(0, new)
+        return [chosen, new], [chosen]
+    live.insert(0, new)
+    return [new], [live.pop()] if len(live) > MOST_ACTIVE else []
+
+
+def reconcile(statements: DataFrame, scope: list[str], high: float = 0.60) -> DataFrame:
+    """Statements (scope, seq, kind, topic, value, confidence) folded in order into entries, per scope, kind and topic (see ``take``).
+
+    Entries: id (of the statement that made it), value, confidence, times_reinforced, active, supersedes. The fold depends on its
+    order, so a key's statements pass through one task, but one by one: it holds ``MOST_ACTIVE`` entries whatever a key's
+    history is, and an entry is given out when it leaves them. Statements without a value have no words and are kept.
     """
     keys = [*scope, "kind", "topic"]
-    names = [f"{k} {statements.schema[k].dataType.simpleString()}" for k in keys]
-
-    def words(value: str) -> set[str]:
-        import re
-
-        return {w for w in re.split(r"[^a-zA-Z0-9_]+", value.lower()) if w}
-
-    def against(value: str) -> bool:
-        return any(n in f" {value.lower()} " for n in NEGATIONS)
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        made: list[dict] = []
-        live: list[dict] = []
-        for r in rows.sort_values("seq").itertuples(index=False):
-            own, best, chosen = words(r.value), -1.0, None
-            for entry in sorted(live, key=lambda e: -e["updated"])[:40]:
-                other = entry["words"]
-                alike = len(own & other) / len(own | other) if own and other else 0.0
-                if alike > best:
-                    best, chosen = alike, entry
-            turned = chosen is not None and best >= high and against(chosen["value"]) != against(r.value) and len(chosen["words"] & own) >= 2
-            if chosen is not None and best >= high and not turned:
-                chosen["times_reinforced"] += 1
-                chosen["updated"] = r.seq
-                continue
-            if turned:
-                chosen["active"] = False
-                live.remove(chosen)
-            entry = {"id": r.seq, "value": r.value, "confidence": r.confidence, "times_reinforced": 0, "active": True, "supersedes": chosen["id"] if turned else None, "updated": r.seq, "words": own}
-            made.append(entry)
-            live.append(entry)
-        out = pd.DataFrame([{k: v for k, v in e.items() if k not in ("updated", "words")} for e in made], columns=["id", "value", "confidence", "times_reinforced", "active", "supersedes"])
-        out["supersedes"] = out["supersedes"].astype("Int64")
-        for i, k in enumerate(keys):
-            out.insert(i, k, rows[k].iloc[0])
-        return out
-
-    ordered = statements.select(*keys, "seq", "value", "confidence")
-    return ordered.groupBy(*keys).applyInPandas(fold, ", ".join([*names, "id long", "value string", "confidence double", "times_reinforced long", "active boolean", "supersedes long"]))
+    names = [*keys, *[x.split()[0] for x in ENTRY.split(", ")]]
+    ordered = statements.select(*keys, "seq", "value", "confidence").repartition(*keys).sortWithinPartitions(*keys, "seq", "value")
+    schema = ", ".join([f"`{k}` {statements.schema[k].dataType.simpleString()}" for k in keys] + [ENTRY])
+    kinds = [f.dataType for f in ordered.select(*keys).schema]
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = [*[to_arrow_type(k) for k in kinds], pa.int64(), pa.string(), pa.float64(), pa.int64(), pa.bool_(), pa.int64()]
+        key, live, rows = None, [], []
+
+        def give(entries: list[Entry]) -> None:
+            rows.extend((*key, e.id, e.value, e.confidence, e.times_reinforced, e.active, e.supersedes) for e in entries)
+
+        def batch() -> pa.RecordBatch:
+            made = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+            rows.clear()
+            return made
+
+        for part in batches:
+            for *own, seq, value, confidence in zip(*[c.to_pylist() for c in part.columns], strict=True):
+                if own != key:
+                    give(live)
+                    key, live = own, []
+                give(take(live, seq, value, confidence, high)[1])
+            if rows:
+                yield batch()
+        give(live)
+        if rows:
+            yield batch()
+
+    return ordered.mapInArrow(walk, schema)
+
+
+def latest(versions: DataFrame, keys: list[str]) -> DataFrame:
+    """The last version of each entry of a stream's reconciliation (keys, entry, version), by partial aggregation."""
+    columns = [x.split()[0] for x in ENTRY.split(", ") if not x.startswith("id ")]
+    last = versions.groupBy(*keys, "id").agg(F.max_by(F.struct(*columns), "version").alias("_e"))
+    return last.select(*keys, "id", "_e.*")
 
 
 # What a user says about themselves and how, as kind, topic, confidence and pattern (group 1 the verb, group 2 the value).

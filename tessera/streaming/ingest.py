@@ -7,6 +7,7 @@ rewritten, so a batch costs what it brings.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -15,7 +16,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import classify, text as T
-from ..operators import chunks, points
+from ..operators import chunks, memory, points
 
 
 def chunk_rows(files: DataFrame, size: int = 120, overlap: int = 20) -> DataFrame:
@@ -59,3 +60,38 @@ def recent_turns(turns: DataFrame, most: int = 32) -> DataFrame:
         yield pd.DataFrame({"conv_id": [key[0]], "turns": [len(held)], "first_turn": [held[0][0]], "last_turn": [held[-1][0]]})
 
     return turns.groupBy("conv_id").applyInPandasWithState(keep, "conv_id long, turns long, first_turn long, last_turn long", "turn array<long>, text array<string>", "update", GroupStateTimeout.NoTimeout)
+
+
+def reconcile(statements: DataFrame, scope: list[str], high: float = 0.60) -> DataFrame:
+    """A stream of statements (scope, seq, kind, topic, value, confidence) folded per arrival, as ``memory.reconcile`` folds a table.
+
+    The state of a key is its ``memory.MOST_ACTIVE`` latest active entries, never its history. Each micro-batch gives the
+    entries that it changed, with the number of the statement that did (version); ``memory.latest`` reads them as a table.
+    Statements of a key must come in the order of seq between batches; within one they are sorted.
+    """
+    keys = [*scope, "kind", "topic"]
+    schema = ", ".join([*[f"`{k}` {statements.schema[k].dataType.simpleString()}" for k in keys], memory.ENTRY, "version long"])
+    columns = [*keys, *[x.split()[0] for x in memory.ENTRY.split(", ")], "version"]
+
+    def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        live = [memory.Entry(**e) for e in json.loads(state.get[0])] if state.exists else []
+        changed: dict[int, memory.Entry] = {}
+        rows = [r for frame in frames for r in frame[["seq", "value", "confidence"]].itertuples(index=False)]
+        for r in sorted(rows, key=lambda r: (r.seq, r.value or "")):
+            for e in memory.take(live, int(r.seq), r.value, None if pd.isna(r.confidence) else float(r.confidence), high)[0]:
+                changed[e.id] = e
+        state.update((json.dumps([vars(e) for e in live]),))
+        out = pd.DataFrame([[*key, e.id, e.value, e.confidence, e.times_reinforced, e.active, e.supersedes, e.updated] for e in changed.values()], columns=columns)
+        yield out.astype({"supersedes": "Int64", "confidence": "float64"})
+
+    return statements.groupBy(*keys).applyInPandasWithState(fold, schema, "entries string", "update", GroupStateTimeout.NoTimeout)
+
+
+def remember(statements: DataFrame, table: str, checkpoint: str, scope: list[str]) -> StreamingQuery:
+    """Starts a query that reconciles all statements that are there and writes changed entries, each micro-batch under its own folder."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{table}/batch={number}")
+
+    changed = reconcile(statements, scope)
+    return changed.writeStream.foreachBatch(write).outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
