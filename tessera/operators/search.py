@@ -7,9 +7,16 @@ a projection without a join; top-k per type keeps k rows per task before its one
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+import time
+from collections.abc import Callable, Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import text as T
 
@@ -112,6 +119,113 @@ def ranked_by(scored: DataFrame, k: int, group: str, distance: str = "cosine") -
     return ranked.where(F.col("rank") <= k)
 
 
+#: Numbers of a batch of queries that travel with the tasks (256 MB), and scores that a task holds at once.
+BATCH_NUMBERS, SCORES_AT_ONCE = 32 << 20, 4 << 20
+
+
+def top_k_batch(points: DataFrame, queries: DataFrame, k: int, distance: str = "cosine") -> DataFrame:
+    """The k best points (id, vector) for each of many queries (query_id, vector): query_id, rank, id, score.
+
+    Queries travel with the tasks as one matrix, whose size is checked; a task multiplies it with a matrix of the vectors it reads,
+    a block at a time, and gives k rows a query, so nothing else is shuffled. Vectors and queries that are null, of another width
+    than the first query's or not finite take no part, nor do zero vectors for cosine. Ties go to the smaller id.
+    """
+    if distance not in ("cosine", "dot", "euclid"):
+        raise ValueError(f"no batch of distance: {distance}")
+    asked = queries.where(F.col("vector").isNotNull()).select("query_id", F.col("vector").cast("array<double>").alias("vector"))
+    size = asked.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vector")).alias("d")).first()
+    if (size.n or 0) * (size.d or 0) > BATCH_NUMBERS:
+        raise ValueError(f"{size.n} queries of up to {size.d} components: ask for fewer at once")
+    rows = sorted(((r.query_id, r.vector) for r in asked.collect()), key=lambda r: str(r[0]))
+    width = len(rows[0][1]) if rows else 0
+    rows = [(i, v) for i, v in rows if len(v) == width and width and all(x is not None and math.isfinite(x) for x in v) and (distance != "cosine" or any(v))]
+    kind = queries.schema["query_id"].dataType
+    schema = f"query_id {kind.simpleString()}, id {points.schema['id'].dataType.simpleString()}, score double"
+    if not rows:
+        return points.sparkSession.createDataFrame([], f"query_id {kind.simpleString()}, rank int, id {points.schema['id'].dataType.simpleString()}, score double")
+    names, matrix = [i for i, _ in rows], np.array([v for _, v in rows])
+    sign = -1.0 if distance == "euclid" else 1.0
+    lengths = (matrix * matrix).sum(1)
+
+    def scores(vectors: np.ndarray) -> np.ndarray:
+        """A row for each query; higher is better."""
+        product = matrix @ vectors.T
+        own = (vectors * vectors).sum(1)
+        if distance == "cosine":
+            return product / np.sqrt(lengths[:, None] * np.maximum(own, 1e-300))
+        return product if distance == "dot" else -np.sqrt(np.maximum(lengths[:, None] + own - 2 * product, 0))
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: list[tuple[np.ndarray, list]] = [(np.zeros(0), []) for _ in names]
+        ids_type = None
+        for batch in batches:
+            ids_type = batch.column(0).type
+            for at in range(0, batch.num_rows, max(1, SCORES_AT_ONCE // len(names))):
+                part = batch.slice(at, max(1, SCORES_AT_ONCE // len(names)))
+                if not part.num_rows:
+                    continue
+                vectors = part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, width)
+                ids = part.column(0).to_pylist()
+                for q, found in enumerate(scores(vectors)):
+                    held, named = best[q]
+                    least = held[-1] if len(held) == k else -np.inf
+                    # those that tie with the k-th may still come first by their id
+                    some = np.flatnonzero(found >= max(least, np.partition(found, -k)[-k] if len(found) > k else -np.inf))
+                    if len(some):
+                        pairs = sorted([*zip(-held, named, strict=True), *((-found[i], ids[i]) for i in some.tolist())])[:k]
+                        best[q] = (np.array([-s for s, _ in pairs]), [i for _, i in pairs])
+        if ids_type is not None:
+            flat = [(names[q], i, sign * s) for q, (held, named) in enumerate(best) for s, i in zip(held.tolist(), named, strict=True)]
+            columns = zip(*flat, strict=True) if flat else ([], [], [])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (to_arrow_type(kind), ids_type, pa.float64()), strict=True)], ["query_id", "id", "score"])
+
+    whole = F.col("vector").isNotNull() & valid_vector(F.col("vector"), width)
+    read = points.where(whole).select("id", F.col("vector").cast("array<double>").alias("vector"))
+    if distance == "cosine":
+        read = read.where(F.exists("vector", lambda x: x != 0))
+    ranked = read.mapInArrow(walk, schema).withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(best_first(distance), F.asc("id"))))
+    return ranked.where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
+
+
+@dataclass(frozen=True)
+class Collected:
+    """Hits of several collections, and a row for each: collection, hits, latency_ms, status (ok, partial, unavailable) and error."""
+
+    hits: DataFrame
+    collections: DataFrame
+
+
+class SearchFailed(RuntimeError):
+    """A collection failed in strict mode, or all did."""
+
+
+def search_collections(spark: SparkSession, runs: dict[str, Callable[[], DataFrame]], strict: bool = False) -> Collected:
+    """Runs the search of each collection (at most some k rows each) side by side; a failure of one doesn't stop the others.
+
+    With ``strict`` any failure raises; else the others' hits are kept and their status is ``partial``; if all fail, that raises. All
+    searches give the same columns, to which collection is added.
+    """
+
+    def run(name: str) -> tuple[str, list | None, object, float, str | None]:
+        began = time.perf_counter()
+        try:
+            df = runs[name]()
+            rows, schema, error = df.collect(), df.schema, None
+        except Exception as failure:  # whatever a collection fails with is its row's error
+            rows, schema, error = None, None, f"{type(failure).__name__}: {str(failure).splitlines()[0] if str(failure) else ''}"
+        return name, rows, schema, round((time.perf_counter() - began) * 1000, 1), error
+
+    with ThreadPoolExecutor(max(1, len(runs))) as pool:
+        done = list(pool.map(run, runs))
+    failed = [(name, error) for name, _, _, _, error in done if error]
+    if failed and (strict or len(failed) == len(done)):
+        raise SearchFailed("; ".join(f"{name}: {error}" for name, error in failed))
+    state = [(name, len(rows or []), latency, "unavailable" if error else "partial" if failed else "ok", error) for name, rows, _, latency, error in done]
+    found = [spark.createDataFrame(rows, schema).withColumn("collection", F.lit(name)) for name, rows, schema, _, error in done if not error]
+    hits = reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], "collection string")
+    return Collected(hits, spark.createDataFrame(state, "collection string, hits int, latency_ms double, status string, error string"))
+
+
 #: Hits whose ids are written into a filter; more are joined.
 WRITTEN_HITS = 1000
 

@@ -116,6 +116,32 @@ def topk_per_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.top_k_by(rows, probe(spark, sf_dir), 3, "label").select("id", "label", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
 
 
+@query(
+    "topk_batch",
+    """WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
+m AS (SELECT label, i, avg(x) AS x FROM (SELECT label, unnest(e) AS x, generate_subscripts(e, 1) AS i FROM v) GROUP BY label, i),
+q AS (SELECT label AS query_id, list(x ORDER BY i) AS e FROM m GROUP BY label),
+s AS (SELECT query_id, vec_id AS id, list_cosine_similarity(v.e, q.e) AS s FROM v, q),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id)::INT AS rank FROM s)
+SELECT query_id, rank, id, round(s, 6) AS score FROM r WHERE rank <= 10""",
+)
+def topk_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten vectors nearest to the mean of each label's, all labels in one pass."""
+    rows = table(spark, sf_dir, "embeddings")
+    means = rows.select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("x"))
+    queries = means.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda p: p["x"]).alias("vector")).withColumnRenamed("label", "query_id")
+    found = S.top_k_batch(rows.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), queries, 10)
+    return found.withColumn("score", F.round("score", 6))
+
+
+@query("collection_status", f"WITH {POINTS_SQL}, r AS (SELECT content_type AS collection, row_number() OVER (PARTITION BY content_type ORDER BY list_cosine_similarity(vector, q.v) DESC, id) AS n FROM points, q) SELECT collection, count(*)::INT AS hits, 'ok' AS status FROM r WHERE n <= 10 GROUP BY collection")
+def collection_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the search of each collection went (without the times it took)."""
+    rows = scored(spark, sf_dir)
+    runs = {name: (lambda name=name: S.best(rows.where(F.col("content_type") == name), 10)) for name in ("code", "docs")}
+    return S.search_collections(spark, runs).collections.select("collection", "hits", "status")
+
+
 def fused_sql(k: int, floor: int) -> str:
     return f"""{POINTS_SQL}, ranked AS (SELECT *, row_number() OVER (PARTITION BY content_type ORDER BY s DESC, id) AS rank FROM (SELECT points.*, list_cosine_similarity(vector, q.v) AS s FROM points, q)),
 scored AS (SELECT *, 1.0::DOUBLE / (60 + rank) AS rrf, CASE content_type WHEN 'code' THEN 1 ELSE 2 END AS o FROM ranked WHERE rank <= {k}),

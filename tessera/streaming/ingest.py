@@ -16,7 +16,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import classify, text as T
-from ..operators import chunks, memory, points
+from ..operators import chunks, documents, memory, points
 
 
 def chunk_rows(files: DataFrame, size: int = 120, overlap: int = 20) -> DataFrame:
@@ -45,6 +45,51 @@ def current(spark: SparkSession, table: str) -> DataFrame:
     return points.last_by(spark.read.parquet(table).drop("batch"), ["id"], ["seq"]).drop("seq")
 
 
+def index(events: DataFrame, table: str, checkpoint: str, root: str = "", size: int = 120, overlap: int = 20) -> StreamingQuery:
+    """Starts an index run over a stream of file events (repo, path, text; a null text means that the file is gone), then stops.
+
+    Each micro-batch takes the last event of a file in it (by ``at``, if there is such a column), leaves out files whose text is the
+    one that is indexed, cuts the others by the dispatcher (``documents.chunk_files``) and writes their points and a row for
+    each file, both under the batch's number. A batch that is tried again writes the same folders, and reads only
+    earlier ones. Points of a file's earlier versions, and of files that are gone, are stale by that; nothing is rewritten.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        order = F.col("at") if "at" in batch.columns else F.monotonically_increasing_id()
+        last = batch.groupBy("repo", "path").agg(F.max_by("text", order).alias("text"), F.max_by(F.sha2("text", 256), order).alias("hash"))
+        known = versions(spark, table, number)
+        before = known.select("repo", "path", F.col("hash").alias("_hash")) if known is not None else spark.createDataFrame([], "repo string, path string, _hash string")
+        changed = last.join(before, ["repo", "path"], "left").where(~F.col("hash").eqNullSafe(F.col("_hash"))).drop("_hash")
+        # stored, so that what is cut is what the row for the file says
+        changed.write.mode("overwrite").parquet(f"{table}/changed/batch={number}")
+        changed = spark.read.schema(changed.schema).parquet(f"{table}/changed/batch={number}")
+        found = documents.chunk_files(changed, size, overlap)
+        point = T.point_id(F.col("repo"), F.lit(root), F.col("chunk_id")).alias("id")
+        rows = found.select(point, "repo", F.lit(root).alias("repo_root"), "path", F.col("collection").alias("content_type"), "chunk_id", "content_hash", "start_line", "end_line", F.col("content").alias("text"), "chunk_schema_version", F.struct("start_line", "end_line", "content_hash").alias("seq"))
+        points.last_by(rows, ["id"], ["seq"]).drop("seq").write.mode("overwrite").parquet(f"{table}/points/batch={number}")
+        changed.select("repo", "path", "hash").write.mode("overwrite").parquet(f"{table}/files/batch={number}")
+
+    return events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def versions(spark: SparkSession, table: str, before: int | None = None) -> DataFrame | None:
+    """The last version of each file (repo, path, hash, batch), of batches before a number; None if nothing is written yet."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{table}/files")
+    if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+        return None
+    rows = spark.read.schema("repo string, path string, hash string, batch long").parquet(f"{table}/files")
+    if before is not None:
+        rows = rows.where(F.col("batch") < before)
+    return rows.groupBy("repo", "path").agg(F.max_by("hash", "batch").alias("hash"), F.max("batch").alias("batch"))
+
+
+def indexed(spark: SparkSession, table: str) -> DataFrame:
+    """The points as they stand: those of each file's last version, told by small rows of files, not by points."""
+    last = versions(spark, table).where("hash IS NOT NULL").select("repo", "path", "batch")
+    return spark.read.parquet(f"{table}/points").join(last, ["repo", "path", "batch"], "left_semi").drop("batch")
+
+
 def recent_turns(turns: DataFrame, most: int = 32) -> DataFrame:
     """A stream of turns (conv_id, turn, text) to each session's buffer of its last ``most`` turns, after every batch.
 

@@ -1,0 +1,92 @@
+"""Batches of queries, guarded collections, and the index run on a stream."""
+
+from __future__ import annotations
+
+import json
+import os
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tessera.operators import documents, search
+from tessera.streaming import ingest
+
+
+@pytest.mark.parametrize("distance", ["cosine", "dot", "euclid"])
+def test_a_batch_of_queries_equals_single_ones(spark, monkeypatch, distance):
+    monkeypatch.setattr(search, "SCORES_AT_ONCE", 64)
+    r = np.random.default_rng(1)
+    vectors = [(i, r.normal(0, 1, 8).tolist()) for i in range(300)] + [(300 + i, [0.5] * 8) for i in range(30)]
+    odd = [(900, None), (901, [0.0] * 8), (902, [1.0]), (903, [float("nan")] * 8), (904, [None] + [1.0] * 7)]
+    points = spark.createDataFrame(vectors + odd, "id long, vector array<double>").repartition(5)
+    asked = [(f"q{i}", r.normal(0, 1, 8).tolist()) for i in range(9)] + [("same", [0.5] * 8)]
+    queries = spark.createDataFrame(asked + [("none", None), ("nan", [float("nan")] * 8)], "query_id string, vector array<double>")
+    found = search.top_k_batch(points, queries, 7, distance).collect()
+    assert {x.query_id for x in found} == {i for i, _ in asked}
+    clean = points.where("id < 900" if distance == "cosine" else "id < 900 OR id = 901")
+    for name, vector in asked:
+        single = [(x.id, round(x.score, 9)) for x in search.top_k(clean, vector, 7, distance).collect()]
+        assert [(x.id, round(x.score, 9)) for x in sorted((x for x in found if x.query_id == name), key=lambda x: x.rank)] == single
+
+
+def test_batches_have_a_bound(spark, monkeypatch):
+    points = spark.createDataFrame([(1, [1.0, 0.0])], "id long, vector array<double>")
+    none = spark.createDataFrame([], "query_id string, vector array<double>")
+    assert search.top_k_batch(points, none, 3).count() == 0 and search.top_k_batch(points.limit(0), spark.createDataFrame([("a", [1.0, 0.0])], none.schema), 3).count() == 0
+    monkeypatch.setattr(search, "BATCH_NUMBERS", 3)
+    with pytest.raises(ValueError, match="fewer at once"):
+        search.top_k_batch(points, spark.createDataFrame([("a", [1.0, 0.0]), ("b", [1.0, 0.0])], none.schema), 3)
+    with pytest.raises(ValueError):
+        search.top_k_batch(points, none, 3, "manhattan")
+
+
+def test_collections_fail_apart(spark):
+    good = lambda: spark.createDataFrame([(1, 0.5)], "id long, score double")
+    bad = lambda: spark.createDataFrame([(1, 0.5)], "id long, score double").select(F.raise_error(F.lit("down")).cast("long").alias("id"), "score")
+    both = search.search_collections(spark, {"code": good, "docs": good})
+    assert [(r.collection, r.hits, r.status) for r in both.collections.collect()] == [("code", 1, "ok"), ("docs", 1, "ok")] and both.hits.count() == 2
+    part = search.search_collections(spark, {"code": good, "docs": bad})
+    assert {r.collection: (r.hits, r.status) for r in part.collections.collect()} == {"code": (1, "partial"), "docs": (0, "unavailable")}
+    assert [(r.id, r.collection) for r in part.hits.collect()] == [(1, "code")]
+    with pytest.raises(search.SearchFailed, match="docs"):
+        search.search_collections(spark, {"code": good, "docs": bad}, strict=True)
+    with pytest.raises(search.SearchFailed):
+        search.search_collections(spark, {"code": bad, "docs": bad})
+
+
+def test_more_hits_than_are_written_out_are_joined(spark, monkeypatch):
+    monkeypatch.setattr(search, "WRITTEN_HITS", 5)
+    hits, payload = spark.range(20), spark.range(50).select(F.col("id").alias("doc"), (F.col("id") * 2).alias("x"))
+    assert sorted(r.x for r in search.with_payload(hits, payload, "doc").collect()) == [2 * i for i in range(20)]
+    assert sorted(r.x for r in search.with_payload(hits.limit(5), payload, "doc").collect()) == [2 * i for i in range(5)]
+
+
+def test_index_run_on_a_stream(spark, tmp_path):
+    """New, changed, unchanged and gone files over three batches equal a run over what is left; a batch that is tried again counts once."""
+    source, table, checkpoint = (str(tmp_path / n) for n in ("in", "out", "check"))
+    os.makedirs(source)
+    schema = "repo string, path string, text string, at long"
+    code = "def load(\n    path,\n):\n    return path\n\nclass A:\n    def m(self):\n        return load(1)\n"
+    batches = [
+        [("r", "src/a.py", code), ("r", "docs/b.md", "# One\ntext\n# Two\nmore"), ("r", "docs/c.md", "# Three\nx"), ("s", "src/a.py", "x = 1")],
+        [("r", "src/a.py", code), ("r", "docs/b.md", "# One\nother"), ("r", "docs/d.md", "# Late"), ("r", "docs/d.md", "# Later")],
+        [("r", "docs/c.md", None), ("s", "src/a.py", None), ("s", "src/a.py", "x = 2")],
+    ]
+
+    def run(number: int) -> None:
+        name = f"{source}/{number}.json"
+        with open(name, "w") as out:
+            out.writelines(json.dumps({"repo": r, "path": p, "text": t, "at": i}) + "\n" for i, (r, p, t) in enumerate(batches[number]))
+        os.utime(name, (1_700_000_000 + number, 1_700_000_000 + number))
+        ingest.index(spark.readStream.schema(schema).json(source), table, checkpoint, "/code").awaitTermination(300)
+
+    for number in range(3):
+        run(number)
+    left = {("r", "src/a.py"): code, ("r", "docs/b.md"): "# One\nother", ("r", "docs/d.md"): "# Later", ("s", "src/a.py"): "x = 2"}
+    whole = documents.chunk_files(spark.createDataFrame([(*k, v) for k, v in left.items()], "repo string, path string, text string"))
+    columns = ["repo", "path", "chunk_id", "content_hash", "start_line", "end_line"]
+    now = ingest.indexed(spark, table)
+    assert sorted(map(tuple, now.select(*columns).collect())) == sorted(map(tuple, whole.select(*columns).collect()))
+    # unchanged files were not cut again
+    assert {(r.repo, r.path) for r in spark.read.parquet(f"{table}/files/batch=1").collect()} == {("r", "docs/b.md"), ("r", "docs/d.md")}
