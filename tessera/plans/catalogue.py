@@ -293,6 +293,16 @@ def embed_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.batches(files(spark, sf_dir), "repo", 16)
 
 
+@query("embedding_unseen", "WITH h AS (SELECT doc_id, sha256(text) AS content_hash FROM documents WHERE text IS NOT NULL) SELECT DISTINCT content_hash FROM h WHERE content_hash NOT IN (SELECT content_hash FROM h WHERE doc_id IN (SELECT doc_id FROM labels))")
+def embedding_unseen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contents that are left to embed once those of labelled documents are stored."""
+    from ..sources import embedding
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    known = docs.join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi").where("text IS NOT NULL").select(T.content_hash(F.col("text")).alias("content_hash"))
+    return embedding.unseen(docs, known).select("content_hash")
+
+
 @query("paragraph_chunks")
 def paragraph_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.paragraphs(files(spark, sf_dir).select(F.col("doc_id").alias("id"), F.regexp_replace("text", "\n", "\n\n").alias("text")), 300)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import time
+import uuid
 from collections.abc import Iterator
 from typing import Protocol
 
@@ -11,6 +12,19 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions import text as T
+
+
+class ProviderError(RuntimeError):
+    """A provider's answer with a status; from 500 on it is worth another try."""
+
+    def __init__(self, status: int, message: str = ""):
+        super().__init__(f"status {status}: {message}")
+        self.status = status
+
+    def __reduce__(self) -> tuple:
+        return type(self), (self.status, str(self))
+
 
 class Provider(Protocol):
     """Anything that gives one vector per text; it must pickle, as tasks hold copies."""
@@ -37,13 +51,13 @@ class HashingProvider:
 
 
 def with_retries(provider: Provider, texts: list[str], tries: int = 5, base_seconds: float = 0.5) -> list[list[float]]:
-    """Tries again after time-outs and lost connections, waiting twice as long each time; checks count and width."""
+    """Tries again after time-outs, lost connections and statuses from 500 on, waiting twice as long each time; checks count and width."""
     for attempt in range(tries):
         try:
             found = provider.embed(texts)
             break
-        except (TimeoutError, ConnectionError):
-            if attempt == tries - 1:
+        except (TimeoutError, ConnectionError, ProviderError) as failure:
+            if attempt == tries - 1 or (isinstance(failure, ProviderError) and failure.status < 500):
                 raise
             time.sleep(base_seconds * 2**attempt)
     if len(found) != len(texts) or any(len(v) != provider.width for v in found):
@@ -62,3 +76,29 @@ def embed(texts: DataFrame, provider: Provider, id_col: str = "id", text_col: st
                 yield pd.DataFrame({"id": part["id"], "vector": with_retries(provider, part["text"].fillna("").tolist())})
 
     return texts.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(walk, f"id {kind}, vector array<double>")
+
+
+def unseen(texts: DataFrame, known: DataFrame, text_col: str = "text") -> DataFrame:
+    """content_hash, text of each content of ``texts`` that has no row in ``known`` (content_hash): equal texts count once."""
+    hashed = texts.select(T.content_hash(F.col(text_col)).alias("content_hash"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
+    fresh = hashed.join(known.select("content_hash").distinct(), "content_hash", "left_anti")
+    return fresh.groupBy("content_hash").agg(F.first("text").alias("text"))
+
+
+def embed_new(texts: DataFrame, store: str, provider: Provider, id_col: str = "id", text_col: str = "text") -> DataFrame:
+    """id, vector for each row with a text; only contents that ``store`` (a folder of vectors by content_hash) lacks reach the provider.
+
+    What is embedded is written to the store under a folder of its own, so a run costs its new contents, and a run that failed
+    half-way leaves what it had finished writing.
+    """
+    spark = texts.sparkSession
+    schema = "content_hash string, vector array<double>"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(store)
+    there = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+    read = lambda: spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(store)
+    known = read() if there else spark.createDataFrame([], schema)
+    made = embed(unseen(texts, known, text_col), provider, "content_hash", "text").select(F.col("id").alias("content_hash"), "vector")
+    made.write.parquet(f"{store}/{uuid.uuid4().hex}")
+    # two runs at once may both have embedded a content: one row of each is taken
+    vectors = read().groupBy("content_hash").agg(F.first("vector").alias("vector"))
+    return texts.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), T.content_hash(F.col(text_col)).alias("content_hash")).join(vectors, "content_hash").select("id", "vector")

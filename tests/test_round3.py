@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import documents, search
+from tessera.sources import embedding
 from tessera.streaming import ingest
 
 
@@ -90,3 +91,34 @@ def test_index_run_on_a_stream(spark, tmp_path):
     assert sorted(map(tuple, now.select(*columns).collect())) == sorted(map(tuple, whole.select(*columns).collect()))
     # unchanged files were not cut again
     assert {(r.repo, r.path) for r in spark.read.parquet(f"{table}/files/batch=1").collect()} == {("r", "docs/b.md"), ("r", "docs/d.md")}
+
+
+class Unsteady:
+    width = 1
+
+    def __init__(self, *statuses):
+        self.statuses = list(statuses)
+
+    def embed(self, texts):
+        if self.statuses:
+            raise embedding.ProviderError(self.statuses.pop(0))
+        return [[1.0]] * len(texts)
+
+
+def test_statuses_from_500_on_are_tried_again():
+    assert embedding.with_retries(Unsteady(500, 503), ["a"], base_seconds=0) == [[1.0]]
+    with pytest.raises(embedding.ProviderError, match="404"):
+        embedding.with_retries(Unsteady(404), ["a"], base_seconds=0)
+    with pytest.raises(embedding.ProviderError, match="500"):
+        embedding.with_retries(Unsteady(500, 500), ["a"], tries=2, base_seconds=0)
+
+
+def test_only_new_contents_reach_the_provider(spark, tmp_path):
+    store, schema = str(tmp_path / "vectors"), "id long, text string"
+    first = [(1, "a b"), (2, "a b"), (3, "c"), (4, None), (5, "")]
+    found = {r.id: r.vector for r in embedding.embed_new(spark.createDataFrame(first, schema), store, embedding.HashingProvider(8)).collect()}
+    assert set(found) == {1, 2, 3, 5} and found[1] == found[2] == embedding.HashingProvider(8).embed(["a b"])[0]
+    second = [(1, "a b"), (3, "c changed"), (6, "c"), (7, "a\r\nb")]
+    assert {r.id for r in embedding.embed_new(spark.createDataFrame(second, schema), store, embedding.HashingProvider(8)).collect()} == {1, 3, 6, 7}
+    # each content was embedded once: three in the first run, two in the second
+    assert sorted(spark.read.parquet(str(folder)).count() for folder in (tmp_path / "vectors").iterdir()) == [2, 3]
