@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import classify as C, text as T
-from ..operators import chunks, documents, indexing, memory, points as P, rag, search as S
+from ..operators import chunks, documents, indexing, memory, paths as paths_index, points as P, rag, search as S
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -105,6 +105,13 @@ def topk_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.best(hits, 10).select("id", "path", F.round("score", 6).alias("score"))
 
 
+@query("path_match", f"WITH {FILES_SQL}, t AS (SELECT doc_id AS id, path, list_filter(regexp_split_to_array(lower(path), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS ts FROM files) SELECT id, path FROM t WHERE list_contains(ts, 'docs') AND list_contains(ts, 'md')")
+def path_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files whose path holds two tokens, found by bitmaps."""
+    rows = files(spark, sf_dir).select(F.col("doc_id").alias("id"), "path")
+    return paths_index.holds(rows, paths_index.matched(paths_index.index(rows), "docs/*.md"))
+
+
 @query("topk_min_score", f"WITH {POINTS_SQL}, best AS (SELECT id, list_cosine_similarity(vector, q.v) AS s FROM points, q ORDER BY s DESC, id LIMIT 20) SELECT id, round(s, 6) AS score FROM best WHERE s >= 0.35")
 def topk_min_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.best(scored(spark, sf_dir), 20, min_score=0.35).select("id", F.round("score", 6).alias("score"))

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import documents, search
+from tessera.operators import documents, paths, search
 from tessera.sources import embedding
 from tessera.streaming import ingest
 
@@ -122,3 +122,13 @@ def test_only_new_contents_reach_the_provider(spark, tmp_path):
     assert {r.id for r in embedding.embed_new(spark.createDataFrame(second, schema), store, embedding.HashingProvider(8)).collect()} == {1, 3, 6, 7}
     # each content was embedded once: three in the first run, two in the second
     assert sorted(spark.read.parquet(str(folder)).count() for folder in (tmp_path / "vectors").iterdir()) == [2, 3]
+
+
+def test_path_tokens(spark):
+    rows = [(i, p) for i, p in enumerate(["src/Auth/login.py", "docs/auth.md", "src/author.py", "tests/auth/test_login.py", None, ""])] + [(40_000, "src/auth/late.py"), (-70_000, "src/auth/early.py"), (None, "src/auth/x.py")]
+    points = spark.createDataFrame(rows, "id long, path string")
+    found = paths.index(points)
+    match = lambda text: sorted(r.id for r in paths.holds(points, paths.matched(found, text)).collect())
+    assert match("auth") == [-70_000, 0, 1, 3, 40_000]
+    assert match("SRC/auth") == [-70_000, 0, 40_000] and match("login.py auth tests") == [3]
+    assert match("auth nowhere") == [] and match("/") == []
