@@ -452,6 +452,15 @@ def call_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.call_graph(chunks.symbols(python_files(spark, sf_dir), "python")).select("path", "qualified", F.array_join("callees", ",").alias("callees"), F.array_join("callers", ",").alias("callers"))
 
 
+@query("sql_code_symbols", f"WITH {_PYTHON_SQL} SELECT path, qualified, a::INT AS start_line, b::INT AS end_line FROM y")
+def sql_code_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The symbols of ``python_symbols``, asked for in SQL."""
+    from . import sql
+
+    sql.register(spark)
+    return spark.sql("SELECT f.path, s.qualified, s.start_line, s.end_line FROM {files} f, LATERAL code_symbols(f.text, 'python') s", files=python_files(spark, sf_dir))
+
+
 _SCRIPT_SQL = f"""{_pieces_sql("CASE i % 4 WHEN 0 THEN 5 WHEN 1 THEN 6 ELSE 1 END")}
 SELECT path, replace({_WORD_SQL}, 'f_', 'useF_') AS qualified, 'hook' AS kind, (before + 1)::INT AS start_line, (before + 4)::INT AS end_line, true AS exported FROM s WHERE i % 4 = 0
 UNION ALL SELECT path, 'Card' || i, 'component', (before + 1)::INT, (before + 5)::INT, true FROM s WHERE i % 4 = 1"""

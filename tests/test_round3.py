@@ -9,7 +9,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import documents, paths, search
+from tessera.operators import chunks, documents, memory, paths, search
+from tessera.plans import sql
 from tessera.sources import embedding
 from tessera.streaming import ingest
 
@@ -132,3 +133,20 @@ def test_path_tokens(spark):
     assert match("auth") == [-70_000, 0, 1, 3, 40_000]
     assert match("SRC/auth") == [-70_000, 0, 40_000] and match("login.py auth tests") == [3]
     assert match("auth nowhere") == [] and match("/") == []
+
+
+def test_table_functions_equal_the_dataframe_calls(spark):
+    sql.register(spark)
+    code = "def load(\n    path,\n):\n    return path\r\n\nclass A:\n    def m(self):\n        return load(1)\n"
+    files = spark.createDataFrame([("a.py", code), ("b.py", "def broken(\n"), ("c.py", ""), ("d.py", None), ("e.py", "x\n" * 7)], "path string, text string")
+    columns = ["path", "qualified", "start_line", "end_line", "content"]
+    said = spark.sql("SELECT f.path, s.* FROM {files} f, LATERAL code_symbols(f.text, 'python') s", files=files)
+    assert sorted(map(tuple, said.select(*columns).collect())) == sorted(map(tuple, chunks.symbols(files, "python").select(*columns).collect()))
+    columns = ["path", "chunk_index", "start_line", "end_line", "content"]
+    said = spark.sql("SELECT f.path, w.* FROM {files} f, LATERAL line_windows(f.text, 3, 1) w", files=files)
+    assert sorted(map(tuple, said.select(*columns).collect())) == sorted(map(tuple, chunks.windows(files.where("text IS NOT NULL"), 3, 1).select(*columns).collect()))
+    rows = [("u", i, "preference", "t", f"use {w} in code", 0.5) for i, w in enumerate(["tabs", "tabs", "jest", "tabs", "types"])] + [("w", 9, "preference", "t", "use tabs", None)]
+    statements = spark.createDataFrame(rows, "user string, seq long, kind string, topic string, value string, confidence double")
+    said = spark.sql("SELECT * FROM remembered(TABLE({statements}) PARTITION BY (user, kind, topic) ORDER BY seq)", statements=statements)
+    expected = memory.reconcile(statements, ["user"])
+    assert sorted(map(str, said.select(*expected.columns).collect())) == sorted(map(str, expected.collect()))
