@@ -239,6 +239,7 @@ def _python(lexed: Lexed) -> tuple[list[Declared], list[tuple[int, int]]]:
     return found, statements
 
 
+# What a script's declarations, class members and fields look like at the start of a statement, as results depend on it.
 _NAME = r"[A-Za-z_$][\w$]*"
 _SCRIPT_CLASS = re.compile(rf"(export\s+)?(default\s+)?(?:declare\s+)?(?:abstract\s+)?class\b(?:\s+(?!extends\b|implements\b)({_NAME}))?")
 _SCRIPT_FUNCTION = re.compile(rf"(?:export\s+)?(?:default\s+)?(?:async\s+)?function\b\s*\*?\s*({_NAME})\s*(?:<[^{{(]+>\s*)?\(")
