@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import text as T
 from ..functions.arrays import let, totals_before
@@ -216,36 +216,50 @@ def symbol_chunks(files: DataFrame, language: str, most: int = 120, overlap: int
     rows = _qualified(declarations(told, script, most, overlap).where("symbol IS NULL OR chosen"), script)
     kept = ["path", "start_line", "end_line", "content", "imports", "exports", "broken"]
     shown = F.when(F.col("summed"), _summary(script)).otherwise(F.col("content")).alias("content")
-    found = call_graph(rows.where("symbol IS NOT NULL")).select(*[shown if c == "content" else c for c in kept], "symbol", "kind", "qualified", "parent", F.nullif("head", F.lit("")).alias("signature"), "callees", "callers")
-    return found.unionByName(rows.where("symbol IS NULL").select(*kept), allowMissingColumns=True)
+    return call_graph(rows).select(*[shown if c == "content" else c for c in kept], "symbol", "kind", "qualified", "parent", F.nullif("head", F.lit("")).alias("signature"), "callees", "callers")
 
 
 def call_graph(found: DataFrame) -> DataFrame:
     """callees and callers of each symbol, resolved within its file from the names it calls (``calls``).
 
     A called name is a qualified name, a member of the caller's class (``self.x``, ``this.x``, ``cls.x``), a simple
-    name that is unique in the file, or stays as written. Callers are the reverse, without the symbol itself.
+    name that is unique in the file, or stays as written. Callers are the reverse, without the symbol itself. Rows
+    without a symbol have neither.
+
+    A file's symbols and calls meet by ``path`` in one exchange: names are resolved by windows and edges gathered by groups within
+    that partitioning, so what made ``found`` is worked out once. A symbol's other columns ride on its own row, not on its calls.
     """
-    calls = found.select("path", F.col("qualified").alias("caller"), F.when(F.col("kind") == "class", F.col("qualified")).otherwise(F.col("parent")).alias("owner"), F.posexplode("calls").alias("at", "name"))
-    names = found.select("path", "qualified", "symbol").distinct()
-    whole = names.select("path", F.col("qualified").alias("wanted"), F.col("qualified").alias("by_name"))
-    simple = names.groupBy("path", "symbol").agg(F.count(F.lit(1)).alias("n"), F.first("qualified").alias("by_symbol")).where("n = 1").select("path", F.col("symbol").alias("name"), "by_symbol")
-    own = F.regexp_replace("name", r"^(?:self|this|cls)\.", "")
-    calls = calls.withColumn("wanted", F.when(F.col("name").rlike(r"^(?:self|this|cls)\.") & F.col("owner").isNotNull(), F.concat_ws(".", "owner", own)).otherwise(F.col("name")))
-    calls = calls.join(whole, ["path", "wanted"], "left").join(simple, ["path", "name"], "left").withColumn("callee", F.coalesce("by_name", "by_symbol", "name"))
-    ordered = lambda at, value: F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct(at, value))), lambda x: x[value]))
-    callees = calls.groupBy("path", F.col("caller").alias("qualified")).agg(ordered("at", "callee").alias("callees"))
-    starts = found.select("path", F.col("qualified").alias("caller"), "start_line")
-    callers = calls.where(F.col("caller") != F.col("callee")).join(starts, ["path", "caller"]).groupBy("path", F.col("callee").alias("qualified")).agg(ordered("start_line", "caller").alias("callers"))
-    none = F.array().cast("array<string>")
-    out = found.join(callees, ["path", "qualified"], "left").join(callers, ["path", "qualified"], "left")
-    return out.withColumn("callees", F.coalesce("callees", none)).withColumn("callers", F.coalesce("callers", none))
+    told = found.repartition("path").select(
+        "path", F.struct(*[F.col(c) for c in found.columns if c != "path"]).alias("_row"), F.col("qualified").alias("_caller"), F.col("symbol").alias("_symbol"), F.col("start_line").alias("_start"),
+        F.when(F.col("kind") == "class", F.col("qualified")).otherwise(F.col("parent")).alias("_owner"), F.coalesce("calls", F.array().cast("array<string>")).alias("_calls"),
+    )
+    # a row for the symbol itself (its name is null), and one for each call
+    itself = F.array(F.struct(F.lit(-1).alias("at"), F.lit(None).cast("string").alias("name")))
+    rows = told.withColumn("_c", F.explode(F.concat(itself, F.transform("_calls", lambda x, i: F.struct(i.alias("at"), x.alias("name"))))))
+    rows = rows.select("path", F.when(F.col("_c.at") < 0, F.col("_row")).alias("_row"), "_caller", "_symbol", "_start", "_owner", F.col("_c.at").alias("_at"), F.col("_c.name").alias("_name"))
+    own = r"^(?:self|this|cls)\."
+    wanted = F.when(F.col("_name").rlike(own) & F.col("_owner").isNotNull(), F.concat_ws(".", "_owner", F.regexp_replace("_name", own, ""))).otherwise(F.col("_name"))
+    defined = F.col("_at") < 0
+    rows = rows.withColumns({"_wanted": F.when(defined, F.col("_caller")).otherwise(wanted), "_simple": F.when(defined, F.col("_symbol")).otherwise(F.col("_name"))})
+    same = lambda key: Window.partitionBy("path", key)
+    rows = rows.withColumn("_by_name", F.max(F.when(defined, F.col("_caller"))).over(same("_wanted")))
+    least, most = (f(F.when(defined, F.col("_caller"))).over(same("_simple")) for f in (F.min, F.max))
+    rows = rows.withColumn("_by_symbol", F.when(least == most, least)).withColumn("_start", F.min("_start").over(same("_caller")))
+    rows = rows.withColumn("_callee", F.coalesce("_by_name", "_by_symbol", "_name"))
+    edge = lambda at, name: F.struct(at.alias("at"), name.alias("name"))
+    nothing = F.lit(None).cast("struct<at:int,name:string>")
+    end = lambda key, row, callee, caller: F.struct(key.alias("key"), row.alias("row"), callee.alias("callee"), caller.alias("caller"))
+    no_row = F.when(F.lit(False), F.col("_row"))
+    out, into = end(F.col("_caller"), no_row, edge(F.col("_at"), F.col("_callee")), nothing), end(F.col("_callee"), no_row, nothing, edge(F.col("_start"), F.col("_caller")))
+    ends = F.when(defined, F.array(end(F.col("_caller"), F.col("_row"), nothing, nothing))).when(F.col("_caller") == F.col("_callee"), F.array(out)).otherwise(F.array(out, into))
+    ordered = lambda edges: F.array_distinct(F.transform(F.array_sort(edges), lambda x: x["name"]))
+    met = rows.select("path", F.explode(ends).alias("_e")).groupBy("path", F.col("_e.key").alias("_key"))
+    met = met.agg(F.collect_list("_e.row").alias("_rows"), ordered(F.collect_list("_e.callee")).alias("callees"), ordered(F.collect_list("_e.caller")).alias("callers"))
+    return met.select("path", F.explode("_rows").alias("_row"), *[F.when(F.col("_key").isNotNull(), F.col(c)).alias(c) for c in ("callees", "callers")]).select("path", "_row.*", "callees", "callers")
 
 
 def numbered(found: DataFrame) -> DataFrame:
     """chunk_index in order of lines within each path."""
-    from pyspark.sql import Window
-
     return found.withColumn("chunk_index", F.row_number().over(Window.partitionBy("path").orderBy("start_line", "end_line")) - 1)
 
 
