@@ -27,6 +27,8 @@ from ..functions import text as T
 SCRIPT_WORDS = {"catch", "class", "for", "function", "if", "import", "return", "switch", "typeof", "while"}
 PYTHON_WORDS = {"and", "as", "assert", "await", "case", "class", "def", "del", "elif", "else", "except", "for", "from", "if", "import", "in", "is", "lambda", "match", "not", "or", "raise", "return", "super", "while", "with", "yield"}
 HEAD_LINES, FIELDS = 12, 6
+#: Characters and rows that a task gathers before it gives them out.
+BATCH_CHARS, BATCH_ROWS = 4 << 20, 8192
 
 _PYTHON_QUIET = re.compile(r'''(?s)(?P<open>"""(?:[^"\\]|\\.|"(?!""))*+(?:"""|(?P<a>\Z))|\'\'\'(?:[^'\\]|\\.|'(?!''))*+(?:\'\'\'|(?P<b>\Z)))|"(?:[^"\\\n]|\\.)*+"|'(?:[^'\\\n]|\\.)*+'|(?P<note>#[^\n]*)''')
 _SCRIPT_CODE = re.compile(r"""(?s)(?P<note>//[^\n]*|/\*.*?(?:\*/|\Z))|"(?:[^"\\\n]|\\.)*+"|'(?:[^'\\\n]|\\.)*+'|(?<=[=(,:;!&|?{\[])[ \t]*/(?![/*])(?:[^/\\\n\[]|\\.|\[(?:[^\]\\\n]|\\.)*+\])++/[a-z]*|(?P<mark>[`{}])""")
@@ -447,16 +449,27 @@ def declarations(files: DataFrame, script: bool, most: int = 120, overlap: int =
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            made, of, size = [], [], 0
+
+            def shaped() -> pa.RecordBatch:
+                columns = [pa.array(c, types[n]) for n, c in zip(names, zip(*made, strict=True), strict=True)]
+                own = batch.select(carried).take(pa.array(of))  # noqa: B023
+                return pa.RecordBatch.from_arrays([*own.columns, *columns], [*carried, *names])
+
             for i, text in enumerate(batch.column("text").to_pylist()):
                 lines = text.split("\n") if text else []
                 found, gaps, broken = walk(text or "", script, most)
                 if broken:
                     gaps = [(a, min(a + most, len(lines)) - 1) for a in range(0, max(len(lines) - overlap, 1), most - overlap)]
-                made = [said(d, lines) for d in found] + [(a + 1, b + 1, "\n".join(lines[a : b + 1]), *[None] * 15, broken) for a, b in gaps]
-                if made:
-                    columns = [pa.array(c, types[n]) for n, c in zip(names, zip(*made, strict=True), strict=True)]
-                    own = batch.select(carried).take(pa.array([i] * len(made)))
-                    yield pa.RecordBatch.from_arrays([*own.columns, *columns], [*carried, *names])
+                made += [said(d, lines) for d in found] + [(a + 1, b + 1, "\n".join(lines[a : b + 1]), *[None] * 15, broken) for a, b in gaps]
+                of += [i] * (len(made) - len(of))
+                size += len(text or "")
+                # rows of several texts go out together, up to a size
+                if made and (size > BATCH_CHARS or len(made) > BATCH_ROWS):
+                    yield shaped()
+                    made, of, size = [], [], 0
+            if made:
+                yield shaped()
 
     texts = files.select(*carried, F.array_join(T.lines(F.col("text")), "\n").alias("text"))
     kept = ", ".join(f"`{c}` {files.schema[c].dataType.simpleString()}" for c in carried)
