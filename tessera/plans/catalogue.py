@@ -310,7 +310,13 @@ def embedding_unseen(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding.unseen(docs, known).select("content_hash")
 
 
-@query("paragraph_chunks")
+@query(
+    "paragraph_chunks",
+    f"""WITH {FILES_SQL}, p AS (SELECT doc_id AS id, regexp_extract_all(replace(text, chr(10), chr(10) || chr(10)), '[^\\n]*\\n+|[^\\n]+') AS ps FROM files),
+w AS (SELECT id, flatten(list_transform(ps, lambda p: list_transform(range(0, (length(p) - 1) // 300 + 1), lambda k: [substr(p, k * 300 + 1, 300)]))) AS ws FROM p WHERE len(ps) > 0),
+r AS (SELECT id, list_reduce(ws, lambda acc, x: CASE WHEN length(acc[-1]) + length(x[1]) <= 300 THEN list_concat(acc[:len(acc) - 1], [acc[-1] || x[1]]) ELSE list_concat(acc, x) END) AS rs FROM w)
+SELECT id, (generate_subscripts(rs, 1) - 1)::INT AS at, unnest(rs) AS piece FROM r""",
+)
 def paragraph_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.paragraphs(files(spark, sf_dir).select(F.col("doc_id").alias("id"), F.regexp_replace("text", "\n", "\n\n").alias("text")), 300)
 
@@ -724,12 +730,22 @@ def effective_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return confident(spark, sf_dir).select("id", "kind", F.round("effective", 4).alias("effective"))
 
 
-@query("memory_preload")
+def _preload_sql(entries: int, tokens: int) -> str:
+    """f: the entries of each user in order, with whether it is taken, and how many and what they cost so far."""
+    return f"""WITH RECURSIVE {MEMORIES_SQL}, listed AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY recent DESC, id) AS nth FROM c),
+r AS (SELECT *, greatest(1, round_even(len(list_filter(string_split_regex(concat_ws(': ', topic, value), '\\s+'), lambda x: x <> '')) * 1.15::DOUBLE, 0))::INT AS cost,
+  row_number() OVER (PARTITION BY user_id ORDER BY effective DESC NULLS LAST, recent DESC, id) AS rank FROM listed WHERE nth <= 100),
+f AS (SELECT user_id, rank, id, cost, true AS takes, cost AS used, 1 AS n FROM r WHERE rank = 1
+  UNION ALL SELECT r.user_id, r.rank, r.id, r.cost, f.n < {entries} AND f.used + r.cost <= {tokens}, f.used + CASE WHEN f.n < {entries} AND f.used + r.cost <= {tokens} THEN r.cost ELSE 0 END,
+    f.n + CASE WHEN f.n < {entries} AND f.used + r.cost <= {tokens} THEN 1 ELSE 0 END FROM f JOIN r ON r.user_id = f.user_id AND r.rank = f.rank + 1)"""
+
+
+@query("memory_preload", f"{_preload_sql(10, 60)} SELECT user_id, n AS position, id::VARCHAR AS id, cost AS tokens FROM f WHERE takes")
 def memory_preload(spark: SparkSession, sf_dir: str) -> DataFrame:
     return memory.preload(confident(spark, sf_dir), ["user_id"], 10, 60)
 
 
-@query("memory_preload_block")
+@query("memory_preload_block", f"{_preload_sql(10, 60)} SELECT user_id, string_agg(printf('- %s/%s: %s (effective_confidence=%.2f)', kind, topic, value, effective), chr(10) ORDER BY n) AS block FROM f JOIN (SELECT id, kind, topic, value, effective FROM c) USING (id) WHERE takes GROUP BY user_id")
 def memory_preload_block(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries = confident(spark, sf_dir)
     picked = memory.preload(entries, ["user_id"], 10, 60)
@@ -749,7 +765,18 @@ def lexical_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("conv_id", "turn", F.round(T.jaccard(T.word_set(F.col("text")), T.word_set(F.col("prev"))), 6).alias("similarity"))
 
 
-@query("classify_conflict")
+def _negated_sql(text: str) -> str:
+    return "(" + " OR ".join("contains(' ' || lower({}) || ' ', '{}')".format(text, n.replace("'", "''")) for n in memory.NEGATIONS) + ")"
+
+
+@query(
+    "classify_conflict",
+    f"""WITH {LINES_SQL}, u AS (SELECT doc_id, unnest(ls) AS x, generate_subscripts(ls, 1) - 1 AS i FROM l),
+t AS (SELECT *, CASE WHEN i % 2 = 0 THEN 'not ' ELSE '' END || regexp_replace(x, '\\s+\\S+$', '') AS y FROM u),
+w AS (SELECT *, {TOKENS_SQL.format("x")} AS a, {TOKENS_SQL.format("y")} AS b FROM t),
+s AS (SELECT *, len(list_intersect(a, b)) AS common, CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0.0 ELSE len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b)))::DOUBLE END AS alike FROM w)
+SELECT doc_id, i::INT AS "at", CASE WHEN alike >= 0.6::DOUBLE THEN CASE WHEN {_negated_sql("x")} <> {_negated_sql("y")} AND common >= 2 THEN 'contradiction' ELSE 'reinforcement' END WHEN alike >= 0.3::DOUBLE THEN 'complement' ELSE 'independent' END AS resolution FROM s""",
+)
 def classify_conflict(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each line of a document against the line before, half of them turned round."""
     lines = files(spark, sf_dir).select("doc_id", F.posexplode(T.lines(F.col("text"))).alias("at", "line"))
