@@ -13,6 +13,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from ..config import DecayConfig
 from ..functions import text as T
+from ..functions.arrays import let
 
 
 def turn_pairs(turns: DataFrame, session: str = "conv_id", order: str = "turn") -> DataFrame:
@@ -71,10 +72,17 @@ def negated(value: Column) -> Column:
 def conflict(existing: Column, new: Column, high: float = 0.60, medium: float = 0.30) -> Column:
     """contradiction, reinforcement, complement or independent, by shared words and negation."""
     medium = min(medium, high)
-    left, right = T.word_set(existing), T.word_set(new)
-    similarity = T.jaccard(left, right)
-    against = (negated(existing) != negated(new)) & (F.size(F.array_intersect(left, right)) >= 2)
-    return F.when(similarity >= high, F.when(against, "contradiction").otherwise("reinforcement")).when(similarity >= medium, "complement").otherwise("independent")
+
+    def told(n: Column) -> Column:
+        # of sets, the union is what both hold less what they share
+        similarity = F.when((n["left"] == 0) | (n["right"] == 0), F.lit(0.0)).otherwise(n["common"] / (n["left"] + n["right"] - n["common"]))
+        against = (n["common"] >= 2) & (negated(existing) != negated(new))
+        return let(similarity, lambda s: F.when(s >= high, F.when(against, "contradiction").otherwise("reinforcement")).when(s >= medium, "complement").otherwise("independent"))
+
+    # word sets are worked out once for all that is asked of them
+    sets = F.struct(T.word_set(existing).alias("left"), T.word_set(new).alias("right"))
+    sizes = lambda x: F.struct(F.size(x["left"]).alias("left"), F.size(x["right"]).alias("right"), F.size(F.array_intersect(x["left"], x["right"])).alias("common"))
+    return let(let(sets, sizes), told)
 
 
 def preload(entries: DataFrame, scope: list[str], most_entries: int = 20, most_tokens: int = 1500) -> DataFrame:
