@@ -113,11 +113,17 @@ def preload_lines(entries: DataFrame, scope: list[str]) -> DataFrame:
     return entries.groupBy(*scope).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", line.alias("line")))), lambda x: x["line"]), "\n").alias("block"))
 
 
-def listed(entries: DataFrame, isolation: dict[str, str], term: str | None = None, most: int = 50) -> DataFrame:
-    """Active entries of one isolation whose topic or value holds the term, the latest first."""
-    out = entries.where("active")
+def _within(isolation: dict[str, object]) -> Column:
+    """Rows of one isolation; a null there asks for rows without a value."""
+    out = F.lit(True)
     for name, value in isolation.items():
-        out = out.where(F.col(name) == value)
+        out = out & F.col(name).eqNullSafe(F.lit(value))
+    return out
+
+
+def listed(entries: DataFrame, isolation: dict[str, object], term: str | None = None, most: int = 50, active_only: bool = True) -> DataFrame:
+    """Entries of one isolation (the active ones) whose topic or value holds the term, the latest first."""
+    out = (entries.where("active") if active_only else entries).where(_within(isolation))
     if term:
         like = f"%{term.lower()}%"
         out = out.where(F.lower("topic").like(like) | F.lower("value").like(like))
@@ -321,6 +327,45 @@ def disable(entries: DataFrame, where: Column, now: Column, reason: str) -> Data
     return entries.withColumns({"active": F.col("active") & ~hit, "disabled_at": F.when(hit, F.coalesce("disabled_at", now)).otherwise(F.col("disabled_at")), "disabled_reason": F.when(hit, F.lit(reason)).otherwise(F.col("disabled_reason")), "updated_at": F.when(hit, now).otherwise(F.col("updated_at"))})
 
 
+#: Entries that one call to forget puts off at most, the latest first; a second call goes on with the others.
+MOST_FORGOTTEN = 200
+#: Entries that an explanation shows.
+MOST_EXPLAINED = 20
+_ID = re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
+
+
+def forget(entries: DataFrame, isolation: dict[str, object], term: str, now: Column) -> DataFrame:
+    """Active entries of one isolation that hold the term become inactive, the latest ``MOST_FORGOTTEN`` at most; all rows come back."""
+    hits = F.broadcast(listed(entries, isolation, term, MOST_FORGOTTEN).select("id").distinct().withColumn("_hit", F.lit(True)))
+    return disable(entries.join(hits, "id", "left"), F.coalesce("_hit", F.lit(False)) & _within(isolation), now, "manual_forget").drop("_hit")
+
+
+def clear(entries: DataFrame, isolation: dict[str, object], now: Column) -> DataFrame:
+    """All active entries of one isolation become inactive."""
+    return disable(entries, _within(isolation), now, "manual_clear")
+
+
+def explain(entries: DataFrame, isolation: dict[str, object], selector: str, now: Column, by_id: bool | None = None, config: DecayConfig | None = None) -> DataFrame:
+    """Why an entry is remembered: entries of one isolation, active or not, with status and effective_confidence.
+
+    A selector that is an id (told by its form unless ``by_id`` says) picks that entry, any other the latest ``MOST_EXPLAINED``
+    whose topic or value holds it; a blank one nothing. Needs kind, confidence, last_confirmed_at, times_reinforced and
+    supersedes_entry_id among the columns. Status looks at the isolation's entries alone.
+    """
+    wanted = selector.strip()
+    own = entries.where(_within(isolation))
+    if not wanted:
+        picked = own.limit(0)
+    elif by_id if by_id is not None else _ID.fullmatch(wanted) is not None:
+        picked = own.where(F.col("id").cast("string") == wanted)
+    else:
+        picked = listed(entries, isolation, wanted, MOST_EXPLAINED, active_only=False)
+    replaced = own.where("supersedes_entry_id IS NOT NULL").select(F.col("supersedes_entry_id").alias("id")).distinct().withColumn("_replaced", F.lit(True))
+    told = F.when(F.col("active"), "active").when(F.col("_replaced"), "superseded").otherwise("disabled")
+    sure = effective_confidence(F.col("confidence"), F.col("kind"), F.col("last_confirmed_at"), F.col("times_reinforced"), now, config)
+    return picked.join(replaced, "id", "left").withColumns({"status": told, "effective_confidence": sure}).drop("_replaced")
+
+
 def supersede(entries: DataFrame, old_id: object, now: Column, reason: str = "semantic_contradiction") -> DataFrame:
     """An active entry gives way to another one; its time is set anew."""
     hit = F.col("active") & (F.col("id") == old_id)

@@ -809,6 +809,31 @@ def memory_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("id", "active", F.unix_micros("disabled_at").alias("disabled_us"), "disabled_reason", "times_reinforced", memory.value_hash(F.col("value")).alias("value_hash"))
 
 
+def _managed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries with all that a store keeps of them."""
+    return _entries(spark, sf_dir).withColumnRenamed("reinforced", "times_reinforced").withColumns({"last_confirmed_at": F.col("recent"), "disabled_at": F.lit(None).cast("timestamp"), "disabled_reason": F.lit(None).cast("string")})
+
+
+_STATE_SQL = f"WITH {MEMORIES_SQL}, e AS (SELECT *, id % 4 <> 0 AS active, CASE WHEN id % 8 = 1 AND id > 0 THEN id - 1 END AS old FROM c)"
+
+
+@query("memory_clear", f"{_STATE_SQL} SELECT id, active AND user_id IS DISTINCT FROM 7 AS active, CASE WHEN active AND user_id = 7 THEN 'manual_clear' END AS disabled_reason FROM e")
+def memory_clear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return memory.clear(_managed(spark, sf_dir), {"user_id": 7}, F.lit(NOW).cast("timestamp")).select("id", "active", "disabled_reason")
+
+
+@query("memory_forget", f"{_STATE_SQL}, h AS (SELECT id FROM e WHERE active AND user_id = 7 AND (lower(topic) LIKE '%vie%' OR lower(value) LIKE '%vie%') ORDER BY recent DESC, id LIMIT 200) SELECT id, active AND id NOT IN (SELECT id FROM h) AS active, CASE WHEN id IN (SELECT id FROM h) THEN 'manual_forget' END AS disabled_reason FROM e")
+def memory_forget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return memory.forget(_managed(spark, sf_dir), {"user_id": 7}, "vie", F.lit(NOW).cast("timestamp")).select("id", "active", "disabled_reason")
+
+
+@query("memory_explain", f"{_STATE_SQL}, u AS (SELECT * FROM e WHERE user_id = 7) SELECT id, topic, CASE WHEN active THEN 'active' WHEN id IN (SELECT old FROM u WHERE old IS NOT NULL) THEN 'superseded' ELSE 'disabled' END AS status, round(effective, 4) AS effective_confidence FROM u WHERE lower(topic) LIKE '%vie%' OR lower(value) LIKE '%vie%' ORDER BY recent DESC, id LIMIT 20")
+def memory_explain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a user's entries on a term rest on, as many as an explanation shows."""
+    found = memory.explain(_managed(spark, sf_dir), {"user_id": 7}, "vie", F.lit(NOW).cast("timestamp"))
+    return found.select("id", "topic", "status", F.round("effective_confidence", 4).alias("effective_confidence"))
+
+
 @query("memory_remember")
 def memory_remember(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each user turn as a statement of its conversation, folded in order."""
