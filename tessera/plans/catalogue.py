@@ -7,12 +7,13 @@ session turns and events are memories with a time.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import classify as C, text as T
-from ..operators import chunks, documents, indexing, memory, paths as paths_index, points as P, rag, search as S
+from ..operators import blocks, chunks, documents, indexing, memory, paths as paths_index, points as P, rag, search as S
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -96,6 +97,17 @@ for _name, _sql, _order in (
     _distance_query(_name, _sql, _order)
 
 
+@query("topk_blocks", ORACLES["topk_cosine"])
+def topk_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``topk_cosine`` over vectors stored in blocks: those that can't hold a hit are not read."""
+    from ..sources import shared
+
+    path = f"{shared.folder(spark)}/blocks-{uuid.uuid4().hex}"
+    blocks.build(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), path, 64)
+    hits = blocks.top_k(spark, path, probe(spark, sf_dir), 10).hits
+    return spark.createDataFrame([(r.id, r.score) for r in hits], "id long, score double").select("id", F.round("score", 6).alias("score"))
+
+
 @query("topk_filtered", f"WITH {POINTS_SQL} SELECT id, path, round(list_cosine_similarity(vector, q.v), 6) AS score FROM points, q WHERE content_type = 'code' AND repo IN ('src1', 'src3', 'src5') AND starts_with(path, 'src') ORDER BY list_cosine_similarity(vector, q.v) DESC, id LIMIT 10")
 def topk_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors are scored where they are read; ids with scores meet the paths that the filter leaves."""
