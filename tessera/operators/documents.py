@@ -1,7 +1,7 @@
 """Files to chunk documents: each file goes to the chunker that its path asks for.
 
 ``chunk_files`` takes repo, path and text and gives one row per chunk with its identity and texts. Files are independent:
-sections, statements and windows are cut in one narrow pass, and only call graphs of code files are joins.
+sections, statements and windows are cut in one narrow pass, and only call graphs of code files need an exchange.
 """
 
 from __future__ import annotations
