@@ -7,7 +7,7 @@ that no language has seen backs off by context weights stored the same way. A te
 cross-entropy per event. It is rejected when that is above what training texts of that language and length show
 (see ``calibrate``), or when it has no letter.
 
-4-gram counts are gathered by Spark over all training rows and none is left out. Models of up to ``most_values``
+4-gram counts and rejection limits are gathered by Spark over all training rows and none is left out. Models of up to ``most_values``
 numbers (distinct grams times languages, checked) travel with the tasks as sorted hash arrays, and texts are scored where
 they are read. Beyond that the same numbers stand in tables of the shared folder and texts' grams are joined with them.
 Both ways give the same entropies. Null and empty texts have no letter: ``und``, score 0.
@@ -356,11 +356,10 @@ def _entropies_by_join(rows: DataFrame, models: StoredModels) -> DataFrame:
 
 
 def fit(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", calibration_rows: int = 3000, most_values: int = 8_000_000) -> Models | StoredModels:
-    """Models of all languages of ``rows``, with rejection limits from a bounded sample of each language.
+    """Models of all languages of ``rows``, with rejection limits from all of its texts (see ``calibrate``).
 
-    About ``calibration_rows`` distinct training rows, dealt evenly to the languages (200 each at least), give the limits;
-    a language with no more rows than its share gives all. Rows are drawn by a hash of id and text. Models of more than
-    ``most_values`` numbers stay in tables.
+    Counts and limits take every training row; ``calibration_rows`` is accepted for older callers and has no effect. A row
+    repeated with its id, text and language counts once for the limits. Models of more than ``most_values`` numbers stay in tables.
     """
     counted = checkpointed(count_grams(rows, text_col, lang_col))
     # a row per language
@@ -374,41 +373,43 @@ def fit(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
             order = np.argsort(values)
             counts[lang] = (values[order], n[order])
         models = estimate(counts)
-    own = rows.where(F.col(lang_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    sizes = {r.lang: r.n for r in own.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    share = max(200, calibration_rows // max(1, len(sizes)))
-    # each language's hashes below its own bound: no ranking, and nothing moves but the drawn rows
-    bounds = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1 << 31, math.ceil((1 << 31) * share / n)))]) if sizes else F.create_map().cast("map<string,bigint>")
-    drawn = F.pmod(F.xxhash64("id", "text"), F.lit(1 << 31)) < F.try_element_at(bounds, F.col("lang")).cast("long")
-    sample = own.where(drawn).dropDuplicates(["lang", "id", "text"])
-    scored = entropies(sample, models, ["lang"]).toPandas()
-    models.limits = calibrate(models.languages, scored)
+    if languages:
+        # what tells a row rides along instead of its text
+        row = F.concat_ws(":", F.col(id_col).cast("string"), F.md5(F.col(text_col).cast("binary")))
+        own = rows.where(F.col(lang_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), row.alias("row"))
+        places = F.create_map(*[F.lit(x) for k, lang in enumerate(languages) for x in (lang, k)])
+        scored = entropies(own, models, ["lang", "row"]).where("n > 0")
+        scored = scored.select("lang", "row", F.get("entropy", F.try_element_at(places, F.col("lang"))).alias("h"), "n").where("h IS NOT NULL")
+        models.limits = calibrate(languages, checkpointed(scored.groupBy("lang", "row").agg(F.min("h").alias("h"), F.min("n").alias("n"))))
+    else:
+        models.limits = np.zeros((0, 3))
     return models
 
 
-def calibrate(languages: list[str], scored) -> np.ndarray:
+def calibrate(languages: list[str], scored: DataFrame) -> np.ndarray:
     """For each language the mean cross-entropy of its own texts, its spread between long texts, and that of one event.
 
-    A text of n events is rejected beyond mean + 6 sqrt(between^2 + within^2 / n) + SLACK, far out of what training
+    ``scored`` has a row per text: lang, h (cross-entropy in its own language), n (events). A text of n events is rejected
+    beyond mean + 6 sqrt(between^2 + within^2 / n) + SLACK, far out of what training
     texts of its language show, so clean texts and mixtures of known languages stay. A language of fewer than 8 texts
     takes the limit of all languages' texts together; with fewer than 8 in all, nothing is rejected by its entropy.
+    Only sums over texts of a language, and over all (null), come to the driver.
     """
-
-    def limit(h: np.ndarray, n: np.ndarray) -> tuple[float, float, float]:
-        if len(h) < 8:
-            return np.inf, 0, 0
-        mean = np.average(h, weights=n)
-        far = np.abs(h - mean)
-        long = n >= np.median(n)
-        return mean, np.sqrt(np.mean(far[long] ** 2)), np.sqrt(np.mean(far[~long] ** 2 * n[~long])) if (~long).any() else 3.0
-
-    scored = scored[(scored["n"] > 0) & scored["lang"].isin(languages)]
-    place = scored["lang"].map({language: k for k, language in enumerate(languages)})
-    h = np.array([x[k] for x, k in zip(scored["entropy"], place, strict=True)], np.float64)
-    n = scored["n"].to_numpy(np.float64)
-    own = [(place == k).to_numpy(bool) for k in range(len(languages))]
-    pooled = limit(h, n)
-    return np.array([limit(h[o], n[o]) if o.sum() >= 8 else pooled for o in own], np.float64).reshape(-1, 3)
+    both = scored.withColumn("lang", F.explode(F.array("lang", F.lit(None).cast("string"))))
+    told = {r.lang: r for r in both.groupBy("lang").agg(F.count(F.lit(1)).alias("texts"), (F.sum(F.col("h") * F.col("n")) / F.sum("n")).alias("mean"), F.median("n").alias("middle")).collect()}
+    if not told:
+        return np.tile([np.inf, 0.0, 0.0], (len(languages), 1))
+    # a row per language, and one for all
+    known = scored.sparkSession.createDataFrame([(lang, r["mean"], float(r["middle"])) for lang, r in told.items()], "key string, mean double, middle double")
+    far = both.join(F.broadcast(known), F.col("lang").eqNullSafe(F.col("key"))).select("lang", (F.col("h") - F.col("mean")).alias("far"), "n", (F.col("n") >= F.col("middle")).alias("long"))
+    square = F.col("far") * F.col("far")
+    spread = far.groupBy("lang").agg(F.sqrt(F.avg(F.when(F.col("long"), square))).alias("between"), F.sqrt(F.avg(F.when(~F.col("long"), square * F.col("n")))).alias("within"))
+    spreads = {r.lang: (r.between, 3.0 if r.within is None else r.within) for r in spread.collect()}
+
+    def limit(lang: str | None) -> tuple[float, float, float]:
+        return (told[lang]["mean"], *spreads[lang]) if told[lang].texts >= 8 else (np.inf, 0.0, 0.0)
+
+    return np.array([limit(lang if lang in told and told[lang].texts >= 8 else None) for lang in languages], np.float64).reshape(-1, 3)
 
 
 def _keyed(docs: DataFrame, key: str) -> DataFrame:

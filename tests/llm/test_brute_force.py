@@ -432,6 +432,26 @@ def test_rare_languages_have_rejection_limits(spark):
     assert models.decide(entropy, np.array([60, 60]))[2].all()
 
 
+def test_rejection_limits_come_from_every_training_row(spark):
+    """More rows than were once drawn, one repeated, one language of too few texts: limits equal those worked out over all of them."""
+    r = random.Random(4)
+    said = lambda letters: " ".join("".join(r.choices(letters, k=r.randint(2, 6))) for _ in range(r.randint(1, 30)))
+    rows = [(i, said("abcde" if i % 50 else "abcdevwxyz"), "big") for i in range(5000)] + [(9000 + i, said("klmno"), "small") for i in range(60)] + [(9900 + i, said("pqrst"), "few") for i in range(3)] + [(9999, None, "big")]
+    models = language_id.fit(spark.createDataFrame([*rows, *[rows[0]] * 40], "doc_id long, text string, lang string"))
+    assert models.languages == ["big", "few", "small"]
+    entropy, n = models.of_texts([t for _, t, _ in rows])
+    place = np.array([models.languages.index(x) for _, _, x in rows])
+    h = entropy[np.arange(len(rows)), place]
+
+    def limit(own):
+        mean = np.average(h[own], weights=n[own])
+        far, long = np.abs(h[own] - mean), n[own] >= np.median(n[own])
+        return mean, np.sqrt(np.mean(far[long] ** 2)), np.sqrt(np.mean(far[~long] ** 2 * n[own][~long]))
+
+    full = n > 0
+    assert np.allclose(models.limits, [limit(full & (place == 0)), limit(full), limit(full & (place == 2))], rtol=1e-9)
+
+
 def check_pieces(rows, ids, tokens=2048, segments=64):
     at = Counter()
     for r in sorted(rows, key=lambda r: (r.doc_id, r.start)):
