@@ -219,7 +219,22 @@ def symbol_chunks(files: DataFrame, language: str, most: int = 120, overlap: int
     return call_graph(rows).select(*[shown if c == "content" else c for c in kept], "symbol", "kind", "qualified", "parent", F.nullif("head", F.lit("")).alias("signature"), "callees", "callers")
 
 
-def call_graph(found: DataFrame) -> DataFrame:
+#: Characters of text whose symbols and calls meet in one task.
+TASK_CHARS = 8 << 20
+
+
+def dealt(texts: DataFrame) -> int:
+    """How many tasks the symbols of ``texts`` (text) are dealt to: as many as the session shuffles into, more for much text."""
+    # one number
+    chars = texts.agg(F.sum(F.length("text"))).first()[0] or 0
+    return max(_shuffled(texts), -(-chars // TASK_CHARS))
+
+
+def _shuffled(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def call_graph(found: DataFrame, tasks: int | None = None) -> DataFrame:
     """callees and callers of each symbol, resolved within its file from the names it calls (``calls``).
 
     A called name is a qualified name, a member of the caller's class (``self.x``, ``this.x``, ``cls.x``), a simple
@@ -228,8 +243,10 @@ def call_graph(found: DataFrame) -> DataFrame:
 
     A file's symbols and calls meet by ``path`` in one exchange: names are resolved by windows and edges gathered by groups within
     that partitioning, so what made ``found`` is worked out once. A symbol's other columns ride on its own row, not on its calls.
+    Rows are dealt to ``tasks`` (see ``dealt``; unless told, as many as the session shuffles into): calls and windows take many times
+    a symbol's shuffled bytes, so partitions shouldn't be put together by size.
     """
-    told = found.repartition("path").select(
+    told = found.repartition(tasks or _shuffled(found), "path").select(
         "path", F.struct(*[F.col(c) for c in found.columns if c != "path"]).alias("_row"), F.col("qualified").alias("_caller"), F.col("symbol").alias("_symbol"), F.col("start_line").alias("_start"),
         F.when(F.col("kind") == "class", F.col("qualified")).otherwise(F.col("parent")).alias("_owner"), F.coalesce("calls", F.array().cast("array<string>")).alias("_calls"),
     )

@@ -467,7 +467,8 @@ def python_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("call_graph", f"WITH {_PYTHON_SQL} SELECT path, qualified, callees, callers FROM y")
 def call_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunks.call_graph(chunks.symbols(python_files(spark, sf_dir), "python")).select("path", "qualified", F.array_join("callees", ",").alias("callees"), F.array_join("callers", ",").alias("callers"))
+    found = chunks.symbols(python_files(spark, sf_dir), "python").select("path", "symbol", "kind", "qualified", "parent", "start_line", "calls")
+    return chunks.call_graph(found, chunks.dealt(files(spark, sf_dir))).select("path", "qualified", F.array_join("callees", ",").alias("callees"), F.array_join("callers", ",").alias("callers"))
 
 
 @query("sql_code_symbols", f"WITH {_PYTHON_SQL} SELECT path, qualified, a::INT AS start_line, b::INT AS end_line FROM y")

@@ -6,6 +6,7 @@ import ast
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.operators import chunks, documents
 from tessera.operators.code import lex, walk
@@ -187,3 +188,15 @@ def test_calls_and_callers(spark):
     by = {r.qualified: r for r in chunks.symbol_chunks(spark.createDataFrame([("p", script)], "path string, text string"), "typescript", 3).collect() if r.qualified}
     assert by["Service"].callees == ["Inject", "buildFactory", "trace", "buildPath", "Client", "helper", "super.load"] and by["Service.load"].callees == ["trace", "buildPath", "Client", "helper", "super.load"]
     assert by["Service"].content.startswith("@Inject(\n") and by["Service"].content.endswith("methods: load\nclass_summary: Service")
+
+
+def test_call_graphs_are_dealt_by_text_not_by_compressed_bytes(spark):
+    """Few shuffled bytes still go to as many tasks as asked for; more text asks for more."""
+    files = spark.createDataFrame([(f"f{i}.py", "def a():\n    b()\n\ndef b():\n    pass\n") for i in range(60)], "path string, text string")
+    shuffled = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert chunks.dealt(files) == shuffled
+    assert chunks.dealt(files.limit(1).select(F.repeat(F.lit("x"), chunks.TASK_CHARS).alias("text")).withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(shuffled + 3))))) == shuffled + 3
+    found = chunks.symbols(files, "python")
+    tasks = lambda rows: {r.t for r in rows.select(F.spark_partition_id().alias("t")).collect()}
+    assert len(tasks(chunks.call_graph(found))) > shuffled / 2
+    assert len(tasks(chunks.call_graph(found, 3 * shuffled))) > shuffled
