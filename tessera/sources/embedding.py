@@ -9,10 +9,11 @@ from collections.abc import Iterator
 from typing import Protocol
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import text as T
+from .shared import map_arrow
 
 
 class ProviderError(RuntimeError):
@@ -69,13 +70,15 @@ def embed(texts: DataFrame, provider: Provider, id_col: str = "id", text_col: st
     """id, vector for each row; one provider per task, ``batch`` texts per call."""
     kind = texts.schema[id_col].dataType.simpleString()
 
-    def walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for a in range(0, len(frame), batch):
-                part = frame.iloc[a : a + batch]
-                yield pd.DataFrame({"id": part["id"], "vector": with_retries(provider, part["text"].fillna("").tolist())})
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            # only a call's texts become Python strings
+            for a in range(0, rows.num_rows, batch):
+                part = rows.slice(a, batch)
+                found = with_retries(provider, [t or "" for t in part.column(1).to_pylist()])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.list_(pa.float64()))], ["id", "vector"])
 
-    return texts.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(walk, f"id {kind}, vector array<double>")
+    return map_arrow(texts.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), walk, f"id {kind}, vector array<double>")
 
 
 def unseen(texts: DataFrame, known: DataFrame, text_col: str = "text") -> DataFrame:

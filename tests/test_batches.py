@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import chunks, documents, memory, paths, search
 from tessera.plans import sql
-from tessera.sources import embedding
+from tessera.sources import embedding, shared
 from tessera.streaming import ingest
 
 
@@ -150,3 +150,21 @@ def test_table_functions_equal_the_dataframe_calls(spark):
     said = spark.sql("SELECT * FROM remembered(TABLE({statements}) PARTITION BY (user, kind, topic) ORDER BY seq)", statements=statements)
     expected = memory.reconcile(statements, ["user"])
     assert sorted(map(str, said.select(*expected.columns).collect())) == sorted(map(str, expected.collect()))
+
+
+def test_embedding_holds_few_texts_at_once(spark):
+    """128 texts of four megabytes in one task: few of them are in Python at once while a provider works, and none as a frame."""
+
+    class Held:
+        width = 1
+
+        def embed(self, texts):
+            import pyarrow
+
+            return [[pyarrow.total_allocated_bytes() / 2**20] for _ in texts]
+
+    rows = spark.range(128).coalesce(1).select("id", F.when(F.col("id") > 0, F.concat(F.col("id").cast("string"), F.repeat(F.lit("a b "), 1 << 20))).alias("text"))
+    made = embedding.embed(rows, Held(), batch=1)
+    assert "MapInPandas" not in made._jdf.queryExecution().toString() and int(spark.conf.get(shared.BATCH_BYTES)) <= 4 << 20
+    found = {r.id: r.vector[0] for r in made.collect()}
+    assert len(found) == 128 and max(found.values()) < 24
