@@ -214,9 +214,10 @@ def symbol_chunks(files: DataFrame, language: str, most: int = 120, overlap: int
     lists = [_imports(F.col("text")), _exports(F.col("text"))] if script else [none, none]
     told = files.select("path", lists[0].alias("imports"), lists[1].alias("exports"), "text")
     rows = _qualified(declarations(told, script, most, overlap).where("symbol IS NULL OR chosen"), script)
-    kept = ["path", "start_line", "end_line", "content", "imports", "exports", "broken"]
     shown = F.when(F.col("summed"), _summary(script)).otherwise(F.col("content")).alias("content")
-    return call_graph(rows).select(*[shown if c == "content" else c for c in kept], "symbol", "kind", "qualified", "parent", F.nullif("head", F.lit("")).alias("signature"), "callees", "callers")
+    # only what a chunk keeps goes through the exchange
+    slim = rows.select("path", "start_line", "end_line", shown, "imports", "exports", "broken", "symbol", "kind", "qualified", "parent", F.nullif("head", F.lit("")).alias("signature"), "calls")
+    return call_graph(slim).drop("calls")
 
 
 #: Characters of text whose symbols and calls meet in one task.

@@ -68,7 +68,7 @@ def index(files: DataFrame, stored: DataFrame, root: str, embed: Callable[[DataF
     outcome = report.first()
     if outcome.status == "insufficient_coverage":
         return Indexed(stored, report.withColumn("upserted", F.lit(0).cast("long")).withColumn("deleted", F.lit(0).cast("long")), log)
-    after = keep(P.upsert(stored, new))
+    after = keep(P.upsert(stored, new, unique=True))
     gone = after.limit(0).select("id")
     if complete:
         keyed = after.where((F.col("repo_root") == root) & F.col("path").isNotNull()).select("id", F.concat_ws("\u0001", "repo", "path").alias("path"), "content_type", "chunk_id")

@@ -16,9 +16,9 @@ def last_by(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     return packed.select(*key, "_last.*").select(*rows.columns)
 
 
-def upsert(old: DataFrame, new: DataFrame, key: str = "id", order: str = "seq") -> DataFrame:
-    """Old rows whose id isn't among the new ones, and the last emission of each new id."""
-    latest = last_by(new, [key], [order]).drop(order)
+def upsert(old: DataFrame, new: DataFrame, key: str = "id", order: str = "seq", unique: bool = False) -> DataFrame:
+    """Old rows whose id isn't among the new ones, and the last emission of each new id (``unique``: there is one of each)."""
+    latest = (new if unique else last_by(new, [key], [order])).drop(order)
     return old.join(latest.select(key), key, "left_anti").unionByName(latest)
 
 

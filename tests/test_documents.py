@@ -171,3 +171,17 @@ def test_preflight(spark):
         indexing.preflight(rows, "a", "/y")
     with pytest.raises(indexing.NotIndexable, match="legacy"):
         indexing.preflight(rows, "a", "/x", "v6")
+
+
+def test_an_index_run_picks_the_last_emissions_once(spark):
+    """New points with an id each are not grouped again, and what a call graph doesn't need doesn't go through its exchange."""
+    from tessera.operators import chunks, points
+
+    old = spark.createDataFrame([("a", "old"), ("b", "old")], "id string, text string")
+    new = spark.createDataFrame([("b", "new", 1), ("c", "new", 2)], "id string, text string, seq int")
+    made = points.upsert(old, new, unique=True)
+    assert sorted(map(tuple, made.collect())) == sorted(map(tuple, points.upsert(old, new).collect())) == [("a", "old"), ("b", "new"), ("c", "new")]
+    assert "max_by" not in made._jdf.queryExecution().toString()
+    code = chunks.symbol_chunks(spark.createDataFrame([("f.py", "def a():\n    b()\n\ndef b():\n    pass\n")], "path string, text string"), "python")
+    exchanged = code._jdf.queryExecution().optimizedPlan().toString().split("RepartitionByExpression")[1].split("\n")[1]
+    assert "nested" not in exchanged and {(r.symbol, tuple(r.callees)) for r in code.where("symbol IS NOT NULL").collect()} == {("a", ("b",)), ("b", ())}
