@@ -16,7 +16,7 @@ from tessera.llm.common import checkpointed, shared_folder, table
 from tessera.llm.queries_common import held_out, tokenizer_path
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that language ID rejects go: those without letters, and those unlike every learnt language."""
+    """Documents that language ID rejects go: those without letters, and those unlike every learnt language, by limits from all training rows."""
     models = language_id.fit(docs.where(~F.coalesce(held_out(), F.lit(True))))
     return language_id.keep_known(docs, models)
 

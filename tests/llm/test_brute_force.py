@@ -691,3 +691,17 @@ def test_pipeline_stages(spark, tmp_path):
             check_pieces(rows, {i: np.array([*tokenizer.encode(r.text, add_special_tokens=False).ids, 1], "<u4") for i, r in before.items()})
         before = after
     assert docs.count() == corpus_pipeline.run(spark, SMALL).count()
+
+
+def test_pipeline_rejects_by_limits_from_every_training_row(spark, monkeypatch):
+    """The stage's limits don't depend on a number of rows to draw."""
+    import corpus_pipeline
+
+    r = random.Random(5)
+    docs = spark.createDataFrame([(i, " ".join("".join(r.choices("abcde", k=r.randint(2, 6))) for _ in range(r.randint(1, 30))), "big") for i in range(4000)], "doc_id long, text string, lang string")
+    seen = []
+    monkeypatch.setattr(language_id, "keep_known", lambda rows, models: seen.append(models) or rows)
+    corpus_pipeline.identify_language(spark, docs, MIDDLE)
+    rows = docs.where(~corpus_pipeline.held_out())
+    fewer = language_id.fit(rows, calibration_rows=1)
+    assert np.allclose(seen[0].limits, fewer.limits, rtol=1e-9)
